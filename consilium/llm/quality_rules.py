@@ -166,7 +166,10 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
     one, so repeated rows and null ids get equal verdicts.
     """
     p = len(STATS)
-    slim = base_statistics(docs.withColumn("__lang", docs["lang"]).withColumn("__source", docs["source"]), *keep, "__lang", "__source")
+    # kept columns travel under names that clash with nothing
+    held = [f"__k{i}" for i in range(len(keep))]
+    named = docs.select(*[docs[k].alias(h) for k, h in zip(keep, held, strict=True)], docs["lang"].alias("__lang"), docs["source"].alias("__source"), docs["text"].alias("text"))
+    slim = base_statistics(named, *held, "__lang", "__source")
     slim = slim.select(*[c for c in slim.columns if c not in ("__lines", "__caps", "__marks")], base_failed().alias("base_failed"), *[v.alias(f"__{k}") for k, v in transformed().items()])
     slim = materialize(slim, "quality-statistics")
     own = slim.where(~F.col("base_failed")).select("__lang", "__source", *[F.col(f"__{k}").alias(k) for k in STATS])
@@ -188,7 +191,7 @@ def judge(docs: DataFrame, *keep: str) -> DataFrame:
     judged = slim.join(bounded(params, n_groups), same(slim, params), "left").drop(params["__lang"]).drop(params["__source"])
     judged = _distance(judged.withColumns({k: F.col(f"__{k}") for k in STATS}))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF, F.lit(False))
-    return judged.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), F.col("d2")).alias("distance"))
+    return judged.select(*[F.col(h).alias(k) for k, h in zip(keep, held, strict=True)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), F.col("d2")).alias("distance"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
