@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, load, materialize
+from .common import BLANK, WORD, bounded, let, load, materialize
 
 BLOCK = 64
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -112,6 +112,35 @@ def block_uses(drawn: DataFrame, n_sources: int, block: int = BLOCK) -> DataFram
     return d.groupBy("index", "block").agg(F.sum(whole.cast("long")).alias("full"), F.max(F.when(~whole, F.col("take")).otherwise(F.lit(0))).alias("part"))
 
 
+def _met(slim: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """For ``slim(row, doc_id, source, size)``: each row's share of each block that is used, and each row's source.
+
+    The first has (row, start, stop, first, last, head, full): words ``first``
+    to ``last`` of the source's stream are taken ``full`` times, those before
+    ``head`` once more.  The second has (row, source_size, target).
+    """
+    targets = materialize(source_targets(slim.select("source", "size")), "mix-sources")
+    n_sources, n_rows = targets.count(), slim.count()
+    sources = targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("target").over(Window.partitionBy()) / SHARD_WORDS)).cast("long"))
+    uses = block_uses(materialize(slots(sources, block), "mix-slots"), n_sources, block)
+    t = bounded(targets.withColumnRenamed("source", "name"), n_sources)
+    named = slim.join(t, slim["source"].eqNullSafe(t["name"]))
+    placed = positions(named.select("row", "doc_id", "size", "index").where(F.col("size") > 0), n_rows)
+    spans = placed.select("row", "index", "start", (F.col("start") + F.col("size")).alias("stop"), F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
+    met = spans.join(uses, ["index", "block"])
+    met = met.withColumn("first", F.greatest("start", F.col("block") * block)).withColumn("last", F.least(F.col("stop"), (F.col("block") + 1) * block))
+    met = met.withColumn("head", F.greatest("first", F.least("last", F.col("block") * block + F.col("part"))))
+    return met.select("row", "start", "stop", "first", "last", "head", "full"), named.select("row", "source_size", "target")
+
+
+def _numbered(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[str]]:
+    """``keep`` columns under names that clash with nothing, beside row, doc_id, source and size; written once."""
+    held = [f"__k{i}" for i in range(len(keep))]
+    size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
+    own = docs.select(*[docs[k].alias(h) for k, h in zip(keep, held, strict=True)], docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), size.alias("size"))
+    return materialize(own.withColumn("row", F.monotonically_increasing_id()), "mix-sizes"), held
+
+
 def mix(docs: DataFrame, *keep: str, block: int = BLOCK) -> DataFrame:
     """``keep`` columns of ``docs`` plus size, source_size, target and taken, one row for each of ``docs``.
 
@@ -120,25 +149,39 @@ def mix(docs: DataFrame, *keep: str, block: int = BLOCK) -> DataFrame:
     An empty table, or one without a word, takes nothing.  Reruns agree: the
     draw hashes only ids, sizes and numbers.
     """
-    # kept columns travel under names that clash with nothing
-    held = [f"__k{i}" for i in range(len(keep))]
-    own = docs.select(*[docs[k].alias(h) for k, h in zip(keep, held, strict=True)], docs["doc_id"].alias("__id"), docs["source"].alias("__source"), F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    slim = materialize(own.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
-    targets = materialize(source_targets(slim.select(F.col("__source").alias("source"), "size")), "mix-sources")
-    n_sources, n_rows = targets.count(), slim.count()
-    sources = targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("target").over(Window.partitionBy()) / SHARD_WORDS)).cast("long"))
-    uses = block_uses(materialize(slots(sources, block), "mix-slots"), n_sources, block)
-    t = bounded(targets, n_sources).alias("t")
-    named = slim.join(t, slim["__source"].eqNullSafe(F.col("t.source"))).select("row", F.col("__id").alias("doc_id"), "size", F.col("t.index").alias("index"))
-    placed = positions(named.where(F.col("size") > 0), n_rows)
-    spans = placed.select("row", "index", "start", (F.col("start") + F.col("size")).alias("stop"), F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    met = spans.join(uses, ["index", "block"])
-    first = F.greatest("start", F.col("block") * block)
-    whole = F.least(F.col("stop"), (F.col("block") + 1) * block) - first
-    head = F.greatest(F.lit(0), F.least(F.col("stop"), F.col("block") * block + F.col("part")) - first)
-    taken = met.groupBy("row").agg(F.sum(F.col("full") * whole + head).alias("taken"))
-    out = slim.join(t, slim["__source"].eqNullSafe(F.col("t.source"))).select(*held, "row", "size", "source_size", "target")
-    return out.join(taken, "row", "left").select(*[F.col(h).alias(k) for k, h in zip(keep, held, strict=True)], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    slim, held = _numbered(docs, *keep)
+    met, of_row = _met(slim.select("row", "doc_id", "source", "size"), block)
+    taken = met.groupBy("row").agg(F.sum(F.col("full") * (F.col("last") - F.col("first")) + F.col("head") - F.col("first")).alias("taken"))
+    out = slim.join(of_row, "row").join(taken, "row", "left")
+    return out.select(*[F.col(h).alias(k) for k, h in zip(keep, held, strict=True)], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a row for each pass over a document that takes words of it.
+
+    A pass that takes all of a text leaves it as it is; otherwise the row's text
+    is the stretches that the mix takes, with their own blanks.  n_chars, where
+    there is one, is recounted.  What the mix does not take is left out.
+    """
+    slim, held = _numbered(docs, *docs.columns)
+    met, _ = _met(slim.select("row", "doc_id", "source", "size"), block)
+    rel = lambda a, b, times: F.struct((F.col(a) - F.col("start")).alias("lo"), (F.col(b) - F.col("start")).alias("hi"), times.alias("times"))
+    stretches = F.array(rel("first", "head", F.col("full") + 1), rel("head", "last", F.col("full")))
+    per_row = met.withColumn("s", F.explode(stretches)).where("s.lo < s.hi and s.times > 0").groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    passes = slim.join(per_row, "row").withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(MOST))))
+    passes = passes.withColumn("s", F.filter("s", lambda x: x["times"] >= F.col("pass"))).where(F.size("s") > 0)
+    text = F.col(held[docs.columns.index("text")])
+    tokens = F.regexp_extract_all(text, F.lit(WORD + BLANK + "*"), F.lit(0))
+    words = F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc + x["hi"] - x["lo"])
+    some = let(tokens, lambda w: F.array_join(F.flatten(F.transform("s", lambda x: F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), ""))
+    passes = passes.withColumn("__text", F.when(words == F.col("size"), text).otherwise(some))
+    out = [F.col(h).alias(k) for k, h in zip(docs.columns, held, strict=True)]
+    for i, k in enumerate(docs.columns):
+        if k == "text":
+            out[i] = F.col("__text").alias(k)
+        elif k == "n_chars":
+            out[i] = F.length("__text").cast(docs.schema[k].dataType).alias(k)
+    return passes.select(*out)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP1_SQL, op1_chat_format
 from .fingerprints import op5_winnowing_fingerprints
+from .jaccard_join import op2_ngram_jaccard_join
 from .license_scans import op10_license_scans
 from .mixing import op6_source_mixing
 from .packing import op7_best_fit_packing
@@ -14,6 +15,7 @@ from .token_counts import op4_token_counts
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_secret_scans": op3_secret_scans,
     "op4_token_counts": op4_token_counts,
     "op5_winnowing_fingerprints": op5_winnowing_fingerprints,
