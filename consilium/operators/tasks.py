@@ -36,12 +36,13 @@ def shuffled_codes(seeds: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(out, pa.list_(pa.string()))
 
 
-def codebooks(choices: Column, *salt: Column) -> Column:
-    """Maps from choice to code, one for each cyclic shift of a seeded shuffle: every choice has every code once."""
+def with_codebooks(rows: DataFrame, choices: Column, out: str, *salt: Column) -> DataFrame:
+    """``rows`` with ``out``: maps from choice to code, one for each cyclic shift of a seeded shuffle, so every choice has every code once."""
     seed = stable_seed(F.lit("choice-codes"), *salt)
-    codes = shuffled_codes(F.concat_ws("/", seed.cast("string"), F.size(choices).cast("string")))
-    n = F.size(choices)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda shift: F.map_from_arrays(choices, F.transform(choices, lambda c, i: F.get(codes, (i + shift) % n))))
+    drawn = rows.withColumn("__choices", choices).withColumn("__codes", shuffled_codes(F.concat_ws("/", seed.cast("string"), F.size("__choices").cast("string"))))
+    n = F.size("__choices")
+    books = F.transform(F.sequence(F.lit(0), n - 1), lambda shift: F.map_from_arrays("__choices", F.transform("__choices", lambda c, i: F.get("__codes", (i + shift) % n))))
+    return drawn.withColumn(out, books).drop("__choices", "__codes")
 
 
 def agent_tasks(rows: DataFrame, agents: DataFrame, relations: DataFrame, n_proposals: int) -> DataFrame:

@@ -436,4 +436,4 @@ def layer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced codes of four choices for every nation."""
     choices = F.array(*[F.lit(c) for c in ("ZERO", "ONE", "MANY", "UNKNOWN")])
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(tasks.codebooks(choices, F.col("n_name"))).alias("books"))
+    return tasks.with_codebooks(table(spark, sf_dir, "nation"), choices, "books", F.col("n_name")).select("n_nationkey", F.to_json("books").alias("books"))
