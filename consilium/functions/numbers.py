@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 EPSILON = 1e-12
 _FLOAT = r"^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?|(?i:inf|infinity|nan))\s*$"
 
@@ -99,9 +101,12 @@ def index_quantile(values: Column, q: float) -> Column:
 
 def median(values: Column) -> Column:
     """The middle value, or the mean of the two middle ones; null of none."""
-    ordered, n = F.array_sort(values), F.size(values)
-    lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(ordered, lo) + F.get(ordered, hi)) / 2)
+
+    def of(ordered: Column) -> Column:
+        n = F.size(ordered)
+        return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+    return let(F.array_sort(values), of)
 
 
 def densest_cluster(values: Column, width: float) -> Column:
@@ -112,12 +117,16 @@ def densest_cluster(values: Column, width: float) -> Column:
     """
 
     def around(c: Column) -> Column:
-        members = F.filter(values, lambda v: F.abs(v - c) / F.greatest(F.abs(c), F.lit(EPSILON)) <= width)
-        far = F.aggregate(F.array_sort(members), F.lit(0.0), lambda acc, v: acc + F.abs(F.ln(v / c)))
-        return F.struct(F.size(members).alias("size"), (-far).alias("near"), (-c).alias("order"), members.alias("members"))
+        near = F.filter(values, lambda v: F.abs(v - c) / F.greatest(F.abs(c), F.lit(EPSILON)) <= width)
+
+        def key(members: Column) -> Column:
+            far = F.aggregate(F.array_sort(members), F.lit(0.0), lambda acc, v: acc + F.abs(F.ln(v / c)))
+            return F.struct(F.size(members).alias("size"), (-far).alias("near"), (-c).alias("order"), members.alias("members"))
+
+        return let(near, key)
 
     best = F.array_max(F.transform(values, around))
-    return F.when(F.size(values) > 0, F.struct(median(best["members"]).alias("value"), best["size"].alias("size"), (-best["order"]).alias("center")))
+    return F.when(F.size(values) > 0, let(best, lambda b: F.struct(median(b["members"]).alias("value"), b["size"].alias("size"), (-b["order"]).alias("center"))))
 
 
 def anchored_groups(values: Column, tolerance: float = 0.05) -> Column:

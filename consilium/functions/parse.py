@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .text import normalize, strip, strip_dots
 
 # Texts that stand for no answer, and suffixes that belong to the name before the comma.
@@ -27,18 +28,26 @@ def after_think(text: Column) -> Column:
 
 def answer_status(text: Column, protocol: str = "legacy-cot") -> Column:
     """struct<answer, status>: valid, explicit-none, unclosed-think or empty."""
-    raw = strip(F.coalesce(text, F.lit("")))
-    if protocol == "legacy-cot":
+
+    def judged(bad: Column, answer: Column) -> Column:
+        status = F.coalesce(bad, F.when(answer == "", F.lit("empty")).when(F.lower(answer).isin(*NULL_TEXT), F.lit("explicit-none")).otherwise(F.lit("valid")))
+        return F.struct(F.when(bad.isNotNull(), F.lit("")).otherwise(answer).alias("answer"), status.alias("status"))
+
+    def reasoned(raw: Column) -> Column:
         unclosed = F.contains(raw, F.lit("<think>")) & ~F.contains(raw, F.lit("</think>"))
-        isolated, bad = after_think(raw), F.when(unclosed, F.lit("unclosed-think"))
-    else:
-        labelled = r"(?iU)(?:^|\n)\s*ANSWER\s*:\s*([^\n]*)"
-        isolated = strip(F.when(raw.rlike(labelled), F.regexp_extract(raw, r"(?i)(?:^|\n)\s*ANSWER\s*:\s*([^\n]*)", 1)).otherwise(F.split(raw, "\\R", 2)[0]))
-        opens = F.startswith(isolated, F.lit("<think>"))
-        bad = F.when(raw == "", F.lit("empty")).when(opens, F.when(F.contains(raw, F.lit("</think>")), F.lit("empty")).otherwise(F.lit("unclosed-think")))
-    answer = strip_dots(strip(isolated))
-    status = F.coalesce(bad, F.when(answer == "", F.lit("empty")).when(F.lower(answer).isin(*NULL_TEXT), F.lit("explicit-none")).otherwise(F.lit("valid")))
-    return F.struct(F.when(bad.isNotNull(), F.lit("")).otherwise(answer).alias("answer"), status.alias("status"))
+        return let(strip_dots(after_think(raw)), lambda a: judged(F.when(unclosed, F.lit("unclosed-think")), a))
+
+    def labelled(raw: Column) -> Column:
+        label = r"(?i)(?:^|\n)\s*ANSWER\s*:\s*([^\n]*)"
+        isolated = strip(F.when(raw.rlike(label), F.regexp_extract(raw, label, 1)).otherwise(F.split(raw, "\\R", 2)[0]))
+
+        def of(line: Column) -> Column:
+            opens = F.when(F.startswith(line, F.lit("<think>")), F.when(F.contains(raw, F.lit("</think>")), F.lit("empty")).otherwise(F.lit("unclosed-think")))
+            return judged(F.when(raw == "", F.lit("empty")).otherwise(opens), strip_dots(line))
+
+        return let(isolated, of)
+
+    return let(strip(F.coalesce(text, F.lit(""))), reasoned if protocol == "legacy-cot" else labelled)
 
 
 def first_line(text: Column) -> Column:
@@ -69,9 +78,12 @@ def split_items(line: Column) -> Column:
 
 def items(text: Column, is_numeric: Column) -> Column:
     """The items of an answer's first line; a numeric relation has its first number alone."""
-    line = first_line(text)
-    number = first_number(line)
-    return F.when(is_null_text(line), none()).when(is_numeric, F.when(number.isNull(), none()).otherwise(F.array(number))).otherwise(split_items(line))
+
+    def of(line: Column) -> Column:
+        number = F.array_compact(F.array(first_number(line)))
+        return F.when(is_null_text(line), none()).when(is_numeric, number).otherwise(split_items(line))
+
+    return let(first_line(text), of)
 
 
 def answer_items(answer: Column, is_numeric: Column, protocol: str = "legacy-cot") -> Column:
@@ -91,10 +103,14 @@ def without_label(value: Column) -> Column:
 
 def answer_field(text: Column) -> Column:
     """struct<status, answer> of explicit answer lines; lines that disagree give no answer."""
-    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?im)^[ \t]*ANSWER[ \t]*:[ \t]*([^\r\n]*)$"), F.lit(1)), strip), lambda v: v != "")
-    forms = F.array_distinct(F.transform(found, lambda v: F.lower(strip(F.regexp_replace(v, "[ \t]+", " ")))))
-    status = F.when(F.size(found) == 0, F.lit("missing_answer_field")).when(F.size(forms) > 1, F.lit("conflicting_answer_fields")).otherwise(F.lit("answer_field"))
-    return F.struct(status.alias("status"), F.when(status == "answer_field", F.try_element_at(found, F.lit(-1))).alias("answer"))
+
+    def of(found: Column) -> Column:
+        forms = F.array_distinct(F.transform(found, lambda v: F.lower(strip(F.regexp_replace(v, "[ \t]+", " ")))))
+        status = F.when(F.size(found) == 0, F.lit("missing_answer_field")).when(F.size(forms) > 1, F.lit("conflicting_answer_fields")).otherwise(F.lit("answer_field"))
+        return let(status, lambda s: F.struct(s.alias("status"), F.when(s == "answer_field", F.try_element_at(found, F.lit(-1))).alias("answer")))
+
+    lines = F.regexp_extract_all(text, F.lit(r"(?im)^[ \t]*ANSWER[ \t]*:[ \t]*([^\r\n]*)$"), F.lit(1))
+    return let(F.filter(F.transform(lines, strip), lambda v: v != ""), of)
 
 
 def _null_form(value: Column) -> Column:
@@ -107,25 +123,26 @@ def proposal(text: Column, is_numeric: Column, legacy: bool = False) -> Column:
 
     ``legacy`` keeps an echoed label and knows three null texts only.
     """
-    field = answer_field(text)
-    answer = field["answer"] if legacy else without_label(field["answer"])
-    raw = answer_items(answer, is_numeric)
-    if legacy:
-        nothing = F.lower(strip(answer)).isin("none", "null", "no answer")
-        kept = raw
-        all_null = F.lit(False)
-    else:
-        nothing = _null_form(answer)
-        bare = F.transform(raw, without_label)
-        kept = F.filter(bare, lambda v: (v != "") & ~_null_form(v))
-        all_null = (F.size(raw) > 0) & F.forall(bare, _null_form)
-    status = (
-        F.when(field["answer"].isNull(), field["status"])
-        .when(nothing | (F.size(kept) == 0) & all_null, F.lit("explicit_none"))
-        .when(F.size(kept) == 0, F.lit("unparseable_answer_field"))
-        .otherwise(F.lit("parsed_nonempty"))
-    )
-    return F.struct(status.alias("status"), F.when(status == "parsed_nonempty", kept).otherwise(none()).alias("items"))
+
+    def out(status: Column, kept: Column) -> Column:
+        return F.struct(status.alias("status"), F.when(status == "parsed_nonempty", kept).otherwise(none()).alias("items"))
+
+    def of_items(answer: Column, raw: Column) -> Column:
+        if legacy:
+            nothing, kept = F.lower(strip(answer)).isin("none", "null", "no answer"), raw
+        else:
+            bare = F.transform(raw, without_label)
+            kept = F.filter(bare, lambda v: (v != "") & ~_null_form(v))
+            nothing = _null_form(answer) | (F.size(kept) == 0) & (F.size(raw) > 0) & F.forall(bare, _null_form)
+        status = F.when(nothing, F.lit("explicit_none")).when(F.size(kept) == 0, F.lit("unparseable_answer_field")).otherwise(F.lit("parsed_nonempty"))
+        return let(status, lambda s: out(s, kept))
+
+    def of_field(field: Column) -> Column:
+        answer = field["answer"] if legacy else without_label(field["answer"])
+        parsed = let(answer, lambda a: let(answer_items(a, is_numeric), lambda raw: of_items(a, raw)))
+        return F.when(field["answer"].isNull(), out(field["status"], none())).otherwise(parsed)
+
+    return let(answer_field(text), of_field)
 
 
 def listing_phrases(text: Column) -> Column:
@@ -135,27 +152,38 @@ def listing_phrases(text: Column) -> Column:
     return F.filter(cut, lambda v: v != "")
 
 
-def classify(text: Column, relation: Column, is_numeric: Column, protocol: str = "legacy-cot") -> Column:
-    """struct<kind, status, answer, items> of one sample: entity, explicit-abstention or invalid.
+def final_text(answer: Column) -> Column:
+    """The part of a final answer that holds it: an explicit label's line, or the last line where the first is a sentence."""
 
-    A final answer in prose is repaired: an explicit label or, where the first
-    line is a sentence, the last line counts.
-    """
-    parsed = answer_status(text, protocol)
-    answer = parsed["answer"]
-    chosen = answer
-    if protocol == "legacy-cot":
-        labels = F.filter(F.regexp_extract_all(answer, F.lit(r"(?i)(?:^|\n)\s*ANSWER\s*:\s*([^\n]+)"), F.lit(1)), lambda v: v != "")
-        lines = F.filter(F.transform(F.split(answer, "\\R"), strip), lambda v: v != "")
+    def of(lines: Column) -> Column:
         first = F.try_element_at(lines, F.lit(1))
         prose = (F.length(first) > 80) | (F.size(F.split(first, r"(?U)\s+")) > 12) | first.rlike(r"[.!?] ")
-        chosen = F.when(F.size(labels) > 0, strip(F.try_element_at(labels, F.lit(-1)))).when((F.size(lines) > 1) & prose, F.try_element_at(lines, F.lit(-1))).otherwise(answer)
-    listed = F.when(relation == "companyTradesAtStockExchange", listing_phrases(chosen)).otherwise(none())
-    found = F.when(F.size(listed) > 0, listed).otherwise(answer_items(chosen, is_numeric, protocol))
-    valid = parsed["status"] == "valid"
-    kind = F.when(parsed["status"] == "explicit-none", F.lit("explicit-abstention")).when(valid & (F.size(found) > 0), F.lit("entity")).otherwise(F.lit("invalid"))
-    status = F.when(valid & (F.size(found) == 0), F.lit("valid-but-unparseable")).otherwise(parsed["status"])
-    return F.struct(kind.alias("kind"), status.alias("status"), F.when(kind == "entity", chosen).otherwise(answer).alias("answer"), F.when(kind == "entity", found).otherwise(none()).alias("items"))
+        labels = F.filter(F.regexp_extract_all(answer, F.lit(r"(?i)(?:^|\n)\s*ANSWER\s*:\s*([^\n]+)"), F.lit(1)), lambda v: v != "")
+        last = F.when((F.size(lines) > 1) & prose, F.try_element_at(lines, F.lit(-1))).otherwise(answer)
+        return let(labels, lambda x: F.when(F.size(x) > 0, strip(F.try_element_at(x, F.lit(-1)))).otherwise(last))
+
+    return let(F.filter(F.transform(F.split(answer, "\\R"), strip), lambda v: v != ""), of)
+
+
+def classify(text: Column, relation: Column, is_numeric: Column, protocol: str = "legacy-cot") -> Column:
+    """struct<kind, status, answer, items> of one sample: entity, explicit-abstention or invalid; prose is repaired."""
+
+    def of_items(parsed: Column, chosen: Column, found: Column) -> Column:
+        valid, some = parsed["status"] == "valid", F.size(found) > 0
+        kind = F.when(parsed["status"] == "explicit-none", F.lit("explicit-abstention")).when(valid & some, F.lit("entity")).otherwise(F.lit("invalid"))
+        status = F.when(valid & ~some, F.lit("valid-but-unparseable")).otherwise(parsed["status"])
+        entity = valid & some
+        return F.struct(kind.alias("kind"), status.alias("status"), F.when(entity, chosen).otherwise(parsed["answer"]).alias("answer"), F.when(entity, found).otherwise(none()).alias("items"))
+
+    def of_chosen(parsed: Column, chosen: Column) -> Column:
+        listed = F.when(relation == "companyTradesAtStockExchange", listing_phrases(chosen)).otherwise(none())
+        found = let(listed, lambda x: F.when(F.size(x) > 0, x).otherwise(answer_items(chosen, is_numeric, protocol)))
+        return let(found, lambda f: of_items(parsed, chosen, f))
+
+    def of_parsed(parsed: Column) -> Column:
+        return let(final_text(parsed["answer"]) if protocol == "legacy-cot" else parsed["answer"], lambda c: of_chosen(parsed, c))
+
+    return let(answer_status(text, protocol), of_parsed)
 
 
 def is_pure_number(text: Column) -> Column:

@@ -49,9 +49,10 @@ def aggregate_samples(raw: DataFrame, relations: DataFrame, profile: str = "robu
     values = rows.join(kind.where("kind = 'numeric'").select("Relation"), "Relation", "left_semi").where("pos = 0").withColumn("v", numbers.positive(numbers.parse_number(F.col("item"))))
     pure = values.groupBy(*KEYS).agg(F.collect_list(F.when(parse.is_pure_number(F.col("answer")), F.col("v"))).alias("vs"), F.collect_list("v").alias("loose"))
     chosen = F.when(F.size("vs") > 0, numbers.median(F.col("vs")) if profile == "legacy" else numbers.densest_cluster(F.col("vs"), width)["value"]).otherwise(numbers.median(F.col("loose")))
-    number = pure.select(*KEYS, chosen.alias("v")).where("v IS NOT NULL").select(*KEYS, F.array(shortest_number("v")).alias("o"))
-    found = lists.unionByName(one).unionByName(number)
-    return raw.select(*KEYS).join(found, KEYS, "left").select(*KEYS, F.coalesce("o", F.expr("cast(array() as array<string>)")).alias("ObjectEntities"))
+    number = pure.select(*KEYS, F.lit(None).cast("array<string>").alias("o"), chosen.alias("v")).where("v IS NOT NULL")
+    found = lists.unionByName(one).withColumn("v", F.lit(None).cast("double")).unionByName(number)
+    out = raw.select(*KEYS).join(found, KEYS, "left").withColumn("text", shortest_number("v"))
+    return out.select(*KEYS, F.coalesce("o", F.when(F.col("text").isNotNull(), F.array("text")), F.expr("cast(array() as array<string>)")).alias("ObjectEntities"))
 
 
 def compose(reference: DataFrame, sources: dict[str, DataFrame], by_relation: dict[str, str]) -> DataFrame:
