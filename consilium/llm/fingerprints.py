@@ -107,24 +107,28 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     smallest; among rows that share an id, the least text stands for the id as
     somebody's next document.  A lone document is its own next.
     """
-    own = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)))
+    own = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LOWEST)).alias("key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     order = materialize(successors(own), "fingerprint-order")
-    ranked = own.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("text")))
     # only lengths go to the next document, and only that much of its text comes back
     wanted = own.groupBy("key").agg(F.max(F.expr("length(text) div 4")).alias("quarter")).join(order, "key").withColumnRenamed("key", "reader")
-    given = ranked.where("turn = 1").select(F.col("key").alias("next"), F.col("text").alias("next_text"))
+    # with one row an id, both sides below read one and the same exchange of the texts
+    ranked, given = own, own
+    if order.count() != own.count():
+        ranked = own.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("text")))
+        given = ranked.where("turn = 1")
+    given = given.select(F.col("key").alias("next"), F.col("text").alias("next_text"))
     heads = wanted.join(given, "next").select(F.col("reader").alias("key"), "next", F.expr("substring(next_text, 1, cast(quarter as int))").alias("head"))
-    both = ranked.join(heads, "key").withColumn("n_chars", F.length("text")).withColumn("quarter", F.expr("cast(n_chars div 4 as int)"))
+    both = ranked.join(heads, "key").withColumn("turn", F.col("turn") if "turn" in ranked.columns else F.lit(1)).withColumn("n_chars", F.length("text")).withColumn("quarter", F.expr("cast(n_chars div 4 as int)"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - quarter), substring(head, 1, quarter))"))
     prints = both.select(
-        "doc_id", "key", "next", "turn", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("other")
+        "key", "next", "turn", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("other")
     )
     # the arrays of a row are evaluated once each
-    digested = prints.select("doc_id", "key", "next", "turn", "n_chars", "edited_sha256", let(F.struct("own", "other"), _summary).alias("s"))
-    slim = materialize(digested.select("doc_id", "key", "next", "turn", "n_chars", "edited_sha256", "s.*"), "fingerprint-marks")
+    digested = prints.select("key", "next", "turn", "n_chars", "edited_sha256", let(F.struct("own", "other"), _summary).alias("s"))
+    slim = materialize(digested.select("key", "next", "turn", "n_chars", "edited_sha256", "s.*"), "fingerprint-marks")
     following = slim.where("turn = 1").select(F.col("key").alias("next"), F.col("marks").alias("next_marks"))
     out = slim.join(following, "next")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(F.col("marks"), F.col("next_marks")).alias("near_next"), F.size("marks").cast("long").alias("n_marks"))
+    return out.select(F.nullif("key", F.lit(_LOWEST)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness(F.col("marks"), F.col("next_marks")).alias("near_next"), F.size("marks").cast("long").alias("n_marks"))
 
 
 def _summary(pair: Column) -> Column:
