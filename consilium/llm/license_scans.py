@@ -18,6 +18,8 @@ from .license_texts import EQUIVALENT, KNOWN
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by\b|:)|\(c\)[ \t]*(?:copyright|[0-9]{4})|©)[^\n]*$|(?m)^[^a-z0-9\n]*all rights reserved\.?[ \t]*$"
 #: A line is digested on its own only if one of these stems occurs; every known notice has one.
 NOTICE = r"(?i)licen[sc]e|public domain"
+#: ASCII that is no letter or digit, and the common typographic marks.
+PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{2010}-\x{2027}\x{A9}\x{AE}\x{AB}\x{BB}\x{A0}]+"
 _SPELLING = r"\b(" + "|".join(EQUIVALENT) + r")\b"
 
 
@@ -28,7 +30,7 @@ def canonical(text: Column) -> Column:
     """
     lowered = F.lower(F.coalesce(text, F.lit("")))
     bare = F.when(lowered.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(lowered, COPYRIGHT_LINE, "")).otherwise(lowered)
-    flat = F.trim(F.regexp_replace(bare, r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{2010}-\x{2027}\x{A9}\x{AE}\x{AB}\x{BB}\x{A0}]+", " "))
+    flat = F.trim(F.regexp_replace(bare, PUNCTUATION, " "))
 
     def one_spelling(t: Column) -> Column:
         out = t

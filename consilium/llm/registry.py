@@ -7,6 +7,7 @@ from .fingerprints import op5_winnowing_fingerprints
 from .jaccard_join import op2_ngram_jaccard_join
 from .license_scans import op10_license_scans
 from .mixing import op6_source_mixing
+from .oracles import OP3_SQL, OP10_SQL
 from .packing import op7_best_fit_packing
 from .quality_model import op8_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_license_scans": op10_license_scans,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_secret_scans": OP3_SQL, "op10_license_scans": OP10_SQL}
