@@ -21,7 +21,8 @@ STATS = ("mean_word", "symbols", "dup_lines", "repeats", "caps", "marks")
 #: Fixed point: transformed statistics are held as integers of this resolution.
 SCALE = 1024
 #: Least standard deviation of each statistic, so that a statistic that is constant in the core rejects nothing by a hair.
-FLOOR = {"mean_word": 0.35, "symbols": 0.05, "dup_lines": 0.07, "repeats": 0.06, "caps": 0.05, "marks": 0.03}
+#: Repetition has wide ones: below the base rule's limit it rejects a text only together with something else.
+FLOOR = {"mean_word": 0.35, "symbols": 0.035, "dup_lines": 0.2, "repeats": 0.16, "caps": 0.05, "marks": 0.03}
 #: Share of rows that the estimate rests on, concentration steps, and rows that a group needs for an estimate of its own.
 CORE, STEPS, LEAST_GROUP = 0.75, 3, 64
 #: Chi-square quantile for six statistics at a tail of 1e-7.
