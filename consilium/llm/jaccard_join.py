@@ -35,7 +35,8 @@ COMMON, MOST_COMMON = 1000, 50_000
 #: Nodes whose texts are fetched by a broadcast of their keys; more are fetched by a shuffle.
 FETCH = 500_000
 _LOWEST = -(2**63)
-_CHUNK = 4 << 20
+#: Bytes of text that are hashed at once, which bounds a worker's memory.
+_CHUNK = 1 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -242,10 +243,11 @@ def cross_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, maps: Bitmaps
 
 
 PAIRS = "a long, b long"
+CANDIDATES = PAIRS + ", far int"
 
 
 def tile_pairs(tiles: DataFrame, exact: bool) -> DataFrame:
-    """Candidate ``PAIRS`` (a < b) from ``tiles(tile, token, node, n, comp, side, bits)``.
+    """``CANDIDATES`` (a < b, and in how many bits they differ) from ``tiles(tile, token, node, n, comp, side, bits)``.
 
     Tiles arrive whole and in order within a partition; each is at most two
     blocks of ``BLOCK`` rows.
@@ -261,7 +263,7 @@ def tile_pairs(tiles: DataFrame, exact: bool) -> DataFrame:
         maps = Bitmaps(rows.column("bits").to_pylist())
         for i, j in cross_pairs(n, comp, side, maps, bounds) if exact else [leader_pairs(n, maps, bounds)]:
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(maps.differing(i, j), pa.int32())], names=["a", "b", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -284,7 +286,7 @@ def tile_pairs(tiles: DataFrame, exact: bool) -> DataFrame:
 
     columns = ["tile", "token", "node", "n", "comp", "side", "bits"]
     sorted_ = tiles.select(*columns).repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "node")
-    return sorted_.mapInArrow(run, PAIRS).where("a < b").distinct()
+    return sorted_.mapInArrow(run, CANDIDATES).where("a < b").distinct()
 
 
 def live_rows(heads: DataFrame) -> DataFrame:
@@ -320,32 +322,55 @@ def with_bits(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
     return tiles.join(nodes.select("node", "bits"), "node")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets are alike, by exact intersection of sorted arrays."""
+def texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of every node in ``pairs``, written once."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "key", "th"), "node")
     wanted = materialize(wanted, "jaccard-wanted")
     texts = docs.join(bounded(wanted, wanted.count(), FETCH), ["key", "th"]).groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "jaccard-texts")
+    return materialize(texts, "jaccard-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets are alike, by exact intersection of sorted arrays."""
     met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
 
+    def alike(left: np.ndarray, right: np.ndarray) -> bool:
+        both = len(np.intersect1d(left, right, assume_unique=True))
+        return both * BOTTOM >= TOP * (len(left) + len(right) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = [t for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) for t in pair]
-            keep = np.zeros(len(a), dtype=bool)
-            odd = None
-            for at, sets in chunked(texts):
-                for k, s in enumerate(sets, at):
-                    if k % 2 == 0:
-                        odd = s
-                    else:
-                        both = len(np.intersect1d(odd, s, assume_unique=True))
-                        keep[k // 2] = both * BOTTOM >= TOP * (len(odd) + len(s) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                sides = [[s for _, sets in chunked(batch.column(c).to_pylist()) for s in sets] for c in (2, 3)]
+                keep = pa.array([alike(x, y) for x, y in zip(*sides, strict=True)], pa.bool_())
+                yield batch.select([0, 1]).filter(keep)
 
     return met.select("a", "b", "left", "right").mapInArrow(run, PAIRS)
 
 
+def linked(first: DataFrame, rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Enough links to connect all that ``rest`` (CANDIDATES) connects, beyond the links ``first``.
+
+    The nearest candidates of each node come first, four times as many in each
+    round; what a round connects drops out of the next, so a group of near
+    copies is settled by few of its pairs.  Every candidate is either verified
+    or lies inside a component.
+    """
+    links, left, most, k = first, rest, 2, 0
+    while left.limit(1).count():
+        label = components(links)
+        for side in ("a", "b"):
+            left = left.join(label.withColumnRenamed("node", side).withColumnRenamed("comp", f"c{side}"), side, "left")
+        left = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "far")
+        nearest = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy("far", y))
+        left = materialize(left.withColumn("turn", F.least(nearest("a", "b"), nearest("b", "a"))), f"jaccard-left{k}")
+        links = materialize(links.unionByName(verified(left.where(F.col("turn") <= most).select("a", "b"), texts)), f"jaccard-links{k}")
+        left = left.where(F.col("turn") > most).select("a", "b", "far")
+        most, k = most * 4, k + 1
+    return links
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, comp) of every node in ``links(a, b)``: comp is the least node of its connected component.
 
@@ -402,15 +427,16 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         rest = nodes.join(moved.select("node"), "node", "left_anti").select("node", "n", "prefix")
         live = materialize(live_rows(rest.unionByName(moved)), "jaccard-live-again")
     first = tile_pairs(with_bits(split_tiles(live.withColumn("comp", F.col("node"))), nodes), exact=False)
-    links = materialize(verified(materialize(first, "jaccard-leaders"), nodes, own), "jaccard-links")
+    first = materialize(first, "jaccard-leaders").select("a", "b")
+    links = materialize(verified(first, texts_of(first, nodes, own)), "jaccard-links")
     label = components(links)
     # a tile inside one component has nothing left to compare
     held = live.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sides = Window.partitionBy("token")
     open_ = held.withColumn("lo", F.min("comp").over(sides)).withColumn("hi", F.max("comp").over(sides)).where("lo < hi").drop("lo", "hi")
     second = materialize(tile_pairs(with_bits(split_tiles(open_), nodes), exact=True), "jaccard-rest")
-    more = materialize(verified(second, nodes, own), "jaccard-links-again")
-    label = components(links.union(more)) if more.limit(1).count() else label
+    if second.limit(1).count():
+        label = components(linked(links, second, texts_of(second, nodes, own)))
     named = nodes.select("node", "n", "s1", "s2", "least").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_digest = named.join(of_comp, "comp").select("n", "s1", "s2", "component_id", "comp")
