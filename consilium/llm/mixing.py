@@ -77,12 +77,13 @@ def positions(docs: DataFrame, n_rows: int) -> DataFrame:
     return spread.join(before, ["index", "bucket"]).withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside", "bucket")
 
 
-def slots(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+def slots(sources: DataFrame, n_slots: int, block: int = BLOCK) -> DataFrame:
     """The draw: (shard, index, slot, epoch, block, take) for every slot of ``sources(index, source_size, target)``.
 
     Whole epochs take every block in full; in the last, each block in permuted
     order takes what is still missing, so a source misses its target by less
-    than a word.
+    than a word.  ``n_slots``, about how many there are, sets the number of
+    tasks: rows that unfold are small, so sizes in bytes would put all in one.
     """
     s = sources.where((F.col("source_size") > 0) & (F.round("target") > 0))
     s = s.withColumn("words", F.least(F.round("target").cast("long"), F.col("source_size") * MOST))
@@ -91,7 +92,7 @@ def slots(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     # the short block may fall early in the last epoch, hence one slot to spare
     s = s.withColumn("last", F.least(F.col("blocks"), F.when(F.col("rest") > 0, F.expr(f"(rest + {block} - tail + {block - 1}) div {block}")).otherwise(F.lit(0))))
     s = s.withColumn("n", F.col("epochs") * F.col("blocks") + F.col("last"))
-    chunks = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {UNFOLD}")))).repartition("index", "chunk")
+    chunks = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {UNFOLD}")))).repartition(n_slots // (16 * UNFOLD) + 1, "index", "chunk")
     each = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * UNFOLD, F.least(F.col("n"), (F.col("chunk") + 1) * UNFOLD) - 1)))
     each = each.withColumn("epoch", F.expr("slot div blocks")).withColumn("at", F.col("slot") - F.col("epoch") * F.col("blocks"))
     each = each.withColumn("block", permuted(F.col("at"), F.col("blocks"), F.col("index"), F.col("epoch")))
@@ -120,9 +121,10 @@ def _met(slim: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     ``head`` once more.  The second has (row, source_size, target).
     """
     targets = materialize(source_targets(slim.select("source", "size")), "mix-sources")
-    n_sources, n_rows = targets.count(), slim.count()
+    n_rows = slim.count()
+    n_sources, words = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     sources = targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("target").over(Window.partitionBy()) / SHARD_WORDS)).cast("long"))
-    uses = block_uses(materialize(slots(sources, block), "mix-slots"), n_sources, block)
+    uses = block_uses(materialize(slots(sources, int(words / block), block), "mix-slots"), n_sources, block)
     t = bounded(targets.withColumnRenamed("source", "name"), n_sources)
     named = slim.join(t, slim["source"].eqNullSafe(t["name"]))
     placed = positions(named.select("row", "doc_id", "size", "index").where(F.col("size") > 0), n_rows)
