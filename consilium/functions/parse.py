@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .bind import let
-from .text import normalize, strip, strip_dots
+from .text import strip, strip_dots
 
 # Texts that stand for no answer, and suffixes that belong to the name before the comma.
 NULL_TEXT = ("none", "n/a", "na", "unknown", "no answer", "empty", "null")
@@ -189,7 +189,3 @@ def classify(text: Column, relation: Column, is_numeric: Column, protocol: str =
 def is_pure_number(text: Column) -> Column:
     """No letter at all: a value typed as a number, not prose about one."""
     return ~text.rlike(r"\p{L}")
-
-
-def normalized_key_is_null(value: Column) -> Column:
-    return normalize(value).isin(*NULL_TEXT)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..schemas import FAMILIES
+from .storage import checkpointed
 
 # How sure each rule of equivalence is.
 CONFIDENCE = {"normalized_exact": 1.0, "parenthetical_alias": 0.98, "explicit_acronym": 0.97}
@@ -108,7 +109,7 @@ def string_components(candidates: DataFrame, edges: DataFrame, keys: Sequence[st
         near = links.join(label.select(*keys, F.col("idx").alias("v"), "component"), [*keys, "v"]).groupBy(*keys, F.col("u").alias("idx")).agg(F.min("component").alias("near"))
         least = label.join(near, [*keys, "idx"], "left").withColumn("least", F.least("component", F.coalesce("near", "component")))
         jump = least.join(label.select(*keys, F.col("idx").alias("least"), F.col("component").alias("further")), [*keys, "least"])
-        step = jump.select(*keys, "idx", F.col("component").alias("was"), F.least("least", "further").alias("component")).checkpoint()
+        step = checkpointed(jump.select(*keys, "idx", F.col("component").alias("was"), F.least("least", "further").alias("component")))
         label = step.drop("was")
         if not step.where("component < was").limit(1).count():
             links.unpersist()

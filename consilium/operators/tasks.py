@@ -53,8 +53,9 @@ def agent_tasks(rows: DataFrame, agents: DataFrame, relations: DataFrame, n_prop
     """
     phases = F.array(*[F.lit(p) for p in PHASES])
     met = rows.join(F.broadcast(relations.select("Relation", "nullable", "single")), "Relation")
-    listed = agents.groupBy().agg(F.array_sort(F.collect_list(F.struct("agent_id", "temperature"))).alias("agents"))
-    each = met.join(F.broadcast(listed)).select("SubjectEntity", "Relation", "pos", "nullable", "single", F.explode("agents").alias("a"), F.lit(None).alias("x")).drop("x")
+    # one row that holds the portfolio, met by every input row
+    listed = agents.groupBy(F.lit(1).alias("all")).agg(F.array_sort(F.collect_list(F.struct("agent_id", "temperature"))).alias("agents"))
+    each = met.withColumn("all", F.lit(1)).join(F.broadcast(listed), "all").select("SubjectEntity", "Relation", "pos", "nullable", "single", F.explode("agents").alias("a"))
     each = each.withColumn("phase", F.explode(phases))
     choices = F.when(F.col("phase") == PHASES[0], F.when(F.col("nullable"), F.array(*map(F.lit, EXISTENCE))).otherwise(F.array(F.lit("NONEMPTY")))).when(F.col("phase") == PHASES[1], cardinality_choices(F.col("nullable"), F.col("single")))
     each = each.withColumn("choices", choices)
