@@ -8,10 +8,11 @@ differ bound the overlap from above.  Only pairs that pass are compared
 exactly, by intersecting sorted arrays.
 
 Copies (equal sets) are one node from the start.  A first pass links each tile
-to a few leaders; what that connects needs no further comparison, so a large
-group of near copies never emits its pairs.  A second pass compares all the
-rest: every pair of sets in different components that shares a tile.  No link
-that could join two components is missed.
+to a few leaders, and two more link each set to its nearest in another
+component; what they connect needs no further comparison, so a large group of
+near copies never emits its pairs.  A last pass compares all the rest: every
+pair of sets in different components that shares a tile.  No link that could
+join two components is missed.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ GRAM = 5
 TOP, BOTTOM = 4, 5
 #: Leaders that the first pass tries in each tile, and rows of a tile that one block compares.
 LEADERS, BLOCK = 8, 4096
+#: Rounds in which each set is compared with its nearest in another component only, before all that is left is compared.
+NEAREST = 2
 #: A prefix shingle in more sets than this goes to the end of the order (see ``common_shingles``), the most common first.
 COMMON, MOST_COMMON = 1000, 50_000
 #: Nodes whose texts are fetched by a broadcast of their keys; more are fetched by a shuffle.
@@ -195,17 +198,21 @@ def _passing(maps: Bitmaps, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return most >= overlap_needed(n[i], n[j])
 
 
-def leader_pairs(n: np.ndarray, maps: Bitmaps, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) for each row j that passes against one of its tile's leaders i; rows are sorted by tile, then size.
+def leader_pairs(node: np.ndarray, token: np.ndarray, n: np.ndarray, maps: Bitmaps, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for each row j that passes against one of its tile's leaders i.
 
-    A tile's first row leads; the first row that no leader took leads next.
-    All tiles of the batch take their step together.
+    Leaders go by a hash of the node, one of eight by tile, so that a group
+    that meets in many tiles has many leaders.  The row first in that order
+    leads; then the first that no leader took.  All tiles of the batch take
+    their step together.
     """
-    free = np.ones(len(n), dtype=bool)
+    turn = mixed(node.view(np.uint64) ^ (token.view(np.uint64) % np.uint64(8)) << np.uint64(48))
     tile = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((turn, tile))
+    free = np.ones(len(n), dtype=bool)
     left, right = [], []
     for _ in range(LEADERS):
-        at = np.flatnonzero(free)
+        at = order[free[order]]
         if not len(at):
             break
         first = at[np.unique(tile[at], return_index=True)[1]]
@@ -214,7 +221,7 @@ def leader_pairs(n: np.ndarray, maps: Bitmaps, bounds: np.ndarray) -> tuple[np.n
         lead[tile[first]] = first
         rest = np.flatnonzero(free)
         i = lead[tile[rest]]
-        near = (i >= 0) & (n[rest] * TOP <= n[np.maximum(i, 0)] * BOTTOM)
+        near = (i >= 0) & (n[rest] * TOP <= n[np.maximum(i, 0)] * BOTTOM) & (n[np.maximum(i, 0)] * TOP <= n[rest] * BOTTOM)
         i, j = i[near], rest[near]
         ok = _passing(maps, n, i, j)
         left.append(i[ok])
@@ -223,6 +230,19 @@ def leader_pairs(n: np.ndarray, maps: Bitmaps, bounds: np.ndarray) -> tuple[np.n
     return np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
 
 
+def nearest_pairs(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: int, maps: Bitmaps) -> tuple[np.ndarray, np.ndarray]:
+    """Of all (i, j), the nearest j of each i and the nearest i of each j."""
+    best, who = np.full(size, np.iinfo(np.int64).max), np.full(size, -1)
+    for i, j in pairs:
+        far = maps.differing(i, j)
+        # i and j are each without repeats, as they lie at one distance in the order
+        for x, y in ((i, j), (j, i)):
+            closer = far < best[x]
+            best[x[closer]], who[x[closer]] = far[closer], y[closer]
+    at = np.flatnonzero(who >= 0)
+    return at, who[at]
+
+
 def cross_pairs(n: np.ndarray, comp: np.ndarray, side: np.ndarray, maps: Bitmaps, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All passing (i, j) of a tile in different components, by distance in the tile's order of size.
 
@@ -246,11 +266,12 @@ PAIRS = "a long, b long"
 CANDIDATES = PAIRS + ", far int"
 
 
-def tile_pairs(tiles: DataFrame, exact: bool) -> DataFrame:
+def tile_pairs(tiles: DataFrame, mode: str) -> DataFrame:
     """``CANDIDATES`` (a < b, and in how many bits they differ) from ``tiles(tile, token, node, n, comp, side, bits)``.
 
-    Tiles arrive whole and in order within a partition; each is at most two
-    blocks of ``BLOCK`` rows.
+    ``mode`` is leaders (of any component), nearest (of each row, in another
+    component) or all (in different components).  Tiles arrive whole and in
+    order within a partition; each is at most two blocks of ``BLOCK`` rows.
     """
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -261,7 +282,8 @@ def tile_pairs(tiles: DataFrame, exact: bool) -> DataFrame:
         change = np.flatnonzero((key[1:] != key[:-1]) | (token[1:] != token[:-1])) + 1
         bounds = np.concatenate([[0], change, [len(n)]])
         maps = Bitmaps(rows.column("bits").to_pylist())
-        for i, j in cross_pairs(n, comp, side, maps, bounds) if exact else [leader_pairs(n, maps, bounds)]:
+        found = iter([leader_pairs(node, token, n, maps, bounds)]) if mode == "leaders" else cross_pairs(n, comp, side, maps, bounds)
+        for i, j in [nearest_pairs(found, len(n), maps)] if mode == "nearest" else found:
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(maps.differing(i, j), pa.int32())], names=["a", "b", "far"])
 
@@ -352,12 +374,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def linked(first: DataFrame, rest: DataFrame, texts: DataFrame) -> DataFrame:
     """Enough links to connect all that ``rest`` (CANDIDATES) connects, beyond the links ``first``.
 
-    The nearest candidates of each node come first, four times as many in each
+    The nearest candidates of each node come first, eight times as many in each
     round; what a round connects drops out of the next, so a group of near
     copies is settled by few of its pairs.  Every candidate is either verified
     or lies inside a component.
     """
-    links, left, most, k = first, rest, 2, 0
+    links, left, most, k = first, rest, 8, 0
     while left.limit(1).count():
         label = components(links)
         for side in ("a", "b"):
@@ -367,10 +389,17 @@ def linked(first: DataFrame, rest: DataFrame, texts: DataFrame) -> DataFrame:
         left = materialize(left.withColumn("turn", F.least(nearest("a", "b"), nearest("b", "a"))), f"jaccard-left{k}")
         links = materialize(links.unionByName(verified(left.where(F.col("turn") <= most).select("a", "b"), texts)), f"jaccard-links{k}")
         left = left.where(F.col("turn") > most).select("a", "b", "far")
-        most, k = most * 4, k + 1
+        most, k = most * 8, k + 1
     return links
 
 
+def mixed_tiles(live: DataFrame, label: DataFrame) -> DataFrame:
+    """``live`` rows with their components, of the shingles that sets of different components share."""
+    held = live.drop("comp").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sides = Window.partitionBy("token")
+    return held.withColumn("lo", F.min("comp").over(sides)).withColumn("hi", F.max("comp").over(sides)).where("lo < hi").drop("lo", "hi")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, comp) of every node in ``links(a, b)``: comp is the least node of its connected component.
 
@@ -426,17 +455,24 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         moved = materialize(touched.join(again, ["n", "s1", "s2"]).select("node", "n", "prefix"), "jaccard-moved")
         rest = nodes.join(moved.select("node"), "node", "left_anti").select("node", "n", "prefix")
         live = materialize(live_rows(rest.unionByName(moved)), "jaccard-live-again")
-    first = tile_pairs(with_bits(split_tiles(live.withColumn("comp", F.col("node"))), nodes), exact=False)
+    first = tile_pairs(with_bits(split_tiles(live.withColumn("comp", F.col("node"))), nodes), "leaders")
     first = materialize(first, "jaccard-leaders").select("a", "b")
     links = materialize(verified(first, texts_of(first, nodes, own)), "jaccard-links")
     label = components(links)
-    # a tile inside one component has nothing left to compare
-    held = live.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sides = Window.partitionBy("token")
-    open_ = held.withColumn("lo", F.min("comp").over(sides)).withColumn("hi", F.max("comp").over(sides)).where("lo < hi").drop("lo", "hi")
-    second = materialize(tile_pairs(with_bits(split_tiles(open_), nodes), exact=True), "jaccard-rest")
-    if second.limit(1).count():
-        label = components(linked(links, second, texts_of(second, nodes, own)))
+    # a tile inside one component has nothing left to compare, nor has a set without a near one in another component
+    for k in range(NEAREST):
+        live = mixed_tiles(live, label)
+        near = materialize(tile_pairs(with_bits(split_tiles(live), nodes), "nearest"), f"jaccard-near{k}").select("a", "b")
+        if not near.limit(1).count():
+            break
+        active = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        live = materialize(live.join(active, "node", "left_semi"), f"jaccard-live-near{k}")
+        links = materialize(links.unionByName(verified(near, texts_of(near, nodes, own))), f"jaccard-links-near{k}")
+        label = components(links)
+    else:
+        second = materialize(tile_pairs(with_bits(split_tiles(mixed_tiles(live, label)), nodes), "all"), "jaccard-rest")
+        if second.limit(1).count():
+            label = components(linked(links, second, texts_of(second, nodes, own)))
     named = nodes.select("node", "n", "s1", "s2", "least").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_digest = named.join(of_comp, "comp").select("n", "s1", "s2", "component_id", "comp")
