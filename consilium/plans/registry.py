@@ -77,7 +77,7 @@ def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH p AS (SELECT conv_id, turn, trim(string_split(trim(text, E' \n\t\r'), E'\n')[1], ' .') AS line FROM conversations),
- q AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(line, '[,;]'), lambda x: trim(x, ' .')), lambda x: x <> '') AS parts, line FROM p)
+ q AS (SELECT conv_id, turn, list_filter(list_transform(list_transform(string_split_regex(line, '[,;]'), lambda x: trim(x, ' .')), lambda y: CASE WHEN lower(substr(y, 1, 4)) = 'and ' THEN trim(substr(y, 5)) ELSE y END), lambda z: z <> '') AS parts, line FROM p)
  SELECT conv_id, turn, CASE WHEN lower(line) IN ('', 'none', 'n/a', 'na', 'unknown', 'no answer', 'empty', 'null') THEN 0 ELSE len(parts) END::BIGINT AS n_items,
  CASE WHEN lower(line) IN ('', 'none', 'n/a', 'na', 'unknown', 'no answer', 'empty', 'null') THEN '' ELSE array_to_string(parts, '|') END AS joined FROM q""")
 def parse_answer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
