@@ -400,25 +400,40 @@ def mixed_tiles(live: DataFrame, label: DataFrame) -> DataFrame:
     return held.withColumn("lo", F.min("comp").over(sides)).withColumn("hi", F.max("comp").over(sides)).where("lo < hi").drop("lo", "hi")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, comp) of every node in ``links(a, b)``: comp is the least node of its connected component.
-
-    Each round takes the least label around a node, then the label of that
-    label, so chains shrink by powers; every round is written to the shared
-    folder.
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp) of every node in ``links(a, b)``, a != b: comp is the least node of its connected component.
+
+    Each round hooks every node onto its highest neighbour (by degree, then by
+    a hash), jumps all pointers to the roots and keeps the links between
+    different roots.  A node that is higher than all its neighbours has at
+    least as many of them as each of them has, so at most half the nodes stay
+    roots: rounds are logarithmic in the nodes for every graph, and links
+    shrink.  Every step is written to the shared folder.
     """
-    both = materialize(links.union(links.select(F.col("b"), F.col("a"))).toDF("u", "v").distinct(), "components-links")
-    label = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), "components-0")
-    for k in range(1, most_rounds):
-        near = both.join(label.select(F.col("node").alias("v"), "comp"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
-        least = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("least"))
-        jumped = least.join(label.select(F.col("node").alias("least"), F.col("comp").alias("further")), "least")
-        step = materialize(jumped.select("node", F.least("least", "further").alias("comp"), (F.least("least", "further") < F.col("comp")).alias("moved")), f"components-{k}")
-        moved = step.where("moved").limit(1).count()
-        label = step.select("node", "comp")
-        if not moved:
-            return label
-    raise RuntimeError("components did not settle")
+    edges = materialize(links.union(links.select(F.col("b"), F.col("a"))).toDF("u", "v").distinct(), "components-links")
+    hooks: list[DataFrame] = []
+    rank = lambda x: F.struct(F.col("degree").alias("degree"), F.xxhash64(x).alias("turn"), F.col(x).alias("node"))
+    while edges.limit(1).count():
+        k = len(hooks)
+        degrees = edges.groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
+        best = edges.join(degrees, "v").groupBy("u").agg(F.max(rank("v")).alias("best"), F.count(F.lit(1)).alias("degree"))
+        tree = materialize(best.select(F.col("u").alias("node"), F.greatest("best", rank("u"))["node"].alias("parent")), f"components-hooks{k}")
+        moved = 1
+        while moved:
+            above = tree.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+            step = tree.join(above, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved"))
+            step = materialize(step, f"components-jumps{k}")
+            moved, tree = step.where("moved").limit(1).count(), step.select("node", "parent")
+        hooks.append(tree)
+        for side in ("u", "v"):
+            edges = edges.join(tree.toDF(side, f"r{side}"), side)
+        edges = materialize(edges.where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), f"components-left{k}")
+    # from the last round back, so that no join is larger than its round
+    roots = (hooks.pop() if hooks else edges).toDF("node", "root")
+    for tree in reversed(hooks):
+        roots = tree.join(roots.toDF("parent", "root"), "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
+    named = roots.groupBy("root").agg(F.min("node").alias("comp"))
+    return materialize(roots.join(named, "root").select("node", "comp"), "components")
 
 
 def common_shingles(live: DataFrame) -> np.ndarray:

@@ -82,6 +82,22 @@ def test_common_shingles_and_split_tiles_change_nothing(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_components_of_long_chains_stars_and_trees(spark):
+    rng = random.Random(7)
+    n = 3000
+    ids = rng.sample(range(10**6), 2 * n)
+    chain, other = ids[:n], ids[n:]
+    # a chain in random order, a star, a caterpillar, a random tree and a complete graph
+    links = list(zip(chain, chain[1:]))
+    groups = [chain, other[:500], other[500:1000], other[1000:2000], other[2000:2030]]
+    links += [(groups[1][0], x) for x in groups[1][1:]]
+    links += [(groups[2][max(0, i - 1 - i % 2)], groups[2][i]) for i in range(1, 500)]
+    links += [(groups[3][rng.randrange(i)], groups[3][i]) for i in range(1, 1000)]
+    links += [(x, y) for x in groups[4] for y in groups[4] if x < y]
+    found = jj.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted((x, min(g)) for g in groups for x in g)
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c d e f", 1), (None, "x y", 1), (4, "a b c d e f", 1), (4, "q", 2), (9, "A B C D E F", 2), (9, "A B C D E F", 2), (5, None, 3)]
     got = run(spark, [r for r in rows if r[0] is not None], "doc_id long, text string, n int")
