@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, let, load, materialize
-from .license_texts import EQUIVALENT, KNOWN
+from .license_texts import EQUIVALENT, KNOWN, whole_texts
 
 #: A line of a holder and a year, not a sentence that speaks of copyright.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by\b|:)|\(c\)[ \t]*(?:copyright|[0-9]{4})|©)[^\n]*$|(?m)^[^a-z0-9\n]*all rights reserved\.?[ \t]*$"
@@ -46,8 +46,12 @@ def digest(text: Column) -> Column:
 
 
 def catalogue(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, license_id, kind) of the known texts, one row a digest; the smaller id wins a tie."""
-    rows = [(name, text) for name, texts in (known or KNOWN).items() for text in texts]
+    """(digest, license_id) of the known texts, one row a digest; the smaller id wins a tie.
+
+    Without ``known`` those are ``KNOWN`` and the whole texts in ``licenses``.
+    """
+    sources = [known] if known else [KNOWN, whole_texts()]
+    rows = [(name, text) for source in sources for name, texts in source.items() for text in texts]
     df = spark.createDataFrame(rows, "license_id string, text string")
     return df.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 

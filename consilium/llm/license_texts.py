@@ -1,5 +1,7 @@
 """Spellings held equal, and known licence texts and notices."""
 
+from pathlib import Path
+
 # Spellings that licence matching guidelines hold equal, keyed by the spelling to replace.
 EQUIVALENT = {
     "acknowledgement": "acknowledgment",
@@ -64,3 +66,22 @@ KNOWN = {
     "MIT": [_MIT, "MIT License\n\n" + _MIT, "The MIT License (MIT)\n\n" + _MIT, "Released under the MIT License.", "Licensed under the MIT License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
 }
+
+#: After this line a licence tells how to apply it, which many copies leave out.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> dict[str, list[str]]:
+    """The whole texts in ``licenses``, named by id: as they are, without what follows the terms, and with the year and owner line filled in.
+
+    A filled-in line is a copyright line, which canonical texts drop.
+    """
+    found = {}
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        kept = [text, "\n".join(x for x in text.split("\n") if "Copyright [yyyy]" not in x)]
+        if TERMS_END in text:
+            terms = text[: text.index(TERMS_END)]
+            kept += [terms, terms + TERMS_END]
+        found[path.stem] = list(dict.fromkeys(kept))
+    return found

@@ -1,5 +1,7 @@
 """Secret scans, quality rules, token counts and licence scans on small fixtures."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,16 @@ def test_licences_by_whole_text_and_notice(spark):
     assert got[2] == ("MIT", 1, "MIT")
     assert got[3][0] is None
     assert got[4] == got[5] == got[6] == (None, 0, "")
+
+
+def test_whole_licences_are_found(spark):
+    folder = Path(license_texts.__file__).parent / "licenses"
+    whole = {p.stem: p.read_text(encoding="utf-8") for p in sorted(folder.glob("*.txt"))}
+    assert {"Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0"} <= set(whole)
+    want = list(whole.items())
+    want += [(k, " ".join(t.upper().split("\n"))) for k, t in whole.items() if "copyright (c)" not in t.lower() and "copyright [" not in t.lower()]
+    want += [("Apache-2.0", whole["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Somebody"))]
+    want += [(k, whole[k].split("END OF TERMS")[0]) for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0")]
+    want += [(None, t[: len(t) // 2]) for t in whole.values()]
+    got = {r.doc_id: r.license_id for r in license_scans.scan_licenses(rows_of(spark, [t for _, t in want])).collect()}
+    assert [got[i] for i in range(len(want))] == [k for k, _ in want]
