@@ -14,7 +14,7 @@ from .common import load
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CONTEXT = ("system",)
-#: Turn numbers that one rendered part covers.
+#: Turn numbers that one rendered part covers, where a dialogue is cut.
 PART_TURNS = 256
 
 
@@ -28,7 +28,7 @@ def named(role: Column) -> Column:
     return F.regexp_replace(F.coalesce(role, F.lit("nobody")), r"[\s<>|]+", "_")
 
 
-def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT, part_turns: int = PART_TURNS) -> DataFrame:
+def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT, part_turns: int | None = PART_TURNS) -> DataFrame:
     """One row for each dialogue part and each participant who speaks in it:
     conv_id, perspective, part, n_turns, n_masked, rendered, mask.
 
@@ -36,14 +36,16 @@ def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT, part_turns: int
     assistant says, closing marker included; all else carries no loss.  Turns
     are in order of number, then role, then text; a null turn comes first.
     Null texts are empty turns, a null role is a participant named nobody and
-    repeated rows are said twice.  A null conv_id is one dialogue.  Parts of
-    ``part_turns`` turn numbers bound what one row holds; a part in which a
-    participant is silent has nothing to learn from and is left out, as is a
-    part with context alone.
+    repeated rows are said twice.  A null conv_id is one dialogue.  With
+    ``part_turns`` None every dialogue is whole: one row, of part 0, for each
+    participant.  A number cuts dialogues into parts of so many turn numbers
+    that are rendered alone, where a part in which a participant is silent is
+    left out.  A dialogue or part with context alone has no participant.
     """
     own = turns.select(turns["conv_id"].alias("conv_id"), turns["turn"].cast("long").alias("turn"), turns["role"].alias("role"), turns["text"].alias("text"))
     own = own.withColumn("speaker", F.when(F.lower("role").isin(*context), F.lit(None)).otherwise(named(F.col("role"))))
-    own = own.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long"))
+    part = F.lit(0) if part_turns is None else F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0))
+    own = own.withColumn("part", part.cast("long"))
     said = F.struct("turn", F.col("role").alias("role"), F.col("text").alias("text"), "speaker", clean(F.col("text")).alias("clean"))
     parts = own.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(said)).alias("said"))
     speakers = F.array_sort(F.array_distinct(F.filter(F.transform("said", lambda s: s["speaker"]), lambda s: s.isNotNull())))
@@ -74,7 +76,7 @@ def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT, part_turns: int
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotate(load(spark, sf_dir, "conversations"))
+    return rotate(load(spark, sf_dir, "conversations"), part_turns=None)
 
 
 OP1_SQL = f"""

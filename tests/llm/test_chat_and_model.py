@@ -32,6 +32,19 @@ def test_masks_cover_the_assistant_alone(spark):
     assert chat_format.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_dialogues_stay_whole(spark, tmp_path):
+    turns = [(1, 0, "system", "be kind")] + [(1, i, "ann" if i % 2 else "bob", f"t{i}") for i in range(1, 700)] + [(1, 700, "eve", "late")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.perspective: r for r in chat_format.op1_chat_format(spark, str(tmp_path)).collect()}
+    assert set(got) == {"ann", "bob", "eve"}
+    for who, r in got.items():
+        heads = {"system": "system", who: "assistant"}
+        assert r.rendered == "".join(f"<|im_start|>{heads.get(role, 'user name=' + role)}\n{text}<|im_end|>\n" for _, _, role, text in turns)
+        spans = [tuple(map(int, s.split(":"))) for s in r.mask.split(",")]
+        assert [r.rendered[a:b] for a, b in spans] == [text + "<|im_end|>" for _, _, role, text in turns if role == who]
+        assert (r.part, r.n_turns, r.n_masked) == (0, 701, len(spans))
+
+
 def test_held_out_accuracy(spark):
     rows = quality_model.op8_quality_classifier(spark, MIDDLE).join(spark.read.parquet(f"{MIDDLE}/labels.parquet"), "doc_id").collect()
     out = [r for r in rows if r.held_out]
