@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, load, materialize
+from .common import WORD, bounded, load, materialize
 
 GRAM = 5
 #: Similarity as a fraction, exact in integers: 100 * intersection >= 80 * union.
@@ -446,15 +446,8 @@ def common_shingles(live: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.token for r in found.collect()], dtype=np.int64).view(np.uint64))
 
 
-def similarity_components(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id.
-
-    Null and blank texts have no shingles and are their own component; texts
-    of fewer words than a shingle are one shingle.  Copies are linked.  A
-    document without an id takes part in links, but never names a component
-    unless no member has an id (component_id is then null).  Rows that repeat
-    an id are documents of their own.  Other columns are not read.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """One row a document: key (doc_id, or the least number), doc_id, th (hash of the text), n_shingles, component_id, comp (null: no shingle)."""
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     own = own.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("key"), "doc_id", F.xxhash64("text").alias("th"), "text")
     sets = materialize(shingled(own), "jaccard-sets")
@@ -491,26 +484,44 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     named = nodes.select("node", "n", "s1", "s2", "least").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_digest = named.join(of_comp, "comp").select("n", "s1", "s2", "component_id", "comp")
-    filled = sets.where("n > 0").select("doc_id", "n", "s1", "s2").join(by_digest, ["n", "s1", "s2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    empty = sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    filled = sets.where("n > 0").select("key", "doc_id", "th", "n", "s1", "s2").join(by_digest, ["n", "s1", "s2"]).select("key", "doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id", "comp")
+    empty = sets.where("n = 0").select("key", "doc_id", "th", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
     return filled.unionByName(empty)
 
 
+def similarity_components(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id.
+
+    Null and blank texts have no shingles and are their own component; texts
+    of fewer words than a shingle are one shingle.  Copies are linked.  A
+    document without an id takes part in links, but never names a component
+    unless no member has an id (component_id is then null).  Rows that repeat
+    an id are documents of their own.  Other columns are not read.
+    """
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of alike texts, the one of the least id; rows keep their columns.
+    """``docs`` with one row of each group of alike texts; rows keep their columns.
 
-    Of rows that share an id the least text stays.  Rows without an id stay
-    only where no document with an id is like them, and then all of them do.
+    The row of the least id stays, one without an id only where no member has
+    one; of those, the one of the least hash of its text.  Rows that repeat an
+    id are documents of their own.  A null or blank text is like no other, so
+    its row always stays.
     """
-    members = materialize(similarity_components(docs).select("doc_id", "component_id"), "jaccard-components")
-    chosen = members.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(chosen, docs["doc_id"] == chosen["__id"], "left_semi")
-    if members.where("doc_id is not null").count() != members.select("doc_id").where("doc_id is not null").distinct().count():
-        names = docs.columns
-        turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        stay = stay.withColumn("__turn", turn).where("__turn = 1").select(*names)
-    alone = members.where("doc_id is null and component_id is null").limit(1).count()
-    return stay.unionByName(docs.where(F.col("doc_id").isNull())) if alone else stay
+    names = docs.columns
+    text = F.coalesce(docs["text"], F.lit(""))
+    keyed = docs.withColumns({"__key": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LOWEST)), "__th": F.xxhash64(text)})
+    members = _grouped(docs).where("comp is not null").groupBy("comp", "key", "th").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "key", "th", "copies"))
+    chosen = materialize(members.groupBy("comp").agg(first.alias("first")).select(F.col("first.key").alias("__key"), F.col("first.th").alias("__th"), "first.copies"), "jaccard-chosen")
+    words = keyed.where(text.rlike(WORD))
+    stay = words.join(chosen.where("copies = 1"), ["__key", "__th"], "left_semi").select(*names)
+    if chosen.where("copies > 1").limit(1).count():
+        turn = F.row_number().over(Window.partitionBy("__key", "__th").orderBy("__key"))
+        repeated = words.join(chosen.where("copies > 1"), ["__key", "__th"], "left_semi")
+        stay = stay.unionByName(repeated.withColumn("__turn", turn).where("__turn = 1").select(*names))
+    return stay.unionByName(docs.where(~text.rlike(WORD)))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,13 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rows = [(None, None), (None, " "), (None, "a b c d e f"), (1, "a b c d e f"), (None, "p q r s t u"), (None, "P q r s t u"), (4, "k l m n o p"), (4, "v w x y z a"), (4, "v w x y z a"), (0, "k l m n o p"), (7, ""), (7, "")]
+    got = jj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted((str(r.doc_id), str(r.text).lower()) for r in got)
+    assert kept == sorted([("None", "none"), ("None", " "), ("1", "a b c d e f"), ("None", "p q r s t u"), ("4", "v w x y z a"), ("0", "k l m n o p"), ("7", ""), ("7", "")])
+
+
 def test_hashing_matches_the_definition_of_sets():
     texts = ["A b  c\td\x0be f", "a B c d e f", "a b", "", "é É é É é É", "x" * 70_000 + " b c d e f g", "a b c d e a b c d e a b c d e"]
     got = jj.shingle_sets([t.encode() for t in texts])
