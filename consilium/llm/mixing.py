@@ -102,17 +102,43 @@ def slots(sources: DataFrame, n_slots: int, block: int = BLOCK) -> DataFrame:
     )
 
 
-def block_uses(drawn: DataFrame, n_sources: int, block: int = BLOCK) -> DataFrame:
-    """(index, block, full, part): how often a block is taken whole, and the words of a last use that takes its head only."""
+def taken_slots(drawn: DataFrame, n_sources: int, block: int = BLOCK) -> DataFrame:
+    """(shard, index, slot, epoch, block, held, take) of the slots of ``drawn`` that take a word or more."""
     where = drawn.groupBy("index").agg(F.min("short_at").alias("short"))
     d = drawn.join(bounded(where, n_sources), "index")
     before = F.col("at") * block - F.when(F.col("short") < F.col("at"), block - F.col("tail")).otherwise(F.lit(0))
     take = F.when(F.col("epoch") < F.col("epochs"), F.col("held")).otherwise(F.greatest(F.lit(0), F.least(F.col("held"), F.col("rest") - before)))
-    d = d.withColumn("take", take).where(F.col("take") > 0)
+    return d.select("shard", "index", "slot", "epoch", "block", "held", take.alias("take")).where(F.col("take") > 0)
+
+
+def block_uses(drawn: DataFrame, n_sources: int, block: int = BLOCK) -> DataFrame:
+    """(index, block, full, part): how often a block is taken whole, and the words of a last use that takes its head only."""
+    d = taken_slots(drawn, n_sources, block)
     whole = F.col("take") == F.col("held")
     return d.groupBy("index", "block").agg(F.sum(whole.cast("long")).alias("full"), F.max(F.when(~whole, F.col("take")).otherwise(F.lit(0))).alias("part"))
 
 
+def _draw(slim: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """The targets, the drawn slots and the number of sources of ``slim(source, size)``."""
+    targets = materialize(source_targets(slim.select("source", "size")), "mix-sources")
+    n_sources, words = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    sources = targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("target").over(Window.partitionBy()) / SHARD_WORDS)).cast("long"))
+    return targets, materialize(slots(sources, int(words / block), block), "mix-slots"), n_sources
+
+
+def shard_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix by output shard: (shard, source, slot, epoch, block, words), a row for each slot that takes words.
+
+    ``block`` numbers the source's stream, of which the slot takes the first
+    ``words`` words of that block.  This is the draw of ``mix`` and
+    ``mixed_documents``: a source's words over all shards are what those take.
+    """
+    slim, _ = _numbered(docs)
+    targets, drawn, n_sources = _draw(slim, block)
+    names = bounded(targets.select("index", "source"), n_sources)
+    return taken_slots(drawn, n_sources, block).join(names, "index").select("shard", "source", "slot", "epoch", "block", F.col("take").cast("long").alias("words"))
+
+
 def _met(slim: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """For ``slim(row, doc_id, source, size)``: each row's share of each block that is used, and each row's source.
 
@@ -120,11 +146,9 @@ def _met(slim: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     to ``last`` of the source's stream are taken ``full`` times, those before
     ``head`` once more.  The second has (row, source_size, target).
     """
-    targets = materialize(source_targets(slim.select("source", "size")), "mix-sources")
     n_rows = slim.count()
-    n_sources, words = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
-    sources = targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("target").over(Window.partitionBy()) / SHARD_WORDS)).cast("long"))
-    uses = block_uses(materialize(slots(sources, int(words / block), block), "mix-slots"), n_sources, block)
+    targets, drawn, n_sources = _draw(slim, block)
+    uses = block_uses(drawn, n_sources, block)
     t = bounded(targets.withColumnRenamed("source", "name"), n_sources)
     named = slim.join(t, slim["source"].eqNullSafe(t["name"]))
     placed = positions(named.select("row", "doc_id", "size", "index").where(F.col("size") > 0), n_rows)

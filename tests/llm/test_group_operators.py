@@ -1,6 +1,8 @@
 """Fingerprints, mixing and packing on small fixtures."""
 
+import collections
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -94,6 +96,27 @@ def test_mix_meets_its_targets(spark):
     assert [r.taken for r in mixing.mix(docs.where("text is null"), "doc_id").limit(1).collect()] == [0]
 
 
+def test_shards_hold_the_mix_in_drawn_counts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 4096)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    taken, size, target = {}, {}, {}
+    for r in mixing.mix(docs, "source").collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        size[r.source], target[r.source] = r.source_size, r.target
+    rows = mixing.shard_blocks(docs).collect()
+    shards = math.ceil(sum(target.values()) / 4096)
+    assert shards > 4 and {r.shard for r in rows} == set(range(shards))
+    assert len({(r.source, r.slot) for r in rows}) == len(rows) and len({(r.source, r.epoch, r.block) for r in rows}) == len(rows)
+    for source, words in taken.items():
+        own = [r for r in rows if r.source == source]
+        assert sum(r.words for r in own) == words
+        assert all(0 < r.words <= min(64, size[source] - 64 * r.block) for r in own)
+        # counts of slots on the shards are multinomial with equal shares
+        counts, mean = collections.Counter(r.shard for r in own), len(own) / shards
+        assert abs(sum((counts[k] - mean) ** 2 for k in range(shards)) / mean - (shards - 1)) < 5 * (2 * (shards - 1)) ** 0.5
+    assert mixing.shard_blocks(docs.limit(0)).count() == 0
+
+
 def test_plan_gives_every_piece_a_place():
     rng = np.random.default_rng(3)
     for n in (1, 40, 4000):
