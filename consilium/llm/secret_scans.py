@@ -47,6 +47,12 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+_BEGIN, _END = (f"-----{x} [A-Z ]{{0,24}}PRIVATE KEY-----" for x in ("BEGIN", "END"))
+# All up to the END line (header lines hold single dashes), or the lines of base64 that follow where there is none.
+_KEY = rf"{_BEGIN}(?:(?:[^-]*+-(?!----)){{0,64}}[^-]*+{_END}|(?:\s*[A-Za-z0-9+/=]{{32,}}+){{1,1000}}(?:\s*\n[A-Za-z0-9+/]{{1,76}}={{0,2}}(?=\r?\n|$))?)?"
+#: What ``redact`` masks: ``RULES``, but a private key with its body, of which the scan's span is the BEGIN line.
+MASKED = tuple(Rule("pem", _KEY, 10, version=2) if r.kind == "pem" else r for r in RULES)
+
 SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 
 
@@ -143,14 +149,14 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced by ``mask``, and n_chars recounted.
+    """``docs`` with every span of ``text`` that ``MASKED`` finds replaced by ``mask``, and n_chars recounted.
 
     Overlapping spans are merged first.  Every column, row and clean text stays as it was.
     """
     names = docs.columns
     work = docs.withColumn("__blob", content_address(F.col("text")))
-    fresh = materialize(scan_blobs(work.select(F.col("__blob").alias("blob"), F.coalesce("text", F.lit("")).alias("text"))), "secret-ledger")
-    hits = findings(fresh.select("blob"), fresh).where(F.size("found") > 0).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
+    fresh = materialize(scan_blobs(work.select(F.col("__blob").alias("blob"), F.coalesce("text", F.lit("")).alias("text")), rules=MASKED), "secret-ledger")
+    hits = findings(fresh.select("blob"), fresh, MASKED).where(F.size("found") > 0).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
     out = work.join(hits, "__blob", "left")
 
     def step(acc: Column, s: Column) -> Column:

@@ -70,6 +70,15 @@ def test_redaction_leaves_clean_rows_alone(spark):
     assert (got[2].text, got[2].n_chars, got[3].text, got[3].n_chars, got[3].blob) == ("clean", 5, None, None, "y")
 
 
+def test_redaction_masks_a_private_key_with_its_body(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(["MIIEow+/" * 8] * 25 + ["QUJDRA"])
+    headed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n" + body
+    texts = [f"a {begin}\n{body}\n{end} z", f"a {begin}\n{headed}\n{end} z", f"a {begin}\n{body}\nmore words", f"{begin} is a header of keys", f"a {begin}\n{body}\n{end} m {begin}\n{body}\n{end} z", f"{begin} x " + "- " * 50_000]
+    got = {r.doc_id: r.text for r in secret_scans.redact(rows_of(spark, texts)).collect()}
+    assert [got[i] for i in range(6)] == ["a [SECRET] z", "a [SECRET] z", "a [SECRET]\nmore words", "[SECRET] is a header of keys", "a [SECRET] m [SECRET] z", "[SECRET] x " + "- " * 50_000]
+
+
 def test_base_rules_equal_brute_force(spark, odd):
     docs = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{SMALL}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text"))
     docs = docs.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "kept": F.lit(1)})
