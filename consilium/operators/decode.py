@@ -6,6 +6,7 @@ detail); a row that cannot be judged keeps its objects and says why.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -70,6 +71,24 @@ def fit_ridge(rows: DataFrame, xs: Sequence[str], y: str, weight: str | None = N
     return np.linalg.lstsq(a + penalty, b, rcond=None)[0]
 
 
+def fit_residual_ridge(rows: DataFrame, xs: Sequence[str], y: str, weight: str, l2: float = 10.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, mean, scale): ridge on standardised ``xs`` after an intercept free of the penalty; weights sum to the rows.
+
+    No row, a weight that is not above zero or a value that is not finite is an error.
+    """
+    finite = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    wrong = F.count_if(~functools.reduce(lambda a, b: a & b, [finite(c) for c in (*xs, y, weight)]) | (F.col(weight) <= 0))
+    n, total, bad, *sums = rows.agg(F.count(F.lit(1)), F.sum(weight), wrong, *[F.sum(F.col(weight) * F.col(x)) for x in xs]).first()
+    if not n or bad:
+        raise ValueError("invalid ridge rows")
+    mean = np.array(sums) / total
+    variance = np.array(rows.agg(*[F.sum(F.col(weight) * (F.col(x) - float(m)) ** 2) for x, m in zip(xs, mean, strict=True)]).first()) / total
+    scale = np.where(variance > 1e-12, np.sqrt(variance), 1.0)
+    design = [F.lit(1.0).alias("z0")] + [((F.col(x) - float(m)) / float(s)).alias(f"z{i}") for i, (x, m, s) in enumerate(zip(xs, mean, scale, strict=True), 1)]
+    scaled = rows.select(*design, F.col(y).alias("y"), (F.col(weight) * float(n / total)).alias("w"))
+    return fit_ridge(scaled, [f"z{i}" for i in range(len(xs) + 1)], "y", "w", l2), mean, scale
+
+
 def fit_logistic(rows: DataFrame, xs: Sequence[str], y: str, weight: str | None = None, l2: float = 2.0, rounds: int = 60, tolerance: float = 1e-9) -> np.ndarray:
     """Newton steps over Spark sums; at most ``rounds`` passes, fewer once the step is small."""
     beta = np.zeros(len(xs))

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,3 +319,20 @@ def test_running_votes_keep_samples_apart(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT max(votes) AS v FROM votes_now").first().v == 2
+
+
+def test_residual_ridge_is_standardised_and_weighted(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal([5, -2, 7], [10, 0.1, 0], (40, 3))
+    y, w = x @ [0.5, 4, 1] + rng.normal(size=40), rng.uniform(0.2, 3, 40)
+    rows = [(*map(float, r), float(b), float(c)) for r, b, c in zip(x, y, w, strict=True)]
+    got, mean, scale = decode.fit_residual_ridge(spark.createDataFrame(rows, "a double, b double, c double, y double, w double"), ["a", "b", "c"], "y", "w")
+    v = w * 40 / w.sum()
+    m = np.average(x, axis=0, weights=v)
+    var = np.average((x - m) ** 2, axis=0, weights=v)
+    s = np.where(var > 1e-12, np.sqrt(var), 1.0)
+    d = np.column_stack([np.ones(40), (x - m) / s])
+    want = np.linalg.solve((d * v[:, None]).T @ d + np.diag([0, 10.0, 10, 10]), d.T @ (v * y))
+    assert got == pytest.approx(want, abs=1e-8) and mean == pytest.approx(m) and scale == pytest.approx(s)
+    with pytest.raises(ValueError):
+        decode.fit_residual_ridge(spark.createDataFrame([(1.0, 1.0, 0.0)], "a double, y double, w double"), ["a"], "y", "w")
