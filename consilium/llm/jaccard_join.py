@@ -7,12 +7,12 @@ sets are compared by size and by hashed bitmaps: the bits in which two bitmaps
 differ bound the overlap from above.  Only pairs that pass are compared
 exactly, by intersecting sorted arrays.
 
-Copies (equal sets) are one node from the start.  A first pass links each tile
-to a few leaders, and two more link each set to its nearest in another
-component; what they connect needs no further comparison, so a large group of
-near copies never emits its pairs.  A last pass compares all the rest: every
-pair of sets in different components that shares a tile.  No link that could
-join two components is missed.
+Copies (equal sets) are one node from the start.  A first pass, over a few
+shingles of each set, links each tile to a few leaders, and two more link each
+set to its nearest in another component; what they connect needs no further
+comparison, so a large group of near copies never emits its pairs.  A last pass
+compares all the rest: every pair of sets in different components that shares a
+tile.  No link that could join two components is missed.
 """
 
 from __future__ import annotations
@@ -24,19 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, load, materialize
+from .common import WORD, bounded, keep, load, materialize, scratch
 
 GRAM = 5
 #: Similarity as a fraction, exact in integers: 100 * intersection >= 80 * union.
 TOP, BOTTOM = 4, 5
-#: Leaders that the first pass tries in each tile, and rows of a tile that one block compares.
-LEADERS, BLOCK = 8, 4096
+#: Leaders that the first pass tries in each tile, the shingles of a set that it looks at (to twice as many), and rows of a tile that one block compares.
+LEADERS, FIRST, BLOCK = 8, 4, 4096
 #: Rounds in which each set is compared with its nearest in another component only, before all that is left is compared.
 NEAREST = 2
 #: A prefix shingle in more sets than this goes to the end of the order (see ``common_shingles``), the most common first.
 COMMON, MOST_COMMON = 1000, 50_000
 #: Nodes whose texts are fetched by a broadcast of their keys; more are fetched by a shuffle.
 FETCH = 500_000
+#: Links that one task connects by itself; more are first contracted in rounds.
+FINISH = 1_000_000
 _LOWEST = -(2**63)
 #: Bytes of text that are hashed at once, which bounds a worker's memory.
 _CHUNK = 1 << 20
@@ -206,7 +208,7 @@ def leader_pairs(node: np.ndarray, token: np.ndarray, n: np.ndarray, maps: Bitma
     leads; then the first that no leader took.  All tiles of the batch take
     their step together.
     """
-    turn = mixed(node.view(np.uint64) ^ (token.view(np.uint64) % np.uint64(8)) << np.uint64(48))
+    turn = mixed(node.view(np.uint64) ^ (mixed(token.view(np.uint64)) % np.uint64(8)) << np.uint64(48))
     tile = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     order = np.lexsort((turn, tile))
     free = np.ones(len(n), dtype=bool)
@@ -311,33 +313,64 @@ def tile_pairs(tiles: DataFrame, mode: str) -> DataFrame:
     return sorted_.mapInArrow(run, CANDIDATES).where("a < b").distinct()
 
 
+def token_counts(heads: DataFrame) -> DataFrame:
+    """(token, sets) of prefix shingles that two sets or more have; ``heads(node, n, prefix)``.  Counts are summed before they move."""
+    return heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+
+
 def live_rows(heads: DataFrame) -> DataFrame:
-    """(token, node, n, sets) of prefix shingles that two sets or more have; ``heads(node, n, prefix)``."""
+    """(token, node, n, sets) of the shingles that ``token_counts`` finds; a frequent one's rows are split by the adaptive join."""
     rows = heads.select("node", "n", F.explode("prefix").alias("token"))
-    counted = rows.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    return counted.where("sets > 1")
+    return rows.join(token_counts(heads), "token").select("token", "node", "n", "sets")
+
+
+def _banded(live: DataFrame) -> DataFrame:
+    """``live`` rows in overlapping size bands: alike sets are in the same band or in neighbours, as bands grow by BOTTOM / TOP."""
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BOTTOM / TOP))).cast("long")
+    return live.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+
+
+def _whole_tiles(live: DataFrame) -> DataFrame:
+    return live.where(F.col("sets") <= BLOCK).select("token", "node", "n", "comp", F.lit(0).cast("long").alias("tile"), F.lit(2).alias("side"))
+
+
+def leader_tiles(live: DataFrame) -> DataFrame:
+    """A few of ``live``'s shingles of each set as tiles of about ``BLOCK`` rows at most, for the first pass.
+
+    Shingles go by their low bits, so alike sets choose alike.  A large size
+    band is dealt into blocks by a hash of node and shingle, so sets that miss
+    each other in one shingle's blocks meet in another's.
+    """
+    step = F.expr(f"shiftleft(1L, cast(floor(log2(greatest(1.0D, n / {BOTTOM * FIRST}))) as int))")
+    live = live.where(F.pmod("token", step) == 0)
+    large = _banded(live.where(F.col("sets") > BLOCK))
+    block = F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("sets") / BLOCK).cast("long"))
+    return _whole_tiles(live).unionByName(large.select("token", "node", "n", "comp", F.xxhash64(F.lit(2), F.col("band"), block).alias("tile"), F.lit(2).alias("side")))
 
 
 def split_tiles(live: DataFrame) -> DataFrame:
-    """``live`` as tiles of bounded size.
+    """``live`` as tiles of bounded size in which all pairs of different components meet.
 
-    A shingle's rows are cut into overlapping size bands (each row goes to its
-    own band and the next larger one's), so that only sets of like size meet;
-    a band of more than ``BLOCK`` rows becomes blocks, and each two of its
-    blocks meet in a tile of their own.
+    A frequent shingle's rows are cut into overlapping size bands, so that only
+    sets of like size meet.  A band of more than ``BLOCK`` rows becomes blocks:
+    those of its largest component, whose rows need not meet each other, and
+    those of all others, which meet each other and the former.
     """
-    # bands grow by BOTTOM / TOP: alike sets are in the same band or in neighbours
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BOTTOM / TOP))).cast("long")
-    both = live.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    small = live.where(F.col("sets") <= BLOCK).select("token", "node", "n", "comp", F.lit(0).cast("long").alias("tile"), F.lit(2).alias("side"))
-    large = both.where(F.col("sets") > BLOCK)
-    size = large.groupBy("token", "band").agg(F.count(F.lit(1)).alias("rows"))
-    large = large.join(size, ["token", "band"]).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    tile = F.xxhash64(F.lit(1), F.col("band"), lo, hi)
-    side = F.when(lo == hi, 2).when(F.col("block") == lo, 0).otherwise(1)
-    return small.unionByName(large.select("token", "node", "n", "comp", tile.alias("tile"), side.cast("int").alias("side")))
+    large = _banded(live.where(F.col("sets") > BLOCK))
+    held = large.groupBy("token", "band", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    size = held.groupBy("token", "band").agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "comp")).alias("most"))
+    large = large.join(size, ["token", "band"])
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("long")
+    large = large.withColumns({"ours": F.col("comp") == F.col("most.comp"), "own_blocks": blocks(F.col("most.rows")), "other_blocks": blocks(F.col("all") - F.col("most.rows"))})
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("ours"), F.col("own_blocks")).otherwise(F.col("other_blocks")))
+    others = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    large = large.withColumn("block", block)
+    # (kind, lesser block, greater block, side): kind 0 is a block of the largest component with one of the others
+    mine = F.transform(others(F.col("other_blocks")), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("lo"), F.col("block").alias("hi"), F.lit(1).alias("side")))
+    met = F.transform(others(F.col("own_blocks")), lambda x: F.struct(F.lit(0).alias("kind"), F.col("block").alias("lo"), x.alias("hi"), F.lit(0).alias("side")))
+    among = F.transform(others(F.col("other_blocks")), lambda x: F.struct(F.lit(1).alias("kind"), F.least("block", x).alias("lo"), F.greatest("block", x).alias("hi"), F.when(x == F.col("block"), 2).when(F.col("block") < x, 0).otherwise(1).alias("side")))
+    large = large.withColumn("at", F.explode(F.when(F.col("ours"), mine).otherwise(F.concat(met, among))))
+    return _whole_tiles(live).unionByName(large.select("token", "node", "n", "comp", F.xxhash64(F.lit(1), "band", "at.kind", "at.lo", "at.hi").alias("tile"), F.col("at.side").alias("side")))
 
 
 def with_bits(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -396,24 +429,45 @@ def linked(first: DataFrame, rest: DataFrame, texts: DataFrame) -> DataFrame:
 def mixed_tiles(live: DataFrame, label: DataFrame) -> DataFrame:
     """``live`` rows with their components, of the shingles that sets of different components share."""
     held = live.drop("comp").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sides = Window.partitionBy("token")
-    return held.withColumn("lo", F.min("comp").over(sides)).withColumn("hi", F.max("comp").over(sides)).where("lo < hi").drop("lo", "hi")
-
-
-def components(links: DataFrame) -> DataFrame:
+    shared = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return held.join(shared, "token", "left_semi")
+
+
+def connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the links (u, v), and the least node of its connected component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent = np.arange(len(nodes))
+    left, right = at[: len(u)], at[len(u) :]
+    while True:
+        a, b = parent[left], parent[right]
+        open_ = a != b
+        if not open_.any():
+            return nodes, nodes[parent]
+        left, right, a, b = left[open_], right[open_], a[open_], b[open_]
+        # each root hooks onto its least neighbour, which is below it; then all point to their roots
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = parent[parent]
+            if np.array_equal(above, parent):
+                break
+            parent = above
+
+
+def components(links: DataFrame, finish: int = FINISH) -> DataFrame:
     """(node, comp) of every node in ``links(a, b)``, a != b: comp is the least node of its connected component.
 
-    Each round hooks every node onto its highest neighbour (by degree, then by
-    a hash), jumps all pointers to the roots and keeps the links between
-    different roots.  A node that is higher than all its neighbours has at
-    least as many of them as each of them has, so at most half the nodes stay
-    roots: rounds are logarithmic in the nodes for every graph, and links
-    shrink.  Every step is written to the shared folder.
+    While there are more than ``finish`` links, a round hooks every node onto
+    its highest neighbour (by degree, then by a hash), jumps all pointers to
+    the roots and keeps the links between different roots.  A node that is
+    higher than all its neighbours has at least as many of them as each of them
+    has, so at most half the nodes stay roots: rounds are logarithmic in the
+    nodes for every graph, and links shrink.  One task connects the bounded
+    rest.  Every step is written to the shared folder.
     """
     edges = materialize(links.union(links.select(F.col("b"), F.col("a"))).toDF("u", "v").distinct(), "components-links")
     hooks: list[DataFrame] = []
     rank = lambda x: F.struct(F.col("degree").alias("degree"), F.xxhash64(x).alias("turn"), F.col(x).alias("node"))
-    while edges.limit(1).count():
+    while edges.count() > max(0, 2 * finish):
         k = len(hooks)
         degrees = edges.groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
         best = edges.join(degrees, "v").groupBy("u").agg(F.max(rank("v")).alias("best"), F.count(F.lit(1)).alias("degree"))
@@ -428,42 +482,59 @@ def components(links: DataFrame) -> DataFrame:
         for side in ("u", "v"):
             edges = edges.join(tree.toDF(side, f"r{side}"), side)
         edges = materialize(edges.where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), f"components-left{k}")
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in connected(u, v)], names=["node", "root"])
+
+    # bounded: at most ``finish`` links, each in one direction
+    roots = edges.where("u < v").coalesce(1).mapInArrow(finished, "node long, root long")
     # from the last round back, so that no join is larger than its round
-    roots = (hooks.pop() if hooks else edges).toDF("node", "root")
     for tree in reversed(hooks):
         roots = tree.join(roots.toDF("parent", "root"), "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
+    if not hooks:
+        return materialize(roots.withColumnRenamed("root", "comp"), "components")
     named = roots.groupBy("root").agg(F.min("node").alias("comp"))
     return materialize(roots.join(named, "root").select("node", "comp"), "components")
 
 
-def common_shingles(live: DataFrame) -> np.ndarray:
+def common_shingles(counts: DataFrame) -> np.ndarray:
     """The most common prefix shingles, sorted; at most ``MOST_COMMON`` of those in more than ``COMMON`` sets.
 
     Any such list keeps the join exact; it only moves shingles to the end of
     the order, where a passage that many texts share makes no tile.
     """
-    found = live.where(F.col("sets") > COMMON).groupBy("token").agg(F.first("sets").alias("sets")).orderBy(F.desc("sets"), "token").limit(MOST_COMMON)
+    found = counts.where(F.col("sets") > COMMON).orderBy(F.desc("sets"), "token").limit(MOST_COMMON)
     return np.sort(np.array([r.token for r in found.collect()], dtype=np.int64).view(np.uint64))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
+    """``_found``, written; all other tables of the search are deleted."""
+    with scratch(docs.sparkSession):
+        return keep(_found(docs), "jaccard-groups")
+
+
+def _found(docs: DataFrame) -> DataFrame:
     """One row a document: key (doc_id, or the least number), doc_id, th (hash of the text), n_shingles, component_id, comp (null: no shingle)."""
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     own = own.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("key"), "doc_id", F.xxhash64("text").alias("th"), "text")
     sets = materialize(shingled(own), "jaccard-sets")
     by_set = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.min(F.struct("key", "th")).alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     nodes = materialize(by_set.select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "least", "rep.key", "rep.th", "prefix", "bits"), "jaccard-nodes")
-    live = materialize(live_rows(nodes), "jaccard-live")
-    common = common_shingles(live)
+    heads = nodes.select("node", "n", "prefix")
+    common = common_shingles(token_counts(heads))
     if len(common):
-        touched = live.join(bounded(live.where(F.col("sets") > COMMON).select("token").distinct(), len(common), MOST_COMMON), "token", "left_semi").select("node").distinct()
+        tokens = F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in common.view(np.int64)], "token long"))
+        touched = nodes.select("node", F.explode("prefix").alias("token")).join(tokens, "token", "left_semi").select("node").distinct()
         touched = materialize(touched.join(nodes.select("node", "key", "th", "n", "s1", "s2"), "node"), "jaccard-touched")
         keys = touched.select("key", "th").distinct()
         again = shingled(own.join(bounded(keys, keys.count(), FETCH), ["key", "th"]), common).groupBy("n", "s1", "s2").agg(F.first("prefix").alias("prefix"))
         moved = materialize(touched.join(again, ["n", "s1", "s2"]).select("node", "n", "prefix"), "jaccard-moved")
-        rest = nodes.join(moved.select("node"), "node", "left_anti").select("node", "n", "prefix")
-        live = materialize(live_rows(rest.unionByName(moved)), "jaccard-live-again")
-    first = tile_pairs(with_bits(split_tiles(live.withColumn("comp", F.col("node"))), nodes), "leaders")
+        heads = heads.join(moved.select("node"), "node", "left_anti").unionByName(moved)
+    live = materialize(live_rows(heads), "jaccard-live")
+    first = tile_pairs(with_bits(leader_tiles(live.withColumn("comp", F.col("node"))), nodes), "leaders")
     first = materialize(first, "jaccard-leaders").select("a", "b")
     links = materialize(verified(first, texts_of(first, nodes, own)), "jaccard-links")
     label = components(links)

@@ -82,7 +82,8 @@ def test_common_shingles_and_split_tiles_change_nothing(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
-def test_components_of_long_chains_stars_and_trees(spark):
+@pytest.mark.parametrize("finish", [0, 2000, jj.FINISH])
+def test_components_of_long_chains_stars_and_trees(spark, finish):
     rng = random.Random(7)
     n = 3000
     ids = rng.sample(range(10**6), 2 * n)
@@ -94,7 +95,7 @@ def test_components_of_long_chains_stars_and_trees(spark):
     links += [(groups[2][max(0, i - 1 - i % 2)], groups[2][i]) for i in range(1, 500)]
     links += [(groups[3][rng.randrange(i)], groups[3][i]) for i in range(1, 1000)]
     links += [(x, y) for x in groups[4] for y in groups[4] if x < y]
-    found = jj.components(spark.createDataFrame(links, "a long, b long")).collect()
+    found = jj.components(spark.createDataFrame(links, "a long, b long"), finish).collect()
     assert sorted(map(tuple, found)) == sorted((x, min(g)) for g in groups for x in g)
 
 
