@@ -14,8 +14,10 @@ from .common import load
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CONTEXT = ("system",)
-#: Turn numbers that one rendered part covers, where a dialogue is cut.
-PART_TURNS = 256
+#: The name of a speaker whose role is null; no other name holds a bare percent sign.
+NOBODY = "%nobody"
+# Characters that would end a name in a header, and how they are written there.
+ESCAPES = {"%": "%25", " ": "_", "_": "%5F", "\t": "%09", "\n": "%0A", "\x0b": "%0B", "\f": "%0C", "\r": "%0D", "<": "%3C", ">": "%3E", "|": "%7C"}
 
 
 def clean(text: Column) -> Column:
@@ -24,39 +26,39 @@ def clean(text: Column) -> Column:
 
 
 def named(role: Column) -> Column:
-    """A speaker's name in a header: blanks and brackets would end it.  A null role is nobody."""
-    return F.regexp_replace(F.coalesce(role, F.lit("nobody")), r"[\s<>|]+", "_")
+    """A speaker's name in a header; different roles, null among them, have different names."""
+    out = F.replace(role, F.lit("%"), F.lit(ESCAPES["%"]))
+    for old in [x for x in ESCAPES if x not in "% "]:
+        out = F.replace(out, F.lit(old), F.lit(ESCAPES[old]))
+    return F.coalesce(F.replace(out, F.lit(" "), F.lit(ESCAPES[" "])), F.lit(NOBODY))
 
 
-def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT, part_turns: int | None = PART_TURNS) -> DataFrame:
-    """One row for each dialogue part and each participant who speaks in it:
-    conv_id, perspective, part, n_turns, n_masked, rendered, mask.
+def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
+    """One row for each dialogue and each participant: conv_id, perspective, n_turns, n_masked, rendered, mask.
 
     ``mask`` lists ``start:end`` code point spans of ``rendered`` that the
     assistant says, closing marker included; all else carries no loss.  Turns
     are in order of number, then role, then text; a null turn comes first.
-    Null texts are empty turns, a null role is a participant named nobody and
-    repeated rows are said twice.  A null conv_id is one dialogue.  With
-    ``part_turns`` None every dialogue is whole: one row, of part 0, for each
-    participant.  A number cuts dialogues into parts of so many turn numbers
-    that are rendered alone, where a part in which a participant is silent is
-    left out.  A dialogue or part with context alone has no participant.
+    Null texts are empty turns, a null role is a participant of its own
+    (``NOBODY``) and repeated rows are said twice.  Rows without a conv_id
+    belong to no common dialogue: each is one of a single turn.  A dialogue of
+    context alone has no participant; an empty table gives no rows.  Other
+    columns are not read.  A row is as large as its dialogue.
     """
     own = turns.select(turns["conv_id"].alias("conv_id"), turns["turn"].cast("long").alias("turn"), turns["role"].alias("role"), turns["text"].alias("text"))
-    own = own.withColumn("speaker", F.when(F.lower("role").isin(*context), F.lit(None)).otherwise(named(F.col("role"))))
-    part = F.lit(0) if part_turns is None else F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0))
-    own = own.withColumn("part", part.cast("long"))
+    own = own.withColumn("speaker", F.when(F.coalesce(F.lower("role").isin(*context), F.lit(False)), F.lit(None)).otherwise(named(F.col("role"))))
     said = F.struct("turn", F.col("role").alias("role"), F.col("text").alias("text"), "speaker", clean(F.col("text")).alias("clean"))
-    parts = own.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(said)).alias("said"))
+    alone = own.where(F.col("conv_id").isNull()).select("conv_id", F.array(said).alias("said"))
+    whole = own.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("said")).unionByName(alone)
     speakers = F.array_sort(F.array_distinct(F.filter(F.transform("said", lambda s: s["speaker"]), lambda s: s.isNotNull())))
-    each = parts.select("conv_id", "part", "said", F.explode(speakers).alias("perspective"))
+    each = whole.select("conv_id", "said", F.explode(speakers).alias("perspective"))
 
     def line(s: Column) -> Column:
         mine = F.coalesce(s["speaker"] == F.col("perspective"), F.lit(False))
         header = F.when(s["speaker"].isNull(), F.lower(s["role"])).when(mine, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), s["speaker"]))
         return F.struct(mine.alias("mine"), F.concat(F.lit(OPEN), header, F.lit("\n")).alias("head"), F.concat(s["clean"], F.lit(CLOSE)).alias("body"))
 
-    lines = each.select("conv_id", "perspective", "part", F.transform("said", line).alias("lines"))
+    lines = each.select("conv_id", "perspective", F.transform("said", line).alias("lines"))
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -67,7 +69,6 @@ def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT, part_turns: int
     return lines.select(
         "conv_id",
         "perspective",
-        "part",
         F.size("lines").cast("long").alias("n_turns"),
         F.size(F.filter("lines", lambda x: x["mine"])).cast("long").alias("n_masked"),
         F.array_join(F.transform("lines", lambda x: F.concat(x["head"], x["body"], F.lit("\n"))), "").alias("rendered"),
@@ -76,28 +77,35 @@ def rotate(turns: DataFrame, context: tuple[str, ...] = CONTEXT, part_turns: int
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotate(load(spark, sf_dir, "conversations"), part_turns=None)
+    return rotate(load(spark, sf_dir, "conversations"))
+
+
+def _named_sql(column: str) -> str:
+    out = f"replace({column}, '%', '{ESCAPES['%']}')"
+    for old in [x for x in ESCAPES if x not in "% "]:
+        out = f"replace({out}, chr({ord(old)}), '{ESCAPES[old]}')"
+    return f"coalesce(replace({out}, ' ', '{ESCAPES[' ']}'), '{NOBODY}')"
 
 
 OP1_SQL = f"""
 WITH said AS (
-  SELECT conv_id, turn, role, text, turn // {PART_TURNS} AS part,
-         CASE WHEN lower(role) IN ('system') THEN NULL ELSE regexp_replace(coalesce(role, 'nobody'), '[\\s<>|]+', '_', 'g') END AS speaker,
+  SELECT coalesce(CAST(conv_id AS VARCHAR), 'row ' || row_number() OVER ()) AS dialogue, conv_id, turn, role, text,
+         CASE WHEN lower(role) IN ('system') THEN NULL ELSE {_named_sql('role')} END AS speaker,
          regexp_replace(coalesce(text, ''), '<\\|(im_start|im_end)\\|>', '<\\\\|\\1\\\\|>', 'g') AS clean
   FROM conversations
 ), each AS (
   SELECT s.*, p.perspective, coalesce(s.speaker = p.perspective, false) AS mine
-  FROM said s JOIN (SELECT DISTINCT conv_id, part, speaker AS perspective FROM said WHERE speaker IS NOT NULL) p USING (conv_id, part)
+  FROM said s JOIN (SELECT DISTINCT dialogue, speaker AS perspective FROM said WHERE speaker IS NOT NULL) p USING (dialogue)
 ), lines AS (
   SELECT *, '{OPEN}' || CASE WHEN speaker IS NULL THEN lower(role) WHEN mine THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head,
          clean || '{CLOSE}' AS body
   FROM each
 ), placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY dialogue, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
   FROM lines
 )
-SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (mine) AS n_masked,
-       string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS rendered,
-       string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (mine) AS mask
-FROM placed GROUP BY conv_id, perspective, part
+SELECT any_value(conv_id) AS conv_id, perspective, count(*) AS n_turns, count(*) FILTER (mine) AS n_masked,
+       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered,
+       string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY start) FILTER (mine) AS mask
+FROM placed GROUP BY dialogue, perspective
 """
