@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, load, materialize
+from .common import bounded, let, load, materialize
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,9 @@ _KEY = rf"{_BEGIN}(?:(?:[^-]*+-(?!----)){{0,64}}[^-]*+{_END}|(?:\s*[A-Za-z0-9+/=
 #: What ``redact`` masks: ``RULES``, but a private key with its body, of which the scan's span is the BEGIN line.
 MASKED = tuple(Rule("pem", _KEY, 10, version=2) if r.kind == "pem" else r for r in RULES)
 
+#: Blobs, or spans of findings, that are broadcast at most; more are joined by a shuffle.
+FEW = 500_000
+
 SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 
 
@@ -86,20 +89,32 @@ def content_address(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as {kind})")
+
+
 def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows (blob, text_length, found map<rule key, spans>) of the blobs in ``versions(blob, text)``.
+    """New ledger rows (blob, found map<rule key, spans>) of the blobs in ``versions(blob, text)``.
 
-    ``ledger(blob, found)`` holds earlier rows, in any number for each blob.
-    Only blobs that lack some rule version are scanned, by the lacking rules.
+    ``ledger(blob, found)`` holds earlier rows, in any number for each blob;
+    without one nothing is seen.  Only blobs that lack some rule version are
+    scanned, each once and by the lacking rules.  Copies are combined before
+    they move; beside a ledger with few unseen blobs only those move at all.
     """
-    if ledger is None:
-        blobs = versions.groupBy("blob").agg(F.first("text").alias("text")).withColumn("seen", F.expr("cast(array() as array<string>)"))
-    else:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(F.map_keys("found")))).alias("seen"))
-        want = F.array(*[F.lit(r.key) for r in rules])
-        lacking = versions.select("blob").distinct().join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.expr("cast(array() as array<string>)")))
-        lacking = lacking.where(F.size(F.array_except(want, F.col("seen"))) > 0)
-        blobs = versions.join(lacking, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("seen").alias("seen"))
+    spark = versions.sparkSession
+    known = spark.createDataFrame([], f"blob string, found map<string, {SPAN}>") if ledger is None else ledger
+    seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(F.map_keys("found")))).alias("seen"))
+    want = F.array(*[F.lit(r.key) for r in rules])
+
+    def lacking(blobs: DataFrame) -> DataFrame:
+        with_seen = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", _none("array<string>")))
+        return with_seen.where(F.size(F.array_except(want, F.col("seen"))) > 0)
+
+    if ledger is not None:
+        unseen = materialize(lacking(versions.select("blob").distinct()).select("blob"), "secret-unseen")
+        if (n := unseen.count()) <= FEW:
+            versions = versions.join(bounded(unseen, n, FEW), "blob", "left_semi")
+    blobs = lacking(versions.groupBy("blob").agg(F.first("text").alias("text")))
     per_rule = [
         F.when(~F.array_contains("seen", F.lit(r.key)), F.struct(F.lit(r.key).alias("key"), spans_of(F.col("text"), r, i).alias("value")))
         for i, r in enumerate(rules)
@@ -107,18 +122,25 @@ def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules: tupl
     return blobs.select("blob", F.map_from_entries(F.array_compact(F.array(*per_rule))).alias("found"))
 
 
-def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``paths`` (with a column blob) plus ``found``: sorted spans of the current rule versions.
-
-    The right side has a row for each blob at most and only blobs with a
-    finding, so a blob that many paths share adds no rows; a hot blob on the
-    left is split by the adaptive skew join.
-    """
+def hits(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, found) of the blobs of ``ledger`` with spans of the current rule versions; broadcast where these are counted to be few."""
     keys = F.array(*[F.lit(r.key) for r in rules])
     current = ledger.select("blob", F.flatten(F.map_values(F.map_filter("found", lambda k, v: F.array_contains(keys, k)))).alias("one"))
     current = current.where(F.size("one") > 0)
+    spans = current.agg(F.coalesce(F.sum(F.size("one")), F.lit(0))).first()[0]
     current = current.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("one")))).alias("found"))
-    return paths.join(current, "blob", "left").withColumn("found", F.coalesce("found", F.expr(f"cast(array() as {SPAN})")))
+    return bounded(current, spans, FEW)
+
+
+def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``paths`` (with a column blob) plus ``found``: sorted spans of the current rule versions.
+
+    Few findings are broadcast, so paths do not move.  Beyond that the right
+    side has a row for each blob at most and only blobs with a finding, so a
+    blob that many paths share adds no rows; a hot blob on the left is split by
+    the adaptive skew join.
+    """
+    return paths.join(hits(ledger, rules), "blob", "left").withColumn("found", F.coalesce("found", _none(SPAN)))
 
 
 def joined(spans: Column) -> Column:
@@ -130,7 +152,9 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tupl
     """(docs' doc_id, blob, found; the new ledger rows), the latter written once to the shared folder.
 
     A null text is an empty blob; repeated rows and copies share one blob and
-    are scanned once; null ids pass through.  Extra columns are not read.
+    are scanned once; null ids pass through.  Extra columns, whatever their
+    names, are not read.  An empty table gives empty results.  Passing the
+    ledger of earlier tables, with these rows appended, scans what is new.
     """
     own = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     addressed = own.withColumn("blob", content_address(F.col("text")))
@@ -151,22 +175,32 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` that ``MASKED`` finds replaced by ``mask``, and n_chars recounted.
 
-    Overlapping spans are merged first.  Every column, row and clean text stays as it was.
+    Overlapping spans are merged first.  Every column, row and clean text stays
+    as it was, whatever the names of other columns: null and empty texts hold
+    no secret, null ids and repeated rows are rows like any other, and an empty
+    table stays empty.
     """
     names = docs.columns
-    work = docs.withColumn("__blob", content_address(F.col("text")))
-    fresh = materialize(scan_blobs(work.select(F.col("__blob").alias("blob"), F.coalesce("text", F.lit("")).alias("text")), rules=MASKED), "secret-ledger")
-    hits = findings(fresh.select("blob"), fresh, MASKED).where(F.size("found") > 0).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
-    out = work.join(hits, "__blob", "left")
+    inner = [f"__k{i}" for i in range(len(names))]
+    text = F.col(inner[names.index("text")])
+    work = docs.select(*[docs[k].alias(h) for k, h in zip(names, inner, strict=True)], content_address(docs["text"]).alias("blob"))
+    fresh = materialize(scan_blobs(work.select("blob", F.coalesce(text, F.lit("")).alias("text")), rules=MASKED), "secret-ledger")
+    out = work.join(hits(fresh, MASKED), "blob", "left")
 
     def step(acc: Column, s: Column) -> Column:
-        fresh_span = s["start"] >= acc["at"]
-        text = F.concat(acc["out"], F.when(fresh_span, F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), text.alias("out"))
+        apart = s["start"] >= acc["at"]
+        more = F.concat(acc["out"], F.when(apart, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit("")))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), more.alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("__found", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = out.withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(masked))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names)
+    masked = F.aggregate("found", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = out.withColumn("masked", F.when(F.col("found").isNotNull(), masked))
+    columns = []
+    for name, held in zip(names, inner, strict=True):
+        if name == "text":
+            columns.append(F.coalesce("masked", held).alias(name))
+        elif name == "n_chars":
+            columns.append(F.when(F.col("masked").isNull(), F.col(held)).otherwise(F.length("masked").cast(docs.schema[name].dataType)).alias(name))
+        else:
+            columns.append(F.col(held).alias(name))
+    return out.select(*columns)
