@@ -18,8 +18,9 @@ SPECIAL = {"<|endoftext|>": 50256}
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 16
 
-# A pre-token never holds a blank after a non-blank, so a cut between the two moves no token.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+# A pre-token never holds a blank after a non-blank, so a cut between the two moves no token.  Only blanks
+# that every library counts as such are cut at; \S excludes all that any of them does.
+_SAFE = re.compile(r"(?<=\S)(?=[\x20\x09-\x0D])")
 
 
 class Encoder:
@@ -39,7 +40,7 @@ class Encoder:
             with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
                 ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
             enc = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-            self.ids = lambda texts: [enc.encode_to_numpy(t, allowed_special="all", disallowed_special=()) for t in texts]
+            self.ids = lambda texts: enc.encode_batch(texts, num_threads=1, allowed_special="all", disallowed_special=())
         else:
             from tokenizers import Tokenizer
 
@@ -79,7 +80,7 @@ def count_tokens(texts: list[str | None], encoder: Encoder, batch_bytes: int = B
         for piece in pieces(text or ""):
             batch.append(piece)
             owners.append(i)
-            held += len(piece)
+            held += len(piece.encode("utf-8", "surrogatepass"))
             if held >= batch_bytes:
                 flush()
     flush()
