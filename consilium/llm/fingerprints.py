@@ -1,9 +1,12 @@
 """Document fingerprints by winnowing.
 
-A text becomes tokens (words; very long words in stretches), every run of
-``GRAM`` tokens is hashed, and of every ``WINDOW`` neighbouring hashes the
-least is kept, the rightmost on ties, with its position.  Any two texts that
-share ``GRAM + WINDOW - 1`` tokens in a row share a fingerprint.
+A text becomes tokens (words; very long words in stretches), each hashed once.
+A cyclic polynomial rolls over them: the hash of a run is its tokens' hashes,
+rotated by their place and combined by exclusive or, so longer runs come from
+overlapping shorter ones without hashing a token again.  Of every ``WINDOW``
+neighbouring hashes of runs of ``GRAM`` tokens the least is kept, the rightmost
+on ties, with its position.  Any two texts that share ``GRAM + WINDOW - 1``
+tokens in a row share a fingerprint.
 """
 
 from __future__ import annotations
@@ -19,32 +22,61 @@ STRETCH = 32
 TOKEN = rf"[^\x20\x09-\x0D]{{1,{STRETCH}}}"
 #: Ids that one window of the neighbour search sorts.
 RANGE_ROWS = 1_000_000
-#: Bits of a packed (hash, position): 36 of the hash, 27 of the position from the end.
-_POS = 1 << 27
+#: A hash of a run has 36 bits, the upper ones of a long, so that it and a position from the end (27 bits) can share one.
+_LOW, _POS = 28, 1 << 27
 _LOWEST = -(2**63)
 
 
+def turned(x: Column, by: int) -> Column:
+    """The 64 bits of ``x`` rotated left by ``by``."""
+    return x if by % 64 == 0 else F.shiftleft(x, by % 64).bitwiseOR(F.shiftrightunsigned(x, 64 - by % 64))
+
+
+def rolled(tokens: Column, gram: int) -> Column:
+    """Cyclic polynomials of all runs of ``gram`` of ``tokens``, hashes of which there are as many at least.
+
+    A run of w + v tokens is the run of its first w, rotated by v, combined
+    with the run of its last v; runs double until their sizes add up to ``gram``.
+    """
+
+    def joined(a: Column, wide: int, b: Column, narrow: int) -> Column:
+        # every run of ``wide`` that has one of ``narrow`` behind it
+        tail = F.slice(b, wide + 1, F.size(b))
+        return F.zip_with(F.slice(a, 1, F.size(tail)), tail, lambda x, y: turned(x, narrow).bitwiseXOR(y))
+
+    def grown(runs: Column, width: int, done: Column | None, size: int, left: int) -> Column:
+        if left & width:
+            both = runs if done is None else joined(done, size, runs, width)
+            if left == width:
+                return both
+            return let(F.struct(both.alias("d"), runs.alias("r")), lambda s: grown(s["r"], width, s["d"], size + width, left - width))
+        return let(joined(runs, width, runs, width), lambda q: grown(q, 2 * width, done, size, left))
+
+    return grown(tokens, 1, None, 0, gram)
+
+
 def gram_hashes(text: Column, gram: int = GRAM) -> Column:
-    """Hashes of all runs of ``gram`` tokens; of the whole text where it has fewer; none of a blank text."""
+    """Hashes of 36 bits (the lower bits are 0) of all runs of ``gram`` tokens; of the whole text where it has fewer; none of a blank text."""
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    short = lambda x: F.xxhash64(x).bitwiseAND(F.lit(-(1 << _LOW)))
 
-    def rolled(t: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(t) - gram), lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(gram)]))
-        return F.when(F.size(t) >= gram, runs).when(F.size(t) > 0, F.array(F.xxhash64(t))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    def runs(t: Column) -> Column:
+        each = let(F.transform(t, lambda w: F.xxhash64(w)), lambda h: rolled(h, gram))
+        return F.when(F.size(t) >= gram, F.transform(each, short)).when(F.size(t) > 0, F.array(short(F.array_join(t, " ")))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    return let(tokens, rolled)
+    return let(tokens, runs)
 
 
 def winnowed(hashes: Column, window: int = WINDOW) -> Column:
-    """array<struct<hash, pos>> by position: the least hash of each window, rightmost on ties.
+    """array<struct<hash, pos>> by position: the least of each window of ``hashes``, unsigned and by 36 bits, rightmost on ties.
 
-    Hash bits and the position counted from the end share one long, so a plain
+    A hash and its position counted from the end share one long, so a plain
     minimum picks the rightmost tie; minima of doubled widths build up the window.
     ``window`` is a power of two.
     """
 
     def packed(h: Column) -> Column:
-        return F.transform(h, lambda x, i: F.shiftrightunsigned(x, 28) * _POS + (F.lit(_POS - 1).cast("long") - i))
+        return F.transform(h, lambda x, i: F.shiftrightunsigned(x, _LOW) * _POS + (F.lit(_POS - 1).cast("long") - i))
 
     def doubled(p: Column, width: int) -> Column:
         if width == window:
