@@ -1,9 +1,11 @@
 """Mixing sources to target weights by fixed-length blocks.
 
 Each source's words form one stream, cut into blocks of ``BLOCK`` words.  A
-source that is to give W words gets as many slots as cover W; every slot draws
-an output shard, so the counts of sources on each shard are multinomial given
-the totals.  Slot numbers pass through a pseudorandom permutation of the
+source that is to give W words gets as many slots as cover W, and these are
+drawn onto the output shards: the counts of a source's slots on the shards are
+multinomial given their total, which is what keeps each source at its target.
+Shards take their counts of slots one after another, so the draw decides which
+slots are whose.  Slot numbers pass through a pseudorandom permutation of the
 source's block numbers (swap-or-not rounds, exact for any count), a new one
 each time the source is used up, and join the blocks by number.
 """
@@ -77,53 +79,69 @@ def positions(docs: DataFrame, n_rows: int) -> DataFrame:
     return spread.join(before, ["index", "bucket"]).withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside", "bucket")
 
 
-def slots(sources: DataFrame, n_slots: int, block: int = BLOCK) -> DataFrame:
-    """The draw: (shard, index, slot, epoch, block, take) for every slot of ``sources(index, source_size, target)``.
-
-    Whole epochs take every block in full; in the last, each block in permuted
-    order takes what is still missing, so a source misses its target by less
-    than a word.  ``n_slots``, about how many there are, sets the number of
-    tasks: rows that unfold are small, so sizes in bytes would put all in one.
-    """
+def _demand(sources: DataFrame, block: int) -> DataFrame:
+    """``sources(index, source_size, target, shards)`` with the blocks each has, its whole epochs, the words beyond them and the slots it needs (n)."""
     s = sources.where((F.col("source_size") > 0) & (F.round("target") > 0))
     s = s.withColumn("words", F.least(F.round("target").cast("long"), F.col("source_size") * MOST))
     s = s.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}")).withColumn("tail", F.col("source_size") - (F.col("blocks") - 1) * block)
     s = s.withColumn("epochs", F.expr("words div source_size")).withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size"))
     # the short block may fall early in the last epoch, hence one slot to spare
     s = s.withColumn("last", F.least(F.col("blocks"), F.when(F.col("rest") > 0, F.expr(f"(rest + {block} - tail + {block - 1}) div {block}")).otherwise(F.lit(0))))
-    s = s.withColumn("n", F.col("epochs") * F.col("blocks") + F.col("last"))
-    chunks = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {UNFOLD}")))).repartition(n_slots // (16 * UNFOLD) + 1, "index", "chunk")
-    each = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * UNFOLD, F.least(F.col("n"), (F.col("chunk") + 1) * UNFOLD) - 1)))
+    return s.withColumn("n", F.col("epochs") * F.col("blocks") + F.col("last"))
+
+
+def _unfolded(ranges: DataFrame, n_slots: int) -> DataFrame:
+    """A row with ``slot`` for each number from ``lo`` on, ``n`` in all, of each of ``ranges``.
+
+    ``n_slots``, about how many there are, sets the number of tasks: rows that
+    unfold are small, so sizes in bytes would put all in one.
+    """
+    chunks = ranges.where("n > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {UNFOLD}"))))
+    dealt = chunks.repartition(n_slots // (16 * UNFOLD) + 1, "index", "lo", "chunk")
+    stop = F.col("lo") + F.least(F.col("n"), (F.col("chunk") + 1) * UNFOLD) - 1
+    return dealt.withColumn("slot", F.explode(F.sequence(F.col("lo") + F.col("chunk") * UNFOLD, stop))).drop("chunk", "lo", "n")
+
+
+def shard_counts(demand: DataFrame, n_slots: int) -> DataFrame:
+    """The draw: (index, shard, drawn, lo), how many slots of each source each shard gets and where they begin.
+
+    Each slot falls on a shard by a hash, so a source's counts are multinomial
+    with equal shares; counts are summed before they move.
+    """
+    each = _unfolded(demand.withColumn("lo", F.lit(0).cast("long")), n_slots)
+    counts = each.select("index", F.pmod(F.xxhash64(F.lit(SEED + 2), "index", "slot"), F.col("shards")).alias("shard")).groupBy("index", "shard").agg(F.count(F.lit(1)).alias("drawn"))
+    return counts.withColumn("lo", F.sum("drawn").over(Window.partitionBy("index").orderBy("shard")) - F.col("drawn"))
+
+
+def slots(demand: DataFrame, counts: DataFrame, n_sources: int, n_slots: int, block: int = BLOCK) -> DataFrame:
+    """(shard, index, slot, epoch, block, held, take) of every slot that takes a word or more.
+
+    Whole epochs take every block in full; in the last, each block in permuted
+    order takes what is still missing, so a source misses its target by less
+    than a word.
+    """
+    s = bounded(demand.drop("n"), n_sources)
+    each = _unfolded(counts.withColumnRenamed("drawn", "n"), n_slots).join(s, "index")
     each = each.withColumn("epoch", F.expr("slot div blocks")).withColumn("at", F.col("slot") - F.col("epoch") * F.col("blocks"))
     each = each.withColumn("block", permuted(F.col("at"), F.col("blocks"), F.col("index"), F.col("epoch")))
     short = F.col("block") == F.col("blocks") - 1
-    return each.withColumn("short_at", F.when(short & (F.col("epoch") == F.col("epochs")), F.col("at"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED + 2), "index", "slot"), F.col("shards"))).select(
-        "shard", "index", "slot", "epoch", "epochs", "at", "block", "rest", "tail", "short_at", F.when(short, F.col("tail")).otherwise(F.lit(block)).alias("held")
-    )
-
-
-def taken_slots(drawn: DataFrame, n_sources: int, block: int = BLOCK) -> DataFrame:
-    """(shard, index, slot, epoch, block, held, take) of the slots of ``drawn`` that take a word or more."""
-    where = drawn.groupBy("index").agg(F.min("short_at").alias("short"))
-    d = drawn.join(bounded(where, n_sources), "index")
+    each = each.withColumn("held", F.when(short, F.col("tail")).otherwise(F.lit(block)))
+    each = materialize(each.select("shard", "index", "slot", "epoch", "epochs", "at", "block", "rest", "tail", "held", F.when(short & (F.col("epoch") == F.col("epochs")), F.col("at")).alias("short_at")), "mix-slots")
+    where = each.groupBy("index").agg(F.min("short_at").alias("short"))
+    d = each.drop("short_at").join(bounded(where, n_sources), "index")
     before = F.col("at") * block - F.when(F.col("short") < F.col("at"), block - F.col("tail")).otherwise(F.lit(0))
     take = F.when(F.col("epoch") < F.col("epochs"), F.col("held")).otherwise(F.greatest(F.lit(0), F.least(F.col("held"), F.col("rest") - before)))
     return d.select("shard", "index", "slot", "epoch", "block", "held", take.alias("take")).where(F.col("take") > 0)
 
 
-def block_uses(drawn: DataFrame, n_sources: int, block: int = BLOCK) -> DataFrame:
-    """(index, block, full, part): how often a block is taken whole, and the words of a last use that takes its head only."""
-    d = taken_slots(drawn, n_sources, block)
-    whole = F.col("take") == F.col("held")
-    return d.groupBy("index", "block").agg(F.sum(whole.cast("long")).alias("full"), F.max(F.when(~whole, F.col("take")).otherwise(F.lit(0))).alias("part"))
-
-
 def _draw(slim: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
-    """The targets, the drawn slots and the number of sources of ``slim(source, size)``."""
+    """The targets, the slots taken and the number of sources of ``slim(source, size)``."""
     targets = materialize(source_targets(slim.select("source", "size")), "mix-sources")
     n_sources, words = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     sources = targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("target").over(Window.partitionBy()) / SHARD_WORDS)).cast("long"))
-    return targets, materialize(slots(sources, int(words / block), block), "mix-slots"), n_sources
+    demand, n_slots = materialize(_demand(sources, block), "mix-demand"), int(words / block)
+    counts = materialize(shard_counts(demand, n_slots), "mix-counts")
+    return targets, slots(demand, counts, n_sources, n_slots, block), n_sources
 
 
 def shard_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -134,29 +152,27 @@ def shard_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     ``mixed_documents``: a source's words over all shards are what those take.
     """
     slim, _ = _numbered(docs)
-    targets, drawn, n_sources = _draw(slim, block)
+    targets, taken, n_sources = _draw(slim, block)
     names = bounded(targets.select("index", "source"), n_sources)
-    return taken_slots(drawn, n_sources, block).join(names, "index").select("shard", "source", "slot", "epoch", "block", F.col("take").cast("long").alias("words"))
+    return taken.join(names, "index").select("shard", "source", "slot", "epoch", "block", F.col("take").cast("long").alias("words"))
 
 
 def _met(slim: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """For ``slim(row, doc_id, source, size)``: each row's share of each block that is used, and each row's source.
+    """For ``slim(row, doc_id, source, size)``: what each slot takes of each row, and each row's source.
 
-    The first has (row, start, stop, first, last, head, full): words ``first``
-    to ``last`` of the source's stream are taken ``full`` times, those before
-    ``head`` once more.  The second has (row, source_size, target).
+    The first has (row, shard, epoch, lo, hi): words ``lo`` to ``hi`` of the
+    row's text.  The second has (row, source_size, target).
     """
     n_rows = slim.count()
-    targets, drawn, n_sources = _draw(slim, block)
-    uses = block_uses(drawn, n_sources, block)
+    targets, taken, n_sources = _draw(slim, block)
     t = bounded(targets.withColumnRenamed("source", "name"), n_sources)
     named = slim.join(t, slim["source"].eqNullSafe(t["name"]))
     placed = positions(named.select("row", "doc_id", "size", "index").where(F.col("size") > 0), n_rows)
     spans = placed.select("row", "index", "start", (F.col("start") + F.col("size")).alias("stop"), F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    met = spans.join(uses, ["index", "block"])
-    met = met.withColumn("first", F.greatest("start", F.col("block") * block)).withColumn("last", F.least(F.col("stop"), (F.col("block") + 1) * block))
-    met = met.withColumn("head", F.greatest("first", F.least("last", F.col("block") * block + F.col("part"))))
-    return met.select("row", "start", "stop", "first", "last", "head", "full"), named.select("row", "source_size", "target")
+    met = spans.join(taken.select("index", "block", "shard", "epoch", "take"), ["index", "block"])
+    lo = F.greatest(F.col("start"), F.col("block") * block) - F.col("start")
+    hi = F.least(F.col("stop"), F.col("block") * block + F.col("take")) - F.col("start")
+    return met.select("row", "shard", "epoch", lo.alias("lo"), hi.alias("hi")).where("lo < hi"), named.select("row", "source_size", "target")
 
 
 def _numbered(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[str]]:
@@ -168,8 +184,10 @@ def _numbered(docs: DataFrame, *keep: str) -> tuple[DataFrame, list[str]]:
 
 
 def mix(docs: DataFrame, *keep: str, block: int = BLOCK) -> DataFrame:
-    """``keep`` columns of ``docs`` plus size, source_size, target and taken, one row for each of ``docs``.
+    """``keep`` columns of ``docs`` plus size, source_size, target, taken and shard_words, one row for each of ``docs``.
 
+    ``shard_words`` lists, as ``shard:words`` with commas between, on which
+    output shards how many of the row's words fall; they add up to ``taken``.
     Null and blank texts have size 0 and are never taken.  A null source is a
     source, the last one.  Null ids and repeated rows are rows like any other.
     An empty table, or one without a word, takes nothing.  Reruns agree: the
@@ -177,37 +195,45 @@ def mix(docs: DataFrame, *keep: str, block: int = BLOCK) -> DataFrame:
     """
     slim, held = _numbered(docs, *keep)
     met, of_row = _met(slim.select("row", "doc_id", "source", "size"), block)
-    taken = met.groupBy("row").agg(F.sum(F.col("full") * (F.col("last") - F.col("first")) + F.col("head") - F.col("first")).alias("taken"))
+    on_shard = met.groupBy("row", "shard").agg(F.sum(F.col("hi") - F.col("lo")).alias("words"))
+    taken = on_shard.groupBy("row").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "words"))).alias("shards"))
     out = slim.join(of_row, "row").join(taken, "row", "left")
-    return out.select(*[F.col(h).alias(k) for k, h in zip(keep, held, strict=True)], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    shard_words = F.coalesce(F.array_join(F.transform("shards", lambda x: F.concat_ws(":", x["shard"], x["words"])), ","), F.lit(""))
+    return out.select(*[F.col(h).alias(k) for k, h in zip(keep, held, strict=True)], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), shard_words.alias("shard_words"))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix as documents, with the columns of ``docs``: a row for each pass over a document that takes words of it.
-
-    A pass that takes all of a text leaves it as it is; otherwise the row's text
-    is the stretches that the mix takes, with their own blanks.  n_chars, where
-    there is one, is recounted.  What the mix does not take is left out.
+    """The mix as documents, with the columns of ``docs``: a row for each stretch of a text that one epoch takes.
+
+    Neighbouring words that the same epoch takes are one stretch, on whatever
+    shards they fall, with the text's own blanks; one that covers all words is
+    the text as it was.  n_chars, where there is one, is recounted.  What the
+    mix does not take is left out, so null and blank texts are.  Null ids,
+    repeated rows and columns of any other name pass through; an empty table
+    stays empty.
     """
     slim, held = _numbered(docs, *docs.columns)
     met, _ = _met(slim.select("row", "doc_id", "source", "size"), block)
-    rel = lambda a, b, times: F.struct((F.col(a) - F.col("start")).alias("lo"), (F.col(b) - F.col("start")).alias("hi"), times.alias("times"))
-    stretches = F.array(rel("first", "head", F.col("full") + 1), rel("head", "last", F.col("full")))
-    per_row = met.withColumn("s", F.explode(stretches)).where("s.lo < s.hi and s.times > 0").groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    passes = slim.join(per_row, "row").withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(MOST))))
-    passes = passes.withColumn("s", F.filter("s", lambda x: x["times"] >= F.col("pass"))).where(F.size("s") > 0)
+    per_epoch = met.groupBy("row", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("s"))
+    # a stretch begins where no other ends, and ends where no other begins
+    starts = F.array_except(F.transform("s", lambda x: x["lo"]), F.transform("s", lambda x: x["hi"]))
+    ends = F.array_except(F.transform("s", lambda x: x["hi"]), F.transform("s", lambda x: x["lo"]))
+    stretches = per_epoch.select("row", "epoch", F.arrays_zip(F.array_sort(starts).alias("lo"), F.array_sort(ends).alias("hi")).alias("s"))
+    per_row = stretches.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "s"))), lambda x: x["s"])).alias("s"))
     text = F.col(held[docs.columns.index("text")])
     tokens = F.regexp_extract_all(text, F.lit(WORD + BLANK + "*"), F.lit(0))
-    words = F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc + x["hi"] - x["lo"])
-    some = let(tokens, lambda w: F.array_join(F.flatten(F.transform("s", lambda x: F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), ""))
-    passes = passes.withColumn("__text", F.when(words == F.col("size"), text).otherwise(some))
+    whole = lambda x: (x["lo"] == 0) & (x["hi"] == F.col("size"))
+    # words are cut out only where some stretch is not the whole text
+    cut = lambda w: F.transform("s", lambda x: F.when(whole(x), text).otherwise(F.array_join(F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")), "")))
+    texts = F.when(F.exists("s", lambda x: ~whole(x)), let(tokens, cut)).otherwise(F.transform("s", lambda x: text))
+    rows = slim.join(per_row, "row").withColumn("__text", F.explode(texts))
     out = [F.col(h).alias(k) for k, h in zip(docs.columns, held, strict=True)]
     for i, k in enumerate(docs.columns):
         if k == "text":
             out[i] = F.col("__text").alias(k)
         elif k == "n_chars":
             out[i] = F.length("__text").cast(docs.schema[k].dataType).alias(k)
-    return passes.select(*out)
+    return rows.select(*out)
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
