@@ -2,11 +2,14 @@
 
 Lengths are at most the capacity, so the whole corpus is one short histogram.
 A configuration linear program over that histogram (how many sequences of each
-mix of lengths) is solved by multiplicative weights, each step pricing the best
-mix by a knapsack dynamic program; the fractional plan is rounded down and the
-rest is filled largest length first.  Pieces then find their place by their
-rank among pieces of equal length, so no task ever holds a sequence's worth of
-state, let alone a length's.
+mix of lengths) is solved by multiplicative weights: a length's price falls with
+the share of it that is covered, each round prices the best mix through every
+length by one knapsack dynamic program, and passes repeat, with higher prices
+for lengths that were covered wastefully, until the plan is near its dual
+bound.  A part of the plan is rounded, the rest is solved again, and the last
+sequences are filled largest length first.  Pieces then find their place by
+their rank among pieces of equal length, so no task ever holds a sequence's
+worth of state, let alone a length's.
 """
 
 from __future__ import annotations
@@ -25,18 +28,20 @@ from .token_counts import cached_encoder, pieces
 
 CAPACITY = 1024
 END = 2
-#: Most steps of the multiplicative weights, and how sharply coverage lowers a weight; a step covers at most 1 / RATE of a length.
-STEPS, RATE = 2000, 2.0
-#: How much dearer a length is than its share of a sequence, at most: ties go to mixes of few long pieces.
-LONG = 0.01
-#: Mixes that leave more than this share of a sequence empty are not rounded but left to the filling.
-SLACK = 0.002
-#: Shares of the fractional plan that are rounded and completed.
-SCALES = (1.0, 0.9, 0.75)
+#: Share of a length that one round covers at most, how sharply coverage lowers a price, and by how much less than the best a mix may be worth.
+STEP, RATE, NEAR = 0.05, 0.1, 0.001
+#: How much dearer than its share of a sequence a length is at first, at most: long pieces are placed while others can fill the room beside them.
+LONG = 0.05
+#: Passes at most, the distance from the dual bound at which they end, and rounds of a pass at most.
+PASSES, GAP, ROUNDS = 4, 1e-3, 5000
+#: Share of a plan that is rounded before the rest is solved again, how often at most, and the share of all tokens below which it is filled.
+ROUNDED, AGAIN, TAIL = 0.6, 8, 0.02
+#: Mixes that leave more tokens of a sequence empty are not rounded.
+SLACK = 2
 #: Pieces of one length that one window sorts.
 RANK_ROWS = 20_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -51,25 +56,30 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = cached_encoder()
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            cols: list[list] = [[], [], [], [], [], []]
+            for doc, text, copy in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 parts = [np.asarray(x, dtype="<u4") for x in encoder.ids(pieces(text or ""))]
                 ids = np.concatenate([*parts, np.array([END], dtype="<u4")])
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
-                    for col, value in zip(cols, (doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes())), strict=True):
+                    for col, value in zip(cols, (doc, copy, k, start, length, zlib.crc32(ids[start : start + length].tobytes())), strict=True):
                         col.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
 
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.monotonically_increasing_id().alias("copy"))
     return own.mapInArrow(run, PIECES)
 
 
-def best_mix(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The mix of lengths that fits the capacity and is worth most (unbounded knapsack).
+Mix = tuple[tuple[int, int], ...]
+Plan = list[tuple[Mix, int]]
+
+
+def priced(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The worth of the best mix of each room, and its last length (0: one token of the room stays empty); an unbounded knapsack.
 
     ``value[l]`` is the worth of length l, -inf where there is none.
     """
+    capacity = len(value) - 1
     worth = np.zeros(capacity + 1)
     last = np.zeros(capacity + 1, dtype=np.int64)
     for c in range(1, capacity + 1):
@@ -79,82 +89,146 @@ def best_mix(value: np.ndarray, capacity: int) -> dict[int, int]:
             worth[c], last[c] = options[k], k + 1
         else:
             worth[c] = worth[c - 1]
+    return worth, last
+
+
+def mix_of(last: np.ndarray, room: int) -> dict[int, int]:
+    """How often each length is in the best mix of ``room``."""
     mix: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        step = int(last[c])
+    while room > 0:
+        step = int(last[room])
         if step:
             mix[step] = mix.get(step, 0) + 1
-        c -= step or 1
+        room -= step or 1
     return mix
 
 
-def fractional_plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, rate: float = RATE) -> dict[tuple[tuple[int, int], ...], float]:
-    """Sequences of each mix, a near-optimal cover of ``counts`` by multiplicative weights.
+def covered(need: np.ndarray, base: np.ndarray) -> tuple[dict[Mix, float], float]:
+    """One pass of multiplicative weights: sequences of each mix that cover ``need``, and the best dual bound on the way.
 
-    A length's weight falls exponentially with the share of it that is already
-    covered; each step prices the best mix and takes as much of it as covers
-    one of its lengths by a step.  Lengths that need a whole sequence are apart.
+    In each round, mixes nearly as good as the best are taken while none of
+    their lengths gains more than ``STEP``.  Prices divided by the worth of the
+    best mix are feasible for the dual program, so their sum over all pieces
+    bounds every plan from below.
+    """
+    capacity = len(need) - 1
+    share = np.zeros(capacity + 1)
+    plan: dict[Mix, float] = {}
+    bound = 0.0
+    for _ in range(ROUNDS):
+        open_ = (need > 0) & (share < 1 - 1e-9)
+        if not open_.any():
+            break
+        price = np.where(open_, base * np.exp(-RATE * (share - share[open_].min())), -np.inf)
+        worth, last = priced(price)
+        bound = max(bound, float(need[open_] @ price[open_]) / worth[capacity])
+        lengths = np.flatnonzero(open_)
+        through = price[lengths] + worth[capacity - lengths]
+        left = np.where(open_, np.minimum(STEP, 1 - share), 0.0) * need
+        taken = False
+        for k in np.argsort(-through, kind="stable"):
+            if taken and through[k] < worth[capacity] * (1 - NEAR):
+                break
+            length = int(lengths[k])
+            if left[length] <= 1e-12:
+                continue
+            mix = mix_of(last, capacity - length)
+            mix[length] = mix.get(length, 0) + 1
+            take = min(left[x] / a for x, a in mix.items())
+            if take <= 1e-12:
+                continue
+            taken = True
+            key = tuple(sorted(mix.items(), reverse=True))
+            plan[key] = plan.get(key, 0.0) + take
+            for x, a in mix.items():
+                left[x] -= a * take
+                share[x] += a * take / need[x]
+    else:
+        # never seen to happen: what the rounds left open has sequences of its own, so that the plan covers all
+        for length in np.flatnonzero((need > 0) & (share < 1 - 1e-9)):
+            fit = capacity // int(length)
+            key = ((int(length), fit),)
+            plan[key] = plan.get(key, 0.0) + float(need[length] * (1 - share[length]) / fit)
+    return plan, bound
+
+
+def fractional_plan(counts: dict[int, int], capacity: int = CAPACITY, passes: int = PASSES) -> tuple[dict[Mix, float], float]:
+    """Sequences of each mix, a near-optimal solution of the configuration program over ``counts``, and its dual bound.
+
+    The prices that the shares of a sequence give are feasible too, so the
+    bound is at least the tokens over the capacity.
     """
     need = np.zeros(capacity + 1)
     for length, n in counts.items():
         need[length] = n
-    covered = np.zeros(capacity + 1)
+    whole, need[capacity] = need[capacity], 0
     share = np.arange(capacity + 1) / capacity
-    price = share * (1 + LONG * share)
-    plan: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(steps):
-        open_ = (need > 0) & (covered < 1 - 1e-9)
-        if not open_.any():
+    base, bound, best = share * (1 + LONG * share), float(need @ share), {}
+    for k in range(passes if need.any() else 0):
+        plan, dual = covered(need, base)
+        bound = max(bound, dual)
+        if k == 0 or sum(plan.values()) < sum(best.values()):
+            best = plan
+        if sum(best.values()) <= bound * (1 + GAP):
             break
-        mix = best_mix(np.where(open_, price * np.exp(-rate * covered), -np.inf), capacity)
-        take = min(need[x] * min(1 / rate, 1 - covered[x]) / a for x, a in mix.items())
-        key = tuple(sorted(mix.items(), reverse=True))
-        plan[key] = plan.get(key, 0.0) + take
-        for x, a in mix.items():
-            covered[x] += a * take / need[x]
-    return plan
-
-
-Plan = list[tuple[tuple[tuple[int, int], ...], int]]
-
-
-def whole_plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
-    """Mixes and how many sequences use each, so that every piece has exactly one place.
-
-    The fractional plan is scaled by each of ``SCALES``, rounded down and
-    completed; the shortest result counts.
+        # lengths that lead wasteful mixes are hard to place: they cost more in the next pass, and so come earlier
+        waste, used = np.zeros(capacity + 1), np.zeros(capacity + 1)
+        for mix, amount in plan.items():
+            waste[mix[0][0]] += amount * (1 - sum(x * a for x, a in mix) / capacity)
+            used[mix[0][0]] += amount
+        base = base * (1 + 2 * waste / np.maximum(used, 1e-12))
+    if whole:
+        best = {**best, ((capacity, 1),): float(whole)}
+    return best, bound + whole
+
+
+def whole_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Plan, int]:
+    """Mixes and how many sequences use each, so that every piece has exactly one place; and how many sequences the program placed.
+
+    A part of the fractional plan is rounded, fullest mixes first, with what
+    rounding cuts off carried to the next mix; what is left is a smaller
+    program, solved again.  The last few are filled largest length first.
     """
-    fractional = fractional_plan(counts, capacity, steps)
-    return min((rounded(counts, fractional, capacity, scale) for scale in SCALES), key=lambda plan: sum(n for _, n in plan))
-
-
-def rounded(counts: dict[int, int], fractional: dict[tuple[tuple[int, int], ...], float], capacity: int, scale: float) -> Plan:
-    """``scale`` times the fractional plan in whole sequences, held to what there is; then largest length first."""
     left = {x: n for x, n in counts.items() if n > 0}
     out: Plan = []
 
-    def use(mix: tuple[tuple[int, int], ...], times: int) -> None:
+    def use(mix: Mix, times: int) -> None:
         out.append((mix, times))
         for x, a in mix:
             left[x] -= a * times
             if not left[x]:
                 del left[x]
 
-    waste = lambda mix: capacity - sum(x * a for x, a in mix)
-    for mix, amount in sorted(fractional.items(), key=lambda p: (waste(p[0]), -p[1], p[0])):
-        if waste(mix) > SLACK * capacity:
+    def waste(mix: Mix) -> int:
+        return capacity - sum(x * a for x, a in mix)
+
+    if capacity in left:
+        use(((capacity, 1),), left[capacity])
+    tokens = sum(x * n for x, n in left.items())
+    for k in range(AGAIN):
+        if sum(x * n for x, n in left.items()) <= TAIL * tokens:
+            break
+        fractional, _ = fractional_plan(left, capacity, PASSES if k == 0 else 1)
+        carry, placed = 0.0, False
+        for mix, amount in sorted(fractional.items(), key=lambda p: (waste(p[0]), -p[1], p[0])):
+            if waste(mix) > SLACK:
+                break
+            carry += amount * ROUNDED
+            times = min([math.floor(carry + 1e-9), *(left.get(x, 0) // a for x, a in mix)])
+            carry -= math.floor(carry + 1e-9)
+            if times:
+                use(mix, times)
+                placed = True
+        if not placed:
             break
-        times = min([math.floor(amount * scale + 1e-9), *(left.get(x, 0) // a for x, a in mix)])
-        if times:
-            use(mix, times)
+    by_program = sum(n for _, n in out)
     while left:
         mix = fill(left, capacity)
         use(mix, min(left[x] // a for x, a in mix))
-    return out
+    return out, by_program
 
 
-def fill(left: dict[int, int], capacity: int) -> tuple[tuple[int, int], ...]:
+def fill(left: dict[int, int], capacity: int) -> Mix:
     """The largest length left and the fullest bounded choice for the room beside it."""
     top = max(left)
     room = capacity - top
@@ -211,19 +285,21 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     A null or empty text is one piece, the end token alone.  Null ids and
     repeated rows are packed like any other row.  Other columns are not read.
-    An empty table packs into nothing.  The plan has at most ``STEPS`` plus
-    ``capacity`` mixes of at most 44 different lengths, whatever the corpus.
+    An empty table packs into nothing.  Very long texts are tokenized in parts
+    and cut into pieces.  ``copy`` numbers the rows of ``docs``: pieces of rows
+    that repeat an id differ in it.  The histogram has at most ``capacity``
+    entries and the plan a few thousand mixes, whatever the corpus.
     """
     spark = docs.sparkSession
     rows = materialize(token_pieces(docs, capacity), "packing-pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = places(whole_plan(counts, capacity))
+    table = places(whole_plan(counts, capacity)[0])
     plan = spark.createDataFrame(table or [(0, 0, 0, 0, 1, 0)], "length long, lo long, hi long, first long, copies long, base long")
     p = ranked(rows).alias("p")
     q = bounded(plan, len(table), 200_000).alias("q")
     found = p.join(q, (F.col("p.length") == F.col("q.length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     within = F.col("rank") - F.col("lo")
-    return found.select("doc_id", "piece", "start", F.col("p.length").alias("length"), "ids_crc32", F.expr("first + (rank - lo) div copies").alias("sequence_id"), (F.col("base") + F.pmod(within, F.col("copies")) * F.col("p.length")).alias("offset"))
+    return found.select("doc_id", "piece", "start", F.col("p.length").alias("length"), "ids_crc32", F.expr("first + (rank - lo) div copies").alias("sequence_id"), (F.col("base") + F.pmod(within, F.col("copies")) * F.col("p.length")).alias("offset"), "copy")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
