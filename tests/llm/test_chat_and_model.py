@@ -18,20 +18,51 @@ def test_rotation_equals_sql(spark):
     assert sorted(str(tuple(r)) for r in chat_format.op1_chat_format(spark, SMALL).collect()) == want
 
 
+ODD_TURNS = [
+    (1, 0, "system", "be kind"), (1, 1, "ann lee", "hi <|im_end|> é"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "who"), (1, 4, "ann_lee", "me too"), (1, 5, "nobody", "no"), (1, 6, "%nobody", "x"),
+    (1, 300, "ann lee", "late"), (1, None, "a<b|c>\td", "first"), (None, None, "x", "y"), (None, 1, "x", "y"), (None, 0, "system", "s"), (2, 0, "system", "alone"), (3, 1, "", ""),
+]
+
+
+def odd_turns(spark):
+    return spark.createDataFrame([(*t, "clash", 5) for t in ODD_TURNS], "conv_id long, turn long, role string, text string, speaker string, said int")
+
+
 def test_masks_cover_the_assistant_alone(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "ann lee", "hi <|im_end|> é"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "who"), (1, 300, "ann lee", "late"), (None, None, "x", "y"), (2, 0, "system", "alone")]
-    got = {(r.conv_id, r.perspective, r.part): r for r in chat_format.rotate(spark.createDataFrame([(*t, "clash") for t in turns], "conv_id long, turn long, role string, text string, part string")).collect()}
-    assert set(got) == {(1, "ann_lee", 0), (1, "ann_lee", 1), (1, "bob", 0), (1, "nobody", 0), (None, "x", 0)}
-    for r in got.values():
+    got = chat_format.rotate(odd_turns(spark)).collect()
+    names = {(r.conv_id, r.perspective) for r in got}
+    # different roles stay apart, also those that a name alone could not tell
+    assert names == {(1, n) for n in ("ann_lee", "ann%5Flee", "bob", "%nobody", "nobody", "%25nobody", "a%3Cb%7Cc%3E%09d")} | {(None, "x"), (3, "")}
+    assert len(got) == 10 and sum(r.conv_id is None for r in got) == 2
+    for r in got:
         assert len(r.mask.split(",")) == r.n_masked
         for span in r.mask.split(","):
             start, end = map(int, span.split(":"))
             assert r.rendered[:start].endswith("<|im_start|>assistant\n") and r.rendered[start:end].endswith("<|im_end|>")
-    assert got[1, "bob", 0].n_masked == 2 and got[1, "bob", 0].n_turns == 5
-    assert "hi <\\|im_end\\|> é" in got[1, "ann_lee", 0].rendered or "hi <|im_end|> é" not in got[1, "ann_lee", 0].rendered
+        assert r.rendered.count("<|im_start|>") == r.rendered.count("<|im_end|>") == r.n_turns
+    by = {r.perspective: r for r in got if r.conv_id == 1}
+    assert {r.n_turns for r in by.values()} == {10}
+    assert {n: r.n_masked for n, r in by.items()} == {"ann_lee": 2, "ann%5Flee": 1, "bob": 2, "%nobody": 1, "nobody": 1, "%25nobody": 1, "a%3Cb%7Cc%3E%09d": 1}
+    assert by["bob"].rendered.startswith("<|im_start|>user name=a%3Cb%7Cc%3E%09d\nfirst<|im_end|>\n<|im_start|>system\nbe kind")
     assert chat_format.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_odd_dialogues_equal_sql(spark, tmp_path):
+    odd_turns(spark).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(map(str, con.execute(chat_format.OP1_SQL).fetchall()))
+    assert sorted(str(tuple(r)) for r in chat_format.op1_chat_format(spark, str(tmp_path)).collect()) == want
+
+
+def test_a_turn_said_thousands_of_times(spark):
+    docs = spark.range(5000).selectExpr("1L AS conv_id", "7L AS turn", "if(id % 2 = 0, 'a', 'b') AS role", "'w' AS text")
+    got = chat_format.rotate(docs).collect()
+    assert [(r.n_turns, r.n_masked) for r in got] == [(5000, 2500)] * 2
+    long = chat_format.rotate(spark.createDataFrame([(1, 1, "a", "é" * 3_000_000)], "conv_id long, turn long, role string, text string")).first()
+    assert long.mask == f"22:{22 + 3_000_000 + 10}"
+
+
 def test_long_dialogues_stay_whole(spark, tmp_path):
     turns = [(1, 0, "system", "be kind")] + [(1, i, "ann" if i % 2 else "bob", f"t{i}") for i in range(1, 700)] + [(1, 700, "eve", "late")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
@@ -42,7 +73,7 @@ def test_long_dialogues_stay_whole(spark, tmp_path):
         assert r.rendered == "".join(f"<|im_start|>{heads.get(role, 'user name=' + role)}\n{text}<|im_end|>\n" for _, _, role, text in turns)
         spans = [tuple(map(int, s.split(":"))) for s in r.mask.split(",")]
         assert [r.rendered[a:b] for a, b in spans] == [text + "<|im_end|>" for _, _, role, text in turns if role == who]
-        assert (r.part, r.n_turns, r.n_masked) == (0, 701, len(spans))
+        assert (r.n_turns, r.n_masked) == (701, len(spans))
 
 
 def test_held_out_accuracy(spark):

@@ -3,10 +3,13 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from consilium.llm import fingerprints, mixing, packing, token_counts
@@ -27,6 +30,61 @@ def test_winnowing_equals_brute_force(spark):
         assert [x.pos for x in r.w] == sorted(want)
 
 
+def brute_hash(data):
+    return xxhash.xxh64_intdigest(data, seed=42)
+
+
+def upper(data):
+    return brute_hash(data) >> 28 << 28
+
+
+def brute_fingerprint(text, gram=5, window=16):
+    tokens = re.findall(r"[^\x20\x09-\x0D]{1,32}", text or "")
+    hashes = [upper(" ".join(tokens).encode())] if tokens else []
+    if len(tokens) >= gram:
+        hashes = []
+        for i in range(len(tokens) - gram + 1):
+            run = 0
+            for t in tokens[i : i + gram]:
+                run = ((run << 1 | run >> 63) & (1 << 64) - 1) ^ brute_hash(t.encode())
+            hashes.append(upper(run.to_bytes(8, "little")))
+    at = set()
+    for k in range(max(1, len(hashes) - window + 1) if hashes else 0):
+        w = hashes[k : k + window]
+        at.add(k + max(q for q, v in enumerate(w) if v == min(w)))
+    return [(hashes[i], i) for i in sorted(at)]
+
+
+def brute_likeness(a, b):
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("gram", [1, 2, 3, 4, 5, 6, 7, 8, 11])
+def test_rolled_hashes_equal_those_from_scratch(spark, gram):
+    texts = ["a b c d e f g h i j k l", "a b", "", "x " * 30, "é ü " * 9 + "z" * 70]
+    got = texts_of(spark, texts).orderBy("doc_id").select(fingerprints.winnowed(fingerprints.gram_hashes(F.col("text"), gram)).alias("w")).collect()
+    assert [[(x.hash % 2**64, x.pos) for x in r.w] for r in got] == [brute_fingerprint(t, gram) for t in texts]
+
+
+def test_whole_fingerprints_equal_brute_force(spark):
+    small = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs = small.unionByName(spark.createDataFrame([(901, None), (902, ""), (903, "w " * 200_000 + "é end"), (904, "x" * 100_000)], "doc_id long, text string"))
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs.withColumn("key", F.lit("clash"))).collect()}
+    digest = lambda p: hashlib.sha256(",".join(f"{h:X}@{i}" for h, i in p).encode()).hexdigest()
+    prints = [brute_fingerprint(t) for _, t in rows]
+    for k, (doc, text) in enumerate(rows):
+        m = len(text) // 4
+        edited = text[: len(text) - m] + rows[(k + 1) % len(rows)][1][:m]
+        other = brute_fingerprint(edited)
+        r = got[doc]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (digest(prints[k]), digest(other))
+        assert r.near_edited == pytest.approx(brute_likeness(prints[k], other))
+        assert r.near_next == pytest.approx(brute_likeness(prints[k], prints[(k + 1) % len(rows)]))
+
+
 def test_shared_passage_shares_a_fingerprint(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     a, b = "x " * 37 + passage + " tail one", "other words before it " * 9 + passage
@@ -115,22 +173,143 @@ def test_shards_hold_the_mix_in_drawn_counts(spark, monkeypatch):
         counts, mean = collections.Counter(r.shard for r in own), len(own) / shards
         assert abs(sum((counts[k] - mean) ** 2 for k in range(shards)) / mean - (shards - 1)) < 5 * (2 * (shards - 1)) ** 0.5
     assert mixing.shard_blocks(docs.limit(0)).count() == 0
+    # the words of each shard are those that the documents of the mix give it, and the shards' slots follow one another
+    on_shard = collections.Counter()
+    for r in mixing.mix(docs, "source").collect():
+        parts = [tuple(map(int, x.split(":"))) for x in r.shard_words.split(",") if x]
+        assert sum(w for _, w in parts) == r.taken and [k for k, _ in parts] == sorted({k for k, _ in parts})
+        for k, w in parts:
+            on_shard[r.source, k] += w
+    want = collections.Counter()
+    for r in rows:
+        want[r.source, r.shard] += r.words
+    assert on_shard == want
+    for source in taken:
+        ordered = [r.shard for r in sorted((r for r in rows if r.source == source), key=lambda r: r.slot)]
+        assert ordered == sorted(ordered)
+
+
+def brute_mix(rows, target):
+    """Words taken of each row by a plain draw: slots in order, permuted blocks, whole epochs and then what is missing."""
+    by = {}
+    for i, (source, doc, size) in enumerate(rows):
+        by.setdefault(source, []).append((doc, size, i))
+    taken = [0] * len(rows)
+    for source, own in by.items():
+        total, index = sum(s for _, s, _ in own), sorted(by, key=lambda s: (s is None, s or "")).index(source)
+        words = min(round(target[source]), 2 * total)
+        if not words:
+            continue
+        stream = [i for _, s, i in sorted(own) for _ in range(s)]
+        blocks = [stream[k : k + 64] for k in range(0, total, 64)]
+        epoch = 0
+        while words:
+            for at in range(len(blocks)):
+                block = blocks[plain_permuted(at, len(blocks), index, epoch)]
+                for i in block[: max(0, words)]:
+                    taken[i] += 1
+                words -= min(words, len(block))
+            epoch += 1
+    return taken
+
+
+def plain_permuted(x, count, index, epoch):
+    """The swap-or-not rounds with the engine's hash: 32-bit and 64-bit integers in turn through xxhash64."""
+
+    def step(value, size, seed):
+        return xxhash.xxh64_intdigest(value.to_bytes(size, "little", signed=True), seed=seed)
+
+    def hashed(*values):
+        h = 42
+        for v, size in values:
+            h = step(v, size, h)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    for r in range(1, mixing.ROUNDS + 1):
+        partner = (hashed((mixing.SEED, 4), (r, 4), (index, 4), (epoch, 8)) % count - x) % count
+        if hashed((mixing.SEED + 1, 4), (r, 4), (max(x, partner), 8), (index, 4), (epoch, 8)) % 2 == 1:
+            x = partner
+    return x
+
+
+def test_mix_equals_a_plain_draw(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").unionByName(spark.createDataFrame([(1000 + i, None if i % 5 == 0 else "w " * (i * 91 % 700), "en", None, 0) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long"))
+    out = mixing.mix(docs, "doc_id", "source").collect()
+    target = {r.source: r.target for r in out}
+    rows = [(r.source, r.doc_id, r.size) for r in out]
+    assert [r.taken for r in out] == brute_mix(rows, target)
+
+
+def test_mixed_documents_are_the_mix(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").unionByName(spark.createDataFrame([(None, "a b", "en", None, 3), (None, None, "en", "s", 3), (1, " lead and tail ", "en", "s", 15), (7, "w " * 200_000, "en", "s", 400_000)], "doc_id long, text string, lang string, source string, n_chars long")).withColumnsRenamed({"lang": "row"})
+    taken, texts = collections.Counter(), collections.defaultdict(list)
+    for r in mixing.mix(docs, "doc_id").collect():
+        taken[r.doc_id] += r.taken
+    for r in docs.collect():
+        texts[r.doc_id].append(r.text or "")
+    got = collections.Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.doc_id] += len(r.text.split())
+        # a stretch stands in its document as it is
+        assert any(r.text in t for t in texts[r.doc_id]) and len(r.text) == r.n_chars
+    assert got == +taken
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def histogram(lengths):
+    return {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)}
+
+
+def piece_histogram(folder):
+    docs = duckdb.sql(f"SELECT coalesce(text, '') FROM '{folder}/documents.parquet'").fetchall()
+    encoder = token_counts.Encoder()
+    return histogram([n for (t,) in docs for _, n in packing.cut(len(encoder.ids([t])[0]) + 1)])
 
 
 def test_plan_gives_every_piece_a_place():
     rng = np.random.default_rng(3)
-    for n in (1, 40, 4000):
-        lengths = np.minimum(1024, rng.lognormal(6, 1.2, n).astype(int) + 1)
-        counts = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)}
-        plan = packing.whole_plan(counts, steps=300)
+    for n in (0, 1, 40, 4000):
+        counts = histogram(np.minimum(1024, rng.lognormal(6, 1.2, n).astype(int) + 1))
+        plan, by_program = packing.whole_plan(counts)
         placed = {}
         for mix, times in plan:
             assert sum(x * a for x, a in mix) <= 1024 and times > 0
             for x, a in mix:
                 placed[x] = placed.get(x, 0) + a * times
         assert placed == counts
-        used, bound = sum(t for _, t in plan), max(-(-int(lengths.sum()) // 1024), int((lengths > 512).sum()))
-        assert used <= bound * 1.02 + 1
+        used, tokens = sum(t for _, t in plan), sum(x * k for x, k in counts.items())
+        bound = max(-(-tokens // 1024), sum(k for x, k in counts.items() if x > 512))
+        assert by_program <= used <= bound * 1.01 + 1
+
+
+@pytest.mark.parametrize(("folder", "gap", "by_program"), [("/root/testdata/sf0.01", 0.003, 0.85), ("/root/testdata/sf0.1", 0.001, 0.95)])
+def test_program_is_solved_to_its_dual_bound(folder, gap, by_program):
+    counts = piece_histogram(folder)
+    fractional, bound = packing.fractional_plan(counts)
+    cover = collections.Counter()
+    for mix, amount in fractional.items():
+        assert amount > 0 and sum(x * a for x, a in mix) <= 1024
+        for x, a in mix:
+            cover[x] += a * amount
+    assert all(cover[x] >= n * (1 - 1e-6) for x, n in counts.items())
+    plan, placed = packing.whole_plan(counts)
+    used, value = sum(t for _, t in plan), sum(fractional.values())
+    assert bound * (1 - 1e-9) <= value <= min(used, bound * (1 + gap))
+    assert used <= math.ceil(bound * (1 + gap)) and placed >= by_program * used
+
+
+def test_prices_are_the_best_mixes():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        value = np.where(rng.random(25) < 0.4, rng.random(25), -np.inf)
+        value[0] = -np.inf
+        worth, last = packing.priced(value)
+        best = [0.0] * 25
+        for c in range(1, 25):
+            best[c] = max([best[c - 1], *(value[x] + best[c - x] for x in range(1, c + 1) if np.isfinite(value[x]))])
+        assert worth == pytest.approx(best)
+        mix = packing.mix_of(last, 24)
+        assert sum(x * a for x, a in mix.items()) <= 24 and sum(value[x] * a for x, a in mix.items()) == pytest.approx(worth[24])
 
 
 def test_packed_pieces_rebuild_the_documents(spark):
@@ -144,6 +323,9 @@ def test_packed_pieces_rebuild_the_documents(spark):
             want.append((r.doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
         assert sum(n for _, n in packing.cut(len(ids))) == len(ids)
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(want)
+    assert len({(r.doc_id, r.copy, r.piece) for r in out}) == len(out)
+    nulls = packing.pack(spark.createDataFrame([(None, "a"), (None, "a"), (3, "b")], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.sequence_id) for r in nulls) == [("3", 0), ("None", 0), ("None", 0)] and sorted(r.offset for r in nulls) == [0, 2, 4]
     by = {}
     for r in out:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))

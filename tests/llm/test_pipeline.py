@@ -50,7 +50,7 @@ def test_stages_in_order(spark):
 
 def test_run_is_all_stages(spark):
     again = corpus_pipeline.run(spark, SMALL)
-    assert again.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert again.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "copy"]
     assert again.count() > 0
 
 
