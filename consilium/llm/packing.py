@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, load, materialize
-from .token_counts import cached_encoder, pieces
+from .token_counts import Encoder, batches, cached_encoder
 
 CAPACITY = 1024
 END = 2
+_END = np.array([END], dtype="<u4")
 #: Share of a length that one round covers at most, how sharply coverage lowers a price, and by how much less than the best a mix may be worth.
 STEP, RATE, NEAR = 0.05, 0.1, 0.001
 #: How much dearer than its share of a sequence a length is at first, at most: long pieces are placed while others can fill the room beside them.
@@ -50,20 +51,32 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
+def _whole_ids(texts: list[str | None], encoder: Encoder) -> Iterator[np.ndarray]:
+    """The ids of each text in order, the end token last, from batches of pieces."""
+    open_, parts = 0, []
+    for owners, batch in batches(texts):
+        for owner, ids in zip(owners, encoder.ids(batch), strict=True):
+            if owner != open_:
+                yield np.concatenate([*parts, _END])
+                open_, parts = owner, []
+            parts.append(np.asarray(ids, dtype="<u4"))
+    if texts:
+        yield np.concatenate([*parts, _END])
+
+
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``PIECES`` rows of every document; the ids themselves never leave the Python worker."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = cached_encoder()
-        for batch in batches:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        for batch in arrow:
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, text, copy in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                parts = [np.asarray(x, dtype="<u4") for x in encoder.ids(pieces(text or ""))]
-                ids = np.concatenate([*parts, np.array([END], dtype="<u4")])
+            doc_ids, texts, copies = (batch.column(c).to_pylist() for c in range(3))
+            for doc, copy, ids in zip(doc_ids, copies, _whole_ids(texts, encoder), strict=True):
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     for col, value in zip(cols, (doc, copy, k, start, length, zlib.crc32(ids[start : start + length].tobytes())), strict=True):
                         col.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
 
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.monotonically_increasing_id().alias("copy"))
