@@ -63,16 +63,6 @@ def normalize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([None if v is None else normalized(v) for v in batch.to_pylist()], pa.string())
 
 
-def with_normal_form(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with ``out``, each distinct string normalised once and joined back.
-
-    Worth its shuffle where strings repeat a lot, as sampled answers do; a
-    column of distinct long texts is better normalised in place.
-    """
-    forms = df.select(F.col(column).alias("__raw")).distinct().withColumn(out, normalize("__raw"))
-    return df.join(forms, df[column].eqNullSafe(forms["__raw"]), "left").drop("__raw")
-
-
 def strip(value: Column, chars: str = r"\s") -> Column:
     """Both ends without Unicode white space, or without the characters of a regex class body."""
     return F.regexp_replace(value, rf"(?U)^[{chars}]+|[{chars}]+$", "")
@@ -205,3 +195,12 @@ def seed_hex(*values: Column) -> Column:
 def stable_seed(*values: Column) -> Column:
     """An unsigned 64-bit seed as a decimal, the same for the same values wherever they stand."""
     return F.conv(seed_hex(*values), 16, 10).cast("decimal(20,0)")
+
+
+def utc_text(moment: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC, to the second, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    return F.round((F.unix_micros(end) - F.unix_micros(start)) / 1e6, 3)

@@ -14,6 +14,11 @@ class ContractError(ValueError):
     """Rows break a structural rule that no later stage may see broken."""
 
 
+def bounded(rows: DataFrame, limit: int = 4096) -> DataFrame:
+    """``rows`` marked for a broadcast where a count, which stops at the limit, finds them to be few; else as they are."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
 def unique_keys(rows: DataFrame, keys: Sequence[str], name: str = "rows") -> DataFrame:
     """``rows`` as they are, or an error naming repeated keys."""
     twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys).limit(5).collect()
