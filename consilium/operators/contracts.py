@@ -7,11 +7,11 @@ import json
 from collections.abc import Mapping, Sequence
 from pathlib import Path, PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .relational import ContractError, coverage
+from .relational import ContractError, bounded, coverage
 
 CAP = 25
 
@@ -27,7 +27,7 @@ def input_violations(rows: DataFrame, relations: DataFrame) -> DataFrame:
     """Blank subjects, unknown relations and repeated keys."""
     keys = ["SubjectEntity", "Relation"]
     blank = rows.where(F.col("SubjectEntity").isNull() | (strip(F.col("SubjectEntity")) == "")).select(*keys, F.lit("blank subject").alias("problem"))
-    known = F.broadcast(relations.select("Relation"))
+    known = bounded(relations.select("Relation"))
     unknown = rows.join(known, "Relation", "left_anti").select(*keys, F.lit("unknown relation").alias("problem"))
     twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.lit("duplicate key").alias("problem"))
     return blank.unionByName(unknown).unionByName(twice)
@@ -41,7 +41,7 @@ def prediction_violations(pred: DataFrame, reference: DataFrame, relations: Data
     blank = pred.where(F.col("ObjectEntities").isNull() | F.exists("ObjectEntities", lambda v: v.isNull() | (strip(v) == ""))).select(*keys, F.lit("not a list of strings").alias("problem"))
     out = out.unionByName(twice).unionByName(blank)
     if not allow_empty:
-        never = F.broadcast(relations.where("never_empty").select("Relation"))
+        never = bounded(relations.where("never_empty").select("Relation"))
         out = out.unionByName(pred.join(never, "Relation", "left_semi").where(F.size("ObjectEntities") == 0).select(*keys, F.lit("empty answer").alias("problem")))
     return out
 
@@ -133,3 +133,58 @@ def reusable(bundle: Path, expected: Mapping, files: Sequence[str]) -> bool:
         return False
     held = json.loads(manifest.read_text(encoding="utf-8"))
     return not manifest_problems(held, expected, {f"{f}_sha256": bundle / f for f in files})
+
+
+# What no released file may hold.
+HYGIENE = {
+    "token of a code host": r"(?:github_pat_[A-Za-z0-9_]{20,}|gh[pousr]_[A-Za-z0-9]{20,})",
+    "token of a model hub": r"\bhf_[A-Za-z0-9]{20,}\b",
+    "key of a model service": r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}",
+    "key of a search service": r"\bAIza[0-9A-Za-z_-]{30,}\b",
+    "cloud access key": r"\bAKIA[0-9A-Z]{16}\b",
+    "private key": r"-----BEGIN (?:RSA |OPENSSH |EC )?PRIVATE KEY-----",
+    "bearer token": r"(?i)Authorization:\s*Bearer\s+[A-Za-z0-9._-]{12,}",
+    "home folder": r"(?:/home/[^/\s]+/|/Users/[^/\s]+/|[A-Za-z]:\\Users\\[^\\\s]+\\)",
+    "private endpoint": r"(?i)(?:https?://|ssh://|\b(?:HOST|HOSTNAME|SERVER|ENDPOINT)\s*[:=]\s*)(?:10(?:\.\d{1,3}){3}|192\.168(?:\.\d{1,3}){2}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2})",
+}
+BINARY = ("gif", "gz", "jpeg", "jpg", "npz", "pdf", "png", "pyc", "tar", "zip")
+
+
+def hygiene_violations(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, problem) of texts that hold a credential, a private endpoint or a machine's own folder; binary files are left out."""
+    suffix = F.lower(F.regexp_extract(F.col(path), r"\.([A-Za-z0-9]+)$", 1))
+    found = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(name)) for name, p in HYGIENE.items()]))
+    return texts.where(~suffix.isin(*BINARY)).select(F.col(path).alias("path"), F.explode(found).alias("problem"))
+
+
+def release_violations(scores: DataFrame, pinned: DataFrame, rows: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """(name, problem): candidates whose recomputed score, row count or hash is not the pinned one.
+
+    ``scores(name, f1)`` are recomputed, ``rows(name, n_rows, sha256)`` found,
+    ``pinned(name, f1, n_rows, sha256)`` expected.
+    """
+    p = pinned.select("name", F.col("f1").alias("want_f1"), F.col("n_rows").alias("want_rows"), F.col("sha256").alias("want_sha"))
+    met = p.join(scores.select("name", "f1"), "name", "left").join(rows.select("name", "n_rows", "sha256"), "name", "left")
+    wrong = F.array_compact(F.array(
+        F.when(F.coalesce(F.abs(F.col("f1") - F.col("want_f1")) > tolerance, F.lit(True)), "score"),
+        F.when(~F.col("n_rows").eqNullSafe(F.col("want_rows")), "rows"),
+        F.when(~F.col("sha256").eqNullSafe(F.col("want_sha")), "hash"),
+    ))
+    return met.select("name", F.explode(wrong).alias("problem"))
+
+
+def migration_violations(old: DataFrame, current: DataFrame, mapping: DataFrame, dropped: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(place, keys, problem): where renaming and dropping the old keys, in order, does not give the current ones.
+
+    ``old`` and ``current`` have ``place``; ``mapping(keys, new_subject)``
+    renames subjects, ``dropped(keys)`` leaves rows out.  Mappings and drops of
+    keys that the old rows lack are violations too.
+    """
+    subject, *rest = keys
+    moved = old.join(dropped.select(*keys), list(keys), "left_anti").join(mapping.select(*keys, "new_subject"), list(keys), "left")
+    moved = moved.select("place", F.coalesce("new_subject", subject).alias(subject), *rest)
+    order = lambda df: df.select(*keys, F.row_number().over(Window.orderBy("place")).alias("at"))
+    a, b = order(moved), order(current)
+    apart = a.join(b, ["at", *keys], "left_anti").withColumn("problem", F.lit("not in the current rows")).unionByName(b.join(a, ["at", *keys], "left_anti").withColumn("problem", F.lit("not in the migrated rows")))
+    idle = mapping.select(*keys).unionByName(dropped.select(*keys)).join(old, list(keys), "left_anti").select(F.lit(None).cast("int").alias("at"), *keys, F.lit("mapping without an old row").alias("problem"))
+    return apart.select("at", *keys, "problem").unionByName(idle)

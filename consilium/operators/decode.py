@@ -10,7 +10,6 @@ import functools
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,19 +111,14 @@ def fit_logistic(rows: DataFrame, xs: Sequence[str], y: str, weight: str | None
 
 
 def fit_by_relation(rows: DataFrame, l2: float = 2.0) -> DataFrame:
-    """(Relation, coefficients) from ``rows(Relation, x array, y, weight)``, one bounded training set a relation."""
+    """(Relation, coefficients) from ``rows(Relation, x array, y, weight)``: sums over all relations in one pass a round."""
+    from .models import fit_logistic_by
 
-    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x, y, w = np.stack(part["x"]), part["y"].to_numpy(float), part["weight"].to_numpy(float)
-        beta, pull = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
-        pull[0] = 0
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(pull) + np.eye(len(beta)) * 1e-9
-            beta = beta + np.linalg.lstsq(h, x.T @ (w * (y - p)) - pull * beta, rcond=None)[0]
-        return pd.DataFrame({"Relation": [key[0]], "coefficients": [beta.tolist()]})
-
-    return rows.groupBy("Relation").applyInPandas(solve, "Relation string, coefficients array<double>")
+    width = rows.select(F.max(F.size("x"))).first()[0] or 0
+    xs = [f"x{i}" for i in range(width)]
+    wide = rows.select("Relation", "y", "weight", *[F.get("x", F.lit(i)).alias(x) for i, x in enumerate(xs)])
+    beta = fit_logistic_by(wide, ["Relation"], xs, "y", "weight", l2)
+    return rows.sparkSession.createDataFrame([(k[0], b.tolist()) for k, b in beta.items()], "Relation string, coefficients array<double>")
 
 
 # -- actions and set utilities -------------------------------------------------------
@@ -306,6 +300,50 @@ def prove(hyps: DataFrame, keys: Sequence[str], arm: str = "strict_proof_graph")
     return inc.join(won, list(keys), "left").select(*keys, F.coalesce("w.tokens", "kept").alias("tokens"), F.col("w").isNotNull().alias("changed"))
 
 
+SHIFTED = "strict_proof_graph_cardinality_shifted"
+
+
+def shifted_rates(records: DataFrame, keys: Sequence[str], group: str = "Relation") -> DataFrame:
+    """(keys, cards, n): of every key the sizes that its relation's next key, in order, states; the first key's after the last.
+
+    A control: sizes keep their distribution and lose their subject.  Sizes
+    travel as counts, of which a key has few.  A relation of one key cannot be
+    shifted, which is an error.
+    """
+    own = records.groupBy(*keys, "exact_cardinality").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("exact_cardinality", "n"))).alias("cards"))
+    alone = own.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n < 2")
+    if alone.limit(1).count():
+        raise ValueError(f"cannot shift {alone.first()[0]}: it has one key")
+    w = Window.partitionBy(group).orderBy(*keys)
+    first = F.first("cards").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    moved = own.withColumn("cards", F.coalesce(F.lead("cards").over(w), first))
+    return moved.withColumn("n", F.aggregate(F.map_values("cards"), F.lit(0).cast("long"), lambda a, x: a + x))
+
+
+def with_shifted_rates(hyps: DataFrame, shifted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``hyps`` with the size and existence rates of the shifted records instead of their own."""
+    met = hyps.drop("exact_cardinality_match_rate", "existence_match_rate").join(shifted, list(keys))
+    size = F.col("set_size").cast("int")
+    same = F.coalesce(F.try_element_at("cards", size), F.lit(0))
+    empty = F.coalesce(F.try_element_at("cards", F.lit(0)), F.lit(0))
+    return met.withColumns({"exact_cardinality_match_rate": same / F.col("n"), "existence_match_rate": F.when(size == 0, empty).otherwise(F.col("n") - empty) / F.col("n")}).drop("cards", "n")
+
+
+def proof_stage(hyps: DataFrame, records: DataFrame, invalid: DataFrame, keys: Sequence[str], arm: str = "strict_proof_graph", identity: Sequence[str] = ()) -> DataFrame:
+    """(keys, tokens, changed, fallback): ``prove`` behind the gates of the stage.
+
+    Keys in ``invalid`` (broken evidence) and relations in ``identity`` keep
+    their incumbent; the shifted arm proves with the next key's sizes.
+    """
+    used = with_shifted_rates(hyps, shifted_rates(records, keys), keys) if arm == SHIFTED else hyps
+    won = prove(used, keys, arm)
+    kept = hyps.where("is_incumbent").select(*keys, F.col("tokens").alias("__kept"))
+    bad = invalid.select(*keys).distinct().withColumn("__bad", F.lit(True))
+    met = won.join(kept, list(keys)).join(bad, list(keys), "left")
+    same = F.coalesce(F.col("__bad"), F.lit(False)) | F.col("Relation").isin(*identity) if identity else F.coalesce(F.col("__bad"), F.lit(False))
+    return met.select(*keys, F.when(same, F.col("__kept")).otherwise(F.col("tokens")).alias("tokens"), (F.col("changed") & ~same).alias("changed"), F.coalesce(F.col("__bad"), F.lit(False)).alias("fallback"))
+
+
 def numeric_proof(challenger: Column, incumbent: Column, members: Column, families: Sequence[str] = FAMILIES) -> Column:
     """A single value proven by all families, two thirds of them more than the incumbent has, with members within 5 % of each other.
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..schemas import FAMILIES
+from . import stats
+from .relational import bounded
 from .storage import checkpointed
 
 # How sure each rule of equivalence is.
@@ -103,7 +105,8 @@ def string_components(candidates: DataFrame, edges: DataFrame, keys: Sequence[st
     Labels travel inside a key only; each round halves what is left of a chain.
     """
     links = edges.where("NOT blocked").select(*keys, F.col("left").alias("u"), F.col("right").alias("v"))
-    links = links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).persist()
+    # written once: a lost executor must not make every round read the links anew
+    links = checkpointed(links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = candidates.select(*keys, "idx", F.col("idx").alias("component"))
     while True:
         near = links.join(label.select(*keys, F.col("idx").alias("v"), "component"), [*keys, "v"]).groupBy(*keys, F.col("u").alias("idx")).agg(F.min("component").alias("near"))
@@ -112,14 +115,16 @@ def string_components(candidates: DataFrame, edges: DataFrame, keys: Sequence[st
         step = checkpointed(jump.select(*keys, "idx", F.col("component").alias("was"), F.least("least", "further").alias("component")))
         label = step.drop("was")
         if not step.where("component < was").limit(1).count():
-            links.unpersist()
             return label
 
 
 def numeric_components(candidates: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, component, members): complete-link runs of a key's values, anchored at each run's least value."""
-    grouped = candidates.where(F.col(value).isNotNull()).groupBy(*keys).agg(numbers.anchored_groups(F.collect_list(value)).alias("g"))
-    return grouped.select(*keys, F.posexplode("g").alias("component", "members"))
+    """(keys, component, members): complete-link runs of a key's values, anchored at each run's least value.
+
+    Keys are read in order, a batch at a time; only a run's members meet in a row.
+    """
+    runs = stats.anchored_runs(candidates, keys, value)
+    return runs.groupBy(*keys, F.col("run").cast("int").alias("component")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("v", "w"))), lambda x: F.array_repeat(x["v"], x["w"].cast("int")))).alias("members"))
 
 
 def complete_link(component_values: DataFrame, keys: Sequence[str], tolerance: float = 0.05) -> DataFrame:
@@ -150,7 +155,7 @@ def complete_link(component_values: DataFrame, keys: Sequence[str], tolerance: f
 def contradictions(components: DataFrame, relations: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Edges between the null hypothesis and every component, and between any two of a single-answer relation."""
     null = components.select(*keys, F.lit("null").alias("source"), F.col("id").alias("target"))
-    one = components.join(F.broadcast(relations.where("single").select("Relation")), "Relation")
+    one = components.join(bounded(relations.where("single").select("Relation")), "Relation")
     a, b = one.alias("a"), one.alias("b")
     cond = F.col("a.id") < F.col("b.id")
     for k in keys:
@@ -295,3 +300,193 @@ def attach_supply(existing: DataFrame, supply: DataFrame, keys: Sequence[str], s
     near = supply.alias("s").join(existing.alias("e"), list(keys)).where(numbers.within_product(F.col("s.value"), F.col("e.value"))).select(*[F.col(k) for k in keys], F.col("s.value").alias("value")).distinct().withColumn("known", F.lit(True))
     out = supply.join(near, [*keys, "value"], "left")
     return out.select(*keys, "value", "support", (F.col("support") == samples).alias("unanimous"), F.col("known").isNull().alias("novel"))
+
+
+# -- candidates and components ----------------------------------------------------------
+
+
+def eligible_candidates(candidates: DataFrame, second: str, routes: str = "routes") -> DataFrame:
+    """Candidates but those that the route ``second`` alone proposes; ``routes`` maps route to evidence."""
+    alone = (F.size(F.col(routes)) == 1) & F.array_contains(F.map_keys(F.col(routes)), second)
+    return candidates.where(~F.coalesce(alone, F.lit(False)))
+
+
+def eligible_components(components: DataFrame, members: DataFrame, eligible: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Components (keys, component, ...) that hold an eligible candidate; ``members(keys, component, idx)``."""
+    good = members.join(eligible.select(*keys, "idx"), [*keys, "idx"], "left_semi").select(*keys, "component")
+    return components.join(good, [*keys, "component"], "left_semi")
+
+
+def aligned_candidates(proposals: DataFrame, exact: DataFrame, selected: DataFrame, keys: Sequence[str], agent: str = "agent") -> DataFrame:
+    """Proposals (keys, agent, key, item, support) that the strict parser reproduces or that the agent selected, and what only the strict parser finds.
+
+    ``exact(keys, agent, key, item, support)`` is the strict parser's count;
+    its support counts where it has one, and a selected key without any raw
+    support stays with support 0.  Other proposals lose their agent, and with
+    their last agent go.
+    """
+    on = [*keys, agent, "key"]
+    strict = exact.select(*on, F.col("item").alias("exact_item"), F.col("support").alias("exact_support"))
+    chosen = selected.select(*on).distinct().withColumn("selected", F.lit(True))
+    met = proposals.join(strict, on, "full").join(chosen, on, "left")
+    met = met.where(F.col("exact_support").isNotNull() | F.col("selected"))
+    # a selected proposal that the strict parser lacks keeps the support it had
+    return met.select(*on, F.coalesce("item", "exact_item").alias("item"), F.coalesce("exact_support", "support", F.lit(0)).alias("support"), F.coalesce("selected", F.lit(False)).alias("selected"))
+
+
+def component_keys(components: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, key, component): every spelling that names a component, distinct; blanks name none.
+
+    ``components(keys, component, member_keys, item_keys, representative_key)``;
+    a numeric key also names its component without the ``numeric:`` prefix.
+    """
+    named = F.concat("member_keys", "item_keys", F.array("representative_key"))
+    every = components.select(*keys, "component", F.explode(F.concat(named, F.transform(named, lambda k: F.regexp_replace(k, "^numeric:", "")))).alias("key"))
+    return every.where("key <> ''").distinct()
+
+
+def ambiguous_keys(lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, key): spellings that name several components, which no mapping may use."""
+    return lookup.groupBy(*keys, "key").agg(F.count_distinct("component").alias("n")).where("n > 1").select(*keys, "key")
+
+
+def map_items(items: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, owner, components, unknown): the components that items name, once each in order, and items that name none.
+
+    ``items(keys, owner, pos, item, spellings)``: the first spelling that names a
+    component counts; ``lookup`` must be free of ``ambiguous_keys``.  An item
+    whose first spelling, its key, is blank is neither mapped nor unknown.
+    """
+    each = items.select(*keys, "owner", "pos", "item", F.get("spellings", F.lit(0)).alias("main"), F.posexplode("spellings").alias("at", "key"))
+    best = each.join(lookup, [*keys, "key"], "left").groupBy(*keys, "owner", "pos", "item", "main").agg(F.min_by("component", F.when(F.col("component").isNotNull(), F.col("at"))).alias("component"))
+    first = F.array_sort(F.collect_list(F.when(F.col("component").isNotNull(), F.struct("pos", "component"))))
+    lost = F.array_sort(F.collect_list(F.when(F.col("component").isNull() & (F.coalesce("main", F.lit("")) != ""), F.struct("pos", "item"))))
+    packed = best.groupBy(*keys, "owner").agg(first.alias("f"), lost.alias("l"))
+    return packed.select(*keys, "owner", F.array_distinct(F.transform("f", lambda x: x["component"])).alias("components"), F.transform("l", lambda x: x["item"]).alias("unknown"))
+
+
+def component_map(members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, key, component): of components that share a key the last in order counts; ``members(keys, place, component, key)``."""
+    return members.where("key <> ''").groupBy(*keys, "key").agg(F.max_by("component", "place").alias("component"))
+
+
+def objects_of(components: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, objects): representatives of the wanted components (keys, component) in component order (place)."""
+    met = components.join(wanted.select(*keys, "component").distinct(), [*keys, "component"], "left_semi")
+    packed = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "representative"))).alias("p"))
+    return packed.select(*keys, F.transform("p", lambda x: x["representative"]).alias("objects"))
+
+
+def collapse(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, objects): a prediction with each component's items as its representative, once, and each key once, in order.
+
+    ``items(keys, pos, item, key, component, representative,
+    representative_key)`` with a null component where an item has none.
+    """
+    value = F.coalesce("representative", "item")
+    each = items.withColumn("value", value).withColumn("value_key", F.when(F.col("component").isNotNull(), F.col("representative_key")).otherwise(F.col("key")))
+    # the first item of a component stands for it; then the first of each key stays
+    group = F.coalesce(F.concat(F.lit("c:"), F.col("component").cast("string")), F.concat(F.lit("i:"), F.col("pos").cast("string")))
+    by_component = each.groupBy(*keys, group.alias("group")).agg(F.min(F.struct("pos", "value", "value_key")).alias("f")).select(*keys, "f.*")
+    by_key = by_component.groupBy(*keys, "value_key").agg(F.min(F.struct("pos", "value")).alias("f"))
+    packed = by_key.groupBy(*keys).agg(F.array_sort(F.collect_list("f")).alias("p"))
+    return packed.select(*keys, F.transform("p", lambda x: x["value"]).alias("objects"))
+
+
+def representatives(members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, component, representative): the surface that stands for each component.
+
+    Numbers: the text at which the running strength, by value, reaches half.
+    Names: no acronym before one, then by selections, strength, length up to
+    80, text.  ``members(keys, component, item, value, strength, n_selected)``;
+    a null value is a name.
+    """
+    on = [*keys, "component"]
+    w = Window.partitionBy(*on)
+    weight = F.greatest(F.lit(1e-6), F.coalesce("strength", F.lit(0.0)))
+    run = members.where("value IS NOT NULL").withColumn("w", weight).withColumn("run", F.sum("w").over(w.orderBy("value", "item").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("half", F.sum("w").over(w) / 2)
+    number = run.where(F.col("run") >= F.col("half")).groupBy(*on).agg(F.min(F.struct("value", "item")).alias("b")).select(*on, F.col("b.item").alias("representative"))
+    order = F.struct(text.acronym(F.col("item")).isNull(), F.col("n_selected"), F.coalesce("strength", F.lit(0.0)), F.least(F.length("item"), F.lit(80)), F.col("item"))
+    name = members.groupBy(*on).agg(F.max_by("item", order).alias("representative"))
+    return name.join(number.withColumnRenamed("representative", "number"), on, "left").select(*on, F.coalesce("number", "representative").alias("representative"))
+
+
+# -- routes and events --------------------------------------------------------------------
+
+
+def attach_route(candidates: DataFrame, evidence: DataFrame, keys: Sequence[str], route: str, family: str, samples: int, least: int) -> DataFrame:
+    """Candidates (keys, key, item, routes) with ``route`` added to those that ``evidence(keys, key, item, generations)`` names, and new ones for the rest.
+
+    ``routes`` maps route to struct<family, support, samples, support_rate,
+    selected, generations>; a route selects what ``least`` generations back.
+    """
+    n = F.size("generations")
+    entry = F.struct(F.lit(family).alias("family"), n.alias("support"), F.lit(samples).alias("samples"), (n / F.lit(float(samples))).alias("support_rate"), (n >= least).alias("selected"), F.col("generations").alias("generations"))
+    fresh = evidence.select(*keys, "key", F.col("item").alias("__item"), F.map_from_arrays(F.array(F.lit(route)), F.array(entry)).alias("__route"))
+    met = candidates.join(fresh, [*keys, "key"], "full")
+    older = F.when(F.col("__route").isNull(), F.col("routes")).otherwise(F.map_filter("routes", lambda k, v: k != route))
+    merged = F.when(F.col("routes").isNull(), F.col("__route")).when(F.col("__route").isNull(), F.col("routes")).otherwise(F.map_concat(older, F.col("__route")))
+    return met.select(*keys, "key", F.coalesce("item", "__item").alias("item"), merged.alias("routes"), F.col("item").isNull().alias("admitted"))
+
+
+def replace_route_events(events: DataFrame, edges: DataFrame, records: DataFrame, keys: Sequence[str], route: str, family: str) -> tuple[DataFrame, DataFrame]:
+    """Events and edges with a route's events replaced by one exact event a generation.
+
+    ``records(keys, generation, status, components, claims, sha256)`` has every
+    generation; each event supports its components with weight 1 / generations.
+    Edges at a removed event go with it.
+    """
+    old = events.where(F.col("route") == route).select(*keys, "id")
+    kept = events.where(~F.col("route").eqNullSafe(route))
+    bare = edges.join(old.withColumnRenamed("id", "source"), [*keys, "source"], "left_anti").join(old.withColumnRenamed("id", "target"), [*keys, "target"], "left_anti")
+    name = F.concat(F.lit(f"evidence:{route}:generation:"), F.col("generation").cast("string"))
+    total = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
+    fresh = records.join(total, list(keys)).select(*keys, name.alias("id"), F.lit("evidence_event").alias("node_type"), F.lit(route).alias("route"), F.lit(family).alias("model_family"), F.col("generation").alias("generation_index"), "status", "claims", "sha256", "components", "samples")
+    support = fresh.select(*keys, F.col("id").alias("source"), F.explode("components").alias("target"), F.lit("supports").alias("edge_type"), (1 / F.col("samples")).alias("weight"))
+    return kept.unionByName(fresh.drop("components", "samples"), allowMissingColumns=True), bare.unionByName(support, allowMissingColumns=True)
+
+
+def support_bounds(records: DataFrame, claimed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, component, actual, least, samples): components whose exact support is below the claimed one or above the generations.
+
+    ``claimed(keys, component, rate)`` is the largest support rate of any of a
+    component's surfaces on the route.  Union support may exceed it, not fall short.
+    """
+    total = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
+    hits = records.select(*keys, F.explode("components").alias("component")).groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("actual"))
+    met = claimed.join(total, list(keys)).join(hits, [*keys, "component"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    least = F.ceil(F.col("rate") * F.col("samples") - 1e-9)
+    return met.withColumn("least", least).where((F.col("actual") < F.col("least")) | (F.col("actual") > F.col("samples"))).select(*keys, "component", "actual", "least", "samples")
+
+
+def evidence_graph(nodes: DataFrame, edges: DataFrame, routes: dict[str, tuple[str, DataFrame]], claimed: dict[str, DataFrame], keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, problems): a relational graph with the exact events of every route, repaired, and its states.
+
+    ``routes`` gives each route's family and records.  Problems are support
+    below a claim and what ``event_violations`` still finds; a caller that must
+    not go on with them passes them to ``contracts.require``.
+    """
+    spark = nodes.sparkSession
+    kinds = {f.name: f.dataType for f in nodes.schema}
+    event_schema = ", ".join(f"`{k}` {kinds[k].simpleString()}" for k in keys) + ", id string, node_type string, route string, model_family string, generation_index int, status string, claims array<string>, sha256 string"
+    events = spark.createDataFrame([], event_schema)
+    out, problems = edges, None
+    for route, (family, records) in routes.items():
+        events, out = replace_route_events(events, out, records, keys, route, family)
+        if route in claimed:
+            low = support_bounds(records, claimed[route], keys).select(*keys, F.concat(F.lit(f"{route}:"), F.col("component")).alias("id"), F.lit("support_below_claim").alias("problem"))
+            problems = low if problems is None else problems.unionByName(low)
+    events, out = repair_events(events, out, keys)
+    states = state_edges(events, out, keys)
+    out = out.unionByName(states, allowMissingColumns=True)
+    left = event_violations(events, out, keys)
+    problems = left if problems is None else problems.unionByName(left)
+    dims = states.select(*keys, F.col("target").alias("id"), F.split("target", ":")[0].alias("node_type")).distinct()
+    every = nodes.unionByName(events, allowMissingColumns=True).unionByName(dims, allowMissingColumns=True)
+    return every, out, problems
+
+
+def by_id(rows: DataFrame, keys: Sequence[str], prefix: str, index: str, value: str) -> DataFrame:
+    """(keys, lookup): a map from ``prefix:index`` to ``value`` for each key's few rows."""
+    name = F.concat(F.lit(f"{prefix}:"), F.col(index).cast("string"))
+    return rows.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, F.col(value))))).alias("lookup"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.text import normalize
+from .relational import bounded
 
 
 def last_of_each(rows: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
@@ -104,7 +105,7 @@ def score_pairs(pred: DataFrame, gold: DataFrame, relations: DataFrame, toleranc
     keys = ["SubjectEntity", "Relation"]
     told = last_of_each(pred, keys, "pos").select(*keys, "ObjectEntities")
     base = gold.select(*keys, F.col("ObjectEntities").alias("gold")).join(told.withColumnRenamed("ObjectEntities", "pred"), keys, "left").withColumn("pred", F.coalesce("pred", F.expr("cast(array() as array<string>)")))
-    base = base.join(F.broadcast(relations.select("Relation", "kind")), "Relation", "left")
+    base = base.join(bounded(relations.select("Relation", "kind")), "Relation", "left")
     each = base.select(*keys, "kind", F.posexplode_outer("pred").alias("at", "item"))
     forms = each.where(F.col("item").isNotNull()).withColumn("form", normalize("item")).groupBy(*keys, "form").agg(F.min(F.struct("at", "item")).alias("first"))
     counts = forms.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_pred"), F.array_sort(F.collect_list("first")).alias("firsts"))

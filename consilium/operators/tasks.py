@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import seed_hex, stable_seed, strip
+from .relational import bounded
 
 # Codes of choices, and the choices of the two commitment phases.
 CODES = ("A", "B", "C", "D", "E", "F", "G", "H")
 EXISTENCE = ("EMPTY", "NONEMPTY")
 PHASES = ("commit_existence", "commit_cardinality", "propose")
+#: Agents of a portfolio, at most.
+MOST_AGENTS = 1000
 
 
 def cardinality_choices(nullable: Column, single: Column) -> Column:
@@ -52,8 +55,10 @@ def agent_tasks(rows: DataFrame, agents: DataFrame, relations: DataFrame, n_prop
     place instead of crossed.
     """
     phases = F.array(*[F.lit(p) for p in PHASES])
-    met = rows.join(F.broadcast(relations.select("Relation", "nullable", "single")), "Relation")
-    # one row that holds the portfolio, met by every input row
+    met = rows.join(bounded(relations.select("Relation", "nullable", "single")), "Relation")
+    # one row that holds the portfolio, met by every input row; agents are a configuration, and more than a few are an error
+    if agents.limit(MOST_AGENTS + 1).count() > MOST_AGENTS:
+        raise ValueError(f"more than {MOST_AGENTS} agents")
     listed = agents.groupBy(F.lit(1).alias("all")).agg(F.array_sort(F.collect_list(F.struct("agent_id", "temperature"))).alias("agents"))
     each = met.withColumn("all", F.lit(1)).join(F.broadcast(listed), "all").select("SubjectEntity", "Relation", "pos", "nullable", "single", F.explode("agents").alias("a"))
     each = each.withColumn("phase", F.explode(phases))
@@ -76,7 +81,7 @@ def agent_tasks(rows: DataFrame, agents: DataFrame, relations: DataFrame, n_prop
 
 def review_tasks(candidates: DataFrame, agents: Sequence[str], relations: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A task for each candidate of a relation with names and each agent that did not propose it."""
-    named = candidates.join(F.broadcast(relations.where("kind = 'string'").select("Relation")), "Relation", "left_semi")
+    named = candidates.join(bounded(relations.where("kind = 'string'").select("Relation")), "Relation", "left_semi")
     others = F.array_except(F.array(*[F.lit(a) for a in agents]), F.col("proposers"))
     return named.select(*keys, "key", "item", F.explode(others).alias("agent_id"))
 
@@ -127,3 +132,81 @@ def filled(template: Column, subject: Column) -> Column:
 def pending(tasks: DataFrame, done: DataFrame) -> DataFrame:
     """Tasks without a finished response: what a resumed run has left."""
     return tasks.join(done.select("task_id"), "task_id", "left_anti")
+
+
+def without_labels(rows: DataFrame) -> DataFrame:
+    """Only keys reach a prompt: ``rows`` with an empty list for an answer."""
+    return rows.select("SubjectEntity", "Relation", F.expr("cast(array() as array<string>)").alias("ObjectEntities"))
+
+
+def drop_self(subject: Column, items: Column) -> Column:
+    """Items but those that are the subject itself, apart from case and outer white space."""
+    plain = lambda x: F.lower(strip(x))
+    return F.filter(items, lambda x: plain(x) != plain(subject))
+
+
+def balanced_demonstrations(draws: DataFrame, pool: DataFrame, n: int, empty_of_five: dict[str, int], salt: str = "balanced") -> DataFrame:
+    """(draw, Relation, place, shot, example): ``n`` different subjects for each draw, then one example of each.
+
+    ``draws(draw, Relation)`` names each draw; ``pool(Relation, SubjectEntity,
+    example, is_empty, value)`` has a value for numbers.  Numeric subjects come
+    one from each of ``n`` slices of the sorted values; others hold a fixed
+    share without an answer; what is short is filled from the rest.  Order is
+    by hashes of the draw, so it is the same wherever rows stand.  A subject's
+    kind and value are those of its least example.
+    """
+    subjects = pool.groupBy("Relation", "SubjectEntity").agg(F.min(F.struct("example", "is_empty", "value")).alias("f"), F.array_sort(F.collect_set("example")).alias("examples"))
+    subjects = subjects.select("Relation", F.col("SubjectEntity").alias("shot"), "f.is_empty", F.when(F.col("f.value") > 0, F.col("f.value")).alias("value"), "examples")
+    valued = Window.partitionBy("Relation")
+    has = F.col("value").isNotNull()
+    ranked = subjects.withColumn("rank", F.row_number().over(valued.orderBy(F.desc(has), "value", "shot")) - 1).withColumn("valued", F.sum(has.cast("long")).over(valued))
+    slices = F.least(F.lit(n), F.col("valued"))
+    # the slice that holds rank r is the last whose first rank, floor(i * N / n), is not beyond it
+    bounds = F.transform(F.sequence(F.lit(1), F.greatest(slices, F.lit(1))), lambda i: F.floor(i * F.col("valued") / slices))
+    ranked = ranked.withColumn("slice", F.when(has, F.size(F.filter(bounds, lambda b: b <= F.col("rank")))))
+    met = draws.join(ranked, "Relation").withColumn("order", seed_hex(F.lit(salt), F.col("draw").cast("string"), F.col("Relation"), F.col("shot")))
+    per = F.create_map(*[F.lit(x) for pair in empty_of_five.items() for x in pair]) if empty_of_five else F.expr("cast(map() as map<string,int>)")
+    wanted = F.bround(F.coalesce(F.try_element_at(per, F.col("Relation")), F.lit(0)) * n / 5).cast("int")
+    group = Window.partitionBy("draw", "Relation")
+    # first choices: the first of each slice, or the first so many with and without an answer
+    in_slice = F.row_number().over(Window.partitionBy("draw", "Relation", "slice").orderBy("order"))
+    in_kind = F.row_number().over(Window.partitionBy("draw", "Relation", "is_empty").orderBy("order"))
+    numeric = F.col("valued") > 0
+    n_empty = F.least(wanted, F.sum(F.col("is_empty").cast("int")).over(group))
+    first = F.when(numeric, F.col("slice").isNotNull() & (F.col("in_slice") == 1)).when(F.col("is_empty"), F.col("in_kind") <= F.col("n_empty")).otherwise(F.col("in_kind") <= n - F.col("n_empty"))
+    chosen = met.withColumns({"in_slice": in_slice, "in_kind": in_kind, "n_empty": n_empty}).withColumn("first", first)
+    placed = chosen.withColumn("at", F.row_number().over(group.orderBy(F.desc("first"), "order"))).where(F.col("at") <= n)
+    shuffled = seed_hex(F.lit(salt + ":place"), F.col("draw").cast("string"), F.col("Relation"), F.col("shot"))
+    pick = F.pmod(F.xxhash64(F.lit(salt), F.col("draw").cast("string"), "Relation", "shot"), F.size("examples").cast("long")).cast("int")
+    return placed.withColumn("place", F.row_number().over(group.orderBy(shuffled))).select("draw", "Relation", "place", "shot", F.get("examples", pick).alias("example"))
+
+
+def diverse_demonstrations(targets: DataFrame, pool: DataFrame, n: int, n_samples: int, empty_of_five: dict[str, int], retries: int = 8) -> DataFrame:
+    """(SubjectEntity, Relation, sample, place, shot, example): a demonstration set of its own for each sample of a target.
+
+    Each sample may draw ``retries`` times; the first draw whose set no earlier
+    sample's chosen draw has is taken, the last where all are taken already.
+    """
+    name = F.concat_ws("/", "SubjectEntity", "Relation", F.col("sample").cast("string"), F.col("retry").cast("string"))
+    every = targets.select("SubjectEntity", "Relation", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_samples * retries - 1)), lambda i: F.struct(F.floor(i / retries).cast("int").alias("sample"), (i % retries).alias("retry")))).alias("t")).select("SubjectEntity", "Relation", "t.*")
+    named = every.withColumn("draw", name)
+    drawn = balanced_demonstrations(named.select("draw", "Relation"), pool, n, empty_of_five, "diverse")
+    sets = drawn.groupBy("draw", "Relation").agg(F.array_sort(F.collect_list(F.struct("place", "shot", "example"))).alias("shots"))
+    signature = F.sha2(F.to_json(F.transform("shots", lambda x: F.struct(x["shot"].alias("s"), x["example"].alias("e")))), 256)
+    options = named.join(sets, ["draw", "Relation"]).groupBy("SubjectEntity", "Relation").agg(F.array_sort(F.collect_list(F.struct("sample", "retry", signature.alias("sig"), "shots"))).alias("options"))
+
+    # (sample, retry) in order: the open sample takes the first signature that is not used, or its last retry
+    zero = F.struct(F.lit(-1).alias("done"), F.expr("cast(array() as array<string>)").alias("used"), F.expr("cast(array() as array<int>)").alias("picks"))
+
+    def step(acc: Column, o: Column) -> Column:
+        take = (o["sample"] > acc["done"]) & (~F.array_contains(acc["used"], o["sig"]) | (o["retry"] == retries - 1))
+        return F.struct(
+            F.when(take, o["sample"]).otherwise(acc["done"]).alias("done"),
+            F.when(take, F.concat(acc["used"], F.array(o["sig"]))).otherwise(acc["used"]).alias("used"),
+            F.when(take, F.concat(acc["picks"], F.array(o["retry"]))).otherwise(acc["picks"]).alias("picks"),
+        )
+
+    slim = F.transform("options", lambda o: F.struct(o["sample"].alias("sample"), o["retry"].alias("retry"), o["sig"].alias("sig")))
+    picked = options.withColumn("picks", F.aggregate(slim, zero, step, lambda acc: acc["picks"]))
+    kept = picked.select("SubjectEntity", "Relation", F.explode(F.filter("options", lambda o: F.get("picks", o["sample"]) == o["retry"])).alias("o"))
+    return kept.select("SubjectEntity", "Relation", F.col("o.sample").alias("sample"), F.inline("o.shots"))

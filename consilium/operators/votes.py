@@ -41,11 +41,18 @@ def threshold_vote(votes: DataFrame, totals: DataFrame, keys: Sequence[str], sha
 
 
 def plurality(votes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The item with most votes of each key, the first seen on ties."""
-    # the earliest first_seen wins a tie: order by it ascending inside a max of votes
-    best = votes.groupBy(*keys).agg(F.max("votes").alias("votes"))
-    tied = votes.join(best, [*keys, "votes"])
-    return tied.groupBy(*keys, "votes").agg(F.min(F.struct("first_seen", "item", "display")).alias("w")).select(*keys, F.col("w.item").alias("item"), "votes", F.col("w.display").alias("display"))
+    """The item with most votes of each key, the first seen on ties; one aggregation."""
+    best = F.min(F.struct((-F.col("votes")).alias("order"), "first_seen", "item", "display"))
+    return votes.groupBy(*keys).agg(best.alias("w")).select(*keys, F.col("w.item").alias("item"), (-F.col("w.order")).alias("votes"), F.col("w.display").alias("display"))
+
+
+def plurality_or_none(rows: DataFrame, keys: Sequence[str], item: str, sample: str, pos: str, display: str | None = None) -> DataFrame:
+    """As ``plurality`` over raw rows, where a sample without an item votes for having none; a winning none has a null item."""
+    shown = display or item
+    told = F.when(F.col(item) != "", F.col(item))
+    marked = rows.withColumn("__item", F.coalesce(told, F.lit("\0"))).withColumn("__shown", F.when(told.isNotNull(), F.col(shown)))
+    won = plurality(vote_table(marked, keys, "__item", sample, pos, "__shown"), keys)
+    return won.withColumn("item", F.when(F.col("item") != "\0", F.col("item"))).withColumn("display", F.when(F.col("item").isNotNull(), F.col("display")))
 
 
 def support_gate(votes: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
@@ -131,3 +138,14 @@ def dispatch(relation: Column, votes_share: Column, threshold: dict[str, float],
     """A vote share against the threshold of its relation."""
     least = F.create_map(*[F.lit(x) for pair in threshold.items() for x in pair])
     return votes_share >= F.coalesce(F.try_element_at(least, relation), F.lit(default))
+
+
+def counters(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, n): how many rows have each status, layer, route or divergence."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pool_coverage(pool: DataFrame, subject: str = "SubjectEntity", group: str = "Relation") -> DataFrame:
+    """(group, n_rows, n_subjects, fewest, most): examples of each relation and of its subjects."""
+    per = pool.groupBy(group, subject).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(group).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_subjects"), F.min("n").alias("fewest"), F.max("n").alias("most"))

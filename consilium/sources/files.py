@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import os
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -32,6 +34,39 @@ def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return checked.select("row.*").drop(_BAD)
 
 
+def lines_without_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """As ``jsonl``, skipping lines of no character at all; a line of blanks still fails."""
+    lines = spark.read.text(path).where(F.length("value") > 0)
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def nested_gold(rows: DataFrame, column: str = "ObjectEntities") -> DataFrame:
+    """``rows`` whose gold is a list of alias lists; a flat list of names becomes one alias each.
+
+    ``column`` is JSON text, since the two forms have different types.
+    """
+    flat = F.from_json(column, "array<string>")
+    is_flat = F.col(column).rlike(r'^\s*\[\s*"')
+    return rows.withColumn(column, F.when(is_flat, F.transform(flat, lambda v: F.array(v))).otherwise(F.coalesce(F.from_json(column, "array<array<string>>"), F.expr("cast(array() as array<array<string>>)"))))
+
+
+def bag_union(sources: list[DataFrame]) -> DataFrame:
+    """All rows of all sources, repeated ones included."""
+    return reduce(lambda a, b: a.unionByName(b), sources)
+
+
+def yaml_config(path: str | Path) -> dict:
+    """A YAML file that must hold a mapping; needs the yaml package."""
+    try:
+        import yaml
+    except ImportError as lacking:
+        raise RuntimeError("reading YAML needs the yaml package") from lacking
+    value = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    if not isinstance(value, dict):
+        raise ContractError(f"{path}: not a mapping")
+    return value
+
+
 def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object that may span lines."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -111,10 +146,11 @@ def responses(spark: SparkSession, path: str, manifest: Mapping, agent: str, sch
     return rows
 
 
-@F.udf(StringType())
-def canonical_json(text):
+@F.arrow_udf(StringType())
+def canonical_json(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A JSON text with sorted keys, a blank after separators, and letters as they are."""
-    return None if text is None else json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False)
+    for batch in batches:
+        yield pa.array([None if v is None else json.dumps(json.loads(v), sort_keys=True, ensure_ascii=False) for v in batch.to_pylist()], pa.string())
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
