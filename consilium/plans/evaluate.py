@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def aggregate_samples(raw: DataFrame, relations: DataFrame, profile: str = "robu
     median (``legacy``) or the densest cluster's.
     """
     rows = sample_items(raw)
-    kind = F.broadcast(relations)
+    kind = relational.bounded(relations)
     n = rows.groupBy(*KEYS).agg(F.count_distinct("sample").alias("n_all"), F.count_distinct(F.when(F.col("kind") == "entity", F.col("sample"))).alias("n_valid"))
     named = rows.join(kind.where("kind = 'string'").select("Relation"), "Relation", "left_semi")
     table = votes.vote_table(named, KEYS, "key", "sample", "pos", "item").join(n, KEYS).join(kind, "Relation")
@@ -57,17 +59,12 @@ def aggregate_samples(raw: DataFrame, relations: DataFrame, profile: str = "robu
 
 def compose(reference: DataFrame, sources: dict[str, DataFrame], by_relation: dict[str, str]) -> DataFrame:
     """(keys, pos, ObjectEntities): each relation's answer from the source it is routed to; all sources must cover their rows."""
-    parts = []
-    for relation, name in by_relation.items():
-        rows = reference.where(F.col("Relation") == relation)
-        parts.append(relational.required_join(rows.select(*KEYS, "pos"), {name: sources[name].where(F.col("Relation") == relation)}, KEYS))
-    unknown = reference.where(~F.col("Relation").isin(*by_relation)).limit(1).count()
-    if unknown:
+    if reference.where(~F.col("Relation").isin(*by_relation)).limit(1).count():
         raise relational.ContractError("a relation has no route")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("pos")
+    # each source is read once, for all its relations
+    routed = [rows.where(F.col("Relation").isin(*[r for r, n in by_relation.items() if n == name])) for name, rows in sources.items() if name in by_relation.values()]
+    met = relational.required_join(reference.select(*KEYS, "pos"), {"routed sources": reduce(lambda a, b: a.unionByName(b), routed)}, KEYS)
+    return met.orderBy("pos")
 
 
 def area_quantile(raw: DataFrame, q: float = 0.55) -> DataFrame:

@@ -5,40 +5,12 @@ A user's day acts as one sample of that user, an event type as an answer.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, parse, text
-from ..operators import decode, graph, metrics, relational, tasks, votes
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, day, event_type, event_id): a user's days as samples."""
-    return table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", "event_id", "value")
-
-
-def user_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return votes.vote_table(answers(spark, sf_dir), ["user_id"], "event_type", "day", "event_id")
+from ..operators import decode, graph, metrics, relational, stats, tasks, votes
+from .base import ORACLES, QUERIES, VOTES, Query, answers, query, table, user_votes
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +25,6 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("source").alias("Relation"), *metrics.scores(n_pred, n_gold, hits), hits.alias("tp"), n_pred.alias("total_pred"), n_gold.alias("total_gold"))
 
 
-VOTES = "once AS (SELECT user_id, event_type AS item, CAST(ts AS DATE) AS sample, min(event_id) AS pos FROM events GROUP BY ALL), votes AS (SELECT user_id, item, count(*) AS votes, min(struct_pack(s := sample, p := pos)) AS first_seen FROM once GROUP BY ALL)"
 PAIRS = """judged AS (SELECT l.doc_id, d.source, l.quality AS truth, 1 - l.toxic AS told FROM labels l JOIN documents d USING (doc_id)),
 pairs AS (SELECT doc_id, source AS Relation, CASE WHEN told = 0 THEN 1.0 ELSE (told = 1 AND truth = 1)::INT::DOUBLE END AS p, CASE WHEN truth = 0 THEN 1.0 ELSE (told = 1 AND truth = 1)::INT::DOUBLE END AS r,
  (told = 1 AND truth = 1)::BIGINT AS tp, told::BIGINT AS total_pred, truth::BIGINT AS total_gold FROM judged),
@@ -117,11 +88,13 @@ def vote_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("user_id", "item", "votes", F.col("first_seen.event_id").alias("first_pos"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {VOTES}, n AS (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS n FROM events GROUP BY 1), m AS (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS m FROM events WHERE value > 50 GROUP BY 1) SELECT user_id, item, votes, votes / n >= 0.35 AS of_all, votes / greatest(coalesce(m, 0), 1) >= 0.5 AS of_valid FROM votes JOIN n USING (user_id) LEFT JOIN m USING (user_id)")
+@query(f"WITH {VOTES}, n AS (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS n, count(DISTINCT CAST(ts AS DATE)) FILTER (value > 50) AS m FROM events GROUP BY 1) SELECT 'all' AS rule, user_id, item, votes FROM votes JOIN n USING (user_id) WHERE votes / greatest(n, 1) >= 0.35 UNION ALL SELECT 'valid', user_id, item, votes FROM votes JOIN n USING (user_id) WHERE votes / greatest(m, 1) >= 0.5")
 def threshold_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = answers(spark, sf_dir)
-    days = a.groupBy("user_id").agg(F.count_distinct("day").alias("n"), F.count_distinct(F.when(F.col("value") > 50, F.col("day"))).alias("m"))
-    return user_votes(spark, sf_dir).join(days, "user_id").select("user_id", "item", "votes", (F.col("votes") / F.col("n") >= 0.35).alias("of_all"), (F.col("votes") / F.greatest("m", F.lit(1)) >= 0.5).alias("of_valid"))
+    """Shares of all days, and of days with a large value."""
+    days = answers(spark, sf_dir).groupBy("user_id").agg(F.count_distinct("day").alias("n"), F.count_distinct(F.when(F.col("value") > 50, F.col("day"))).alias("m"))
+    every = user_votes(spark, sf_dir)
+    rule = lambda name, share, of: votes.threshold_vote(every, days, ["user_id"], share, of).select(F.lit(name).alias("rule"), "user_id", "item", "votes")
+    return rule("all", 0.35, "n").unionByName(rule("valid", 0.5, "m"))
 
 
 @query(f"WITH {VOTES} SELECT user_id, item, votes FROM votes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, first_seen) = 1")
@@ -161,28 +134,36 @@ def corroborated_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- numbers --------------------------------------------------------------------------
 
 
-@query("SELECT user_id, median(value) AS loose, median(value) FILTER (value < 50) AS pure FROM events GROUP BY 1")
+@query("SELECT user_id, coalesce(median(value) FILTER (value > 60), median(value)) AS value, count(*) FILTER (value > 60) > 0 AS strict FROM events GROUP BY 1")
 def purity_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = answers(spark, sf_dir).groupBy("user_id").agg(F.median("value").alias("loose"), F.median(F.when(F.col("value") < 50, F.col("value"))).alias("pure"))
-    return got
+    return stats.purity_median(answers(spark, sf_dir), ["user_id"], "value", F.col("value") > 60)
 
 
 @query("WITH r AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, max(v) FILTER (i = least(n - 1, floor(0.55 * n))) AS q55 FROM r GROUP BY 1")
 def index_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a flag's prices are too many for one array: the rank is found through counts of distinct values
-    cells = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_extendedprice").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("l_returnflag")
-    run = cells.withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
-    at = F.least(F.col("all") - 1, F.floor(F.lit(0.55) * F.col("all")))
-    return run.where(F.col("upto") > at).groupBy("l_returnflag").agg(F.min("v").alias("q55"))
+    return stats.index_quantile(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.55, "q55")
+
+
+@query("WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, list_sort(list(value)) AS v FROM events GROUP BY ALL) SELECT user_id, day, v[least(len(v) - 1, floor(0.55 * len(v))::INT) + 1] AS q55 FROM g")
+def small_index_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rank inside one row's handful of samples."""
+    return answers(spark, sf_dir).groupBy("user_id", "day").agg(numbers.index_quantile(F.collect_list("value"), 0.55).alias("q55"))
 
 
 @query("""WITH c AS (SELECT a.p_brand, a.p_partkey AS c, a.p_retailprice AS center, count(*) AS size, round(sum(abs(ln(b.p_retailprice / a.p_retailprice))), 6) AS spread, median(b.p_retailprice) AS value
  FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(b.p_retailprice - a.p_retailprice) / a.p_retailprice <= 0.02 GROUP BY ALL)
  SELECT p_brand, value, size FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY size DESC, spread, center) = 1""")
 def densest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = table(spark, sf_dir, "part").groupBy("p_brand").agg(numbers.densest_cluster(F.collect_list("p_retailprice"), 0.02).alias("c"))
-    return got.select("p_brand", F.col("c.value").alias("value"), F.col("c.size").cast("long").alias("size"))
+    return stats.densest(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", 0.02).select("p_brand", "value", "size")
+
+
+@query("""WITH c AS (SELECT a.user_id, a.day, a.event_id, a.value AS c, count(*) AS size, round(sum(abs(ln(b.value / a.value))), 9) AS spread, median(b.value) AS value
+ FROM (SELECT *, CAST(ts AS DATE) AS day FROM events) a JOIN (SELECT *, CAST(ts AS DATE) AS day FROM events) b ON a.user_id = b.user_id AND a.day = b.day AND abs(b.value - a.value) / a.value <= 0.3 GROUP BY ALL)
+ SELECT user_id, day, value, size FROM c QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY size DESC, spread, c) = 1""")
+def small_densest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cluster inside one row's handful of samples."""
+    got = answers(spark, sf_dir).groupBy("user_id", "day").agg(numbers.densest_cluster(F.collect_list("value"), 0.3).alias("c"))
+    return got.select("user_id", "day", F.col("c.value").alias("value"), F.col("c.size").cast("long").alias("size"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS i FROM part),
@@ -190,28 +171,25 @@ def densest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT s.p_brand, s.i, s.v, CASE WHEN (s.v - g.anchor) / s.v <= 0.05 + 1e-12 THEN g.anchor ELSE s.v END, CASE WHEN (s.v - g.anchor) / s.v <= 0.05 + 1e-12 THEN g.grp ELSE g.grp + 1 END FROM g JOIN s ON s.p_brand = g.p_brand AND s.i = g.i + 1)
  SELECT p_brand, grp::BIGINT AS grp, count(*) AS n, min(v) AS low, max(v) AS high FROM g GROUP BY ALL""")
 def complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = graph.numeric_components(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice")
-    return got.select("p_brand", F.col("component").cast("long").alias("grp"), F.size("members").cast("long").alias("n"), F.array_min("members").alias("low"), F.array_max("members").alias("high"))
+    got = stats.anchored_runs(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice")
+    return got.groupBy("p_brand", F.col("run").alias("grp")).agg(F.sum("w").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 @query("WITH c AS (SELECT l_suppkey, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey ORDER BY v) AS run, sum(w) OVER (PARTITION BY l_suppkey) AS total FROM c) SELECT l_suppkey, min(v) AS weighted_median FROM r WHERE run >= total / 2 GROUP BY 1")
 def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_extendedprice").alias("v")).agg(F.sum("l_quantity").alias("w"))
-    w = Window.partitionBy("l_suppkey")
-    run = cells.withColumn("run", F.sum("w").over(w.orderBy("v"))).withColumn("total", F.sum("w").over(w))
-    return run.where(F.col("run") >= F.col("total") / 2).groupBy("l_suppkey").agg(F.min("v").alias("weighted_median"))
+    return stats.weighted_median(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_quantity", "weighted_median")
 
 
 @query("WITH b AS (SELECT p_brand, min(p_retailprice) AS anchor FROM part GROUP BY 1) SELECT p_brand, round(exp(sum(p_size * ln(p_retailprice)) / sum(p_size)), 6) AS geo_mean, count(*) AS n FROM part JOIN b USING (p_brand) WHERE abs(p_retailprice - anchor) / anchor <= 0.05 GROUP BY 1")
 def geo_mean_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    met = p.join(p.groupBy("p_brand").agg(F.min("p_retailprice").alias("anchor")), "p_brand").where(numbers.within_right(F.col("p_retailprice"), F.col("anchor")))
-    return met.groupBy("p_brand").agg(F.round(F.exp(F.sum(F.col("p_size") * F.ln("p_retailprice")) / F.sum("p_size")), 6).alias("geo_mean"), F.count(F.lit(1)).alias("n"))
+    got = stats.band_mean(p, p.groupBy("p_brand").agg(F.min("p_retailprice").alias("anchor")), ["p_brand"], "p_retailprice", "p_size")
+    return got.select("p_brand", F.round("mean", 6).alias("geo_mean"), "n")
 
 
 @query("WITH c AS (SELECT a.p_type, a.p_brand, a.p_retailprice AS v, round(sum(abs(ln(b.p_retailprice / a.p_retailprice))), 9) AS cost, a.p_partkey FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand GROUP BY ALL) SELECT p_type, p_brand, v AS medoid FROM c QUALIFY row_number() OVER (PARTITION BY p_type, p_brand ORDER BY cost, v) = 1")
 def log_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(numbers.log_medoid(F.collect_list("p_retailprice")).alias("medoid"))
+    return stats.log_medoid(table(spark, sf_dir, "part"), ["p_type", "p_brand"], "p_retailprice", "medoid")
 
 
 @query("""WITH s AS (SELECT l_orderkey, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1)
@@ -331,15 +309,20 @@ def jaccard_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _baskets(spark, sf_dir).select("user_id", F.round(numbers.jaccard(a, b), 9).alias("jaccard"), F.size(F.array_except(b, a)).cast("long").alias("added"), F.size(F.array_except(a, b)).cast("long").alias("dropped"))
 
 
-@query(f"WITH {BASKETS} SELECT user_id, CASE WHEN x = 0 THEN 1 + y ELSE 2 + y - CASE WHEN x = 1 AND k = 1 THEN 1 ELSE 0 END + (y - k) + x - CASE WHEN x = 1 THEN 1 ELSE 0 END - CASE WHEN x = 2 THEN k ELSE 0 END END::BIGINT AS n_actions FROM n WHERE x > 0")
+@query(f"WITH {BASKETS} SELECT user_id, CASE WHEN x = 0 THEN 1 + y ELSE 2 + y - CASE WHEN x = 1 AND k = 1 THEN 1 ELSE 0 END + (y - k) + x - CASE WHEN x = 1 THEN 1 ELSE 0 END - CASE WHEN x = 2 THEN k ELSE 0 END END::BIGINT AS n_actions FROM n")
 def action_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _baskets(spark, sf_dir).where(F.size("a") > 0).select("user_id", F.size(decode.actions(F.col("a"), F.col("b"))).cast("long").alias("n_actions"))
+    return _baskets(spark, sf_dir).select("user_id", F.size(decode.actions(F.col("a"), F.col("b"))).cast("long").alias("n_actions"))
 
 
 @query("WITH b AS (SELECT user_id, CAST(ts AS DATE) AS day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tokens FROM events GROUP BY ALL), g AS (SELECT user_id, tokens, count(*) AS n_days FROM b GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n_days DESC, tokens) AS place FROM g")
 def hypothesis_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = answers(spark, sf_dir).groupBy("user_id", "day").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("tokens"))
-    got = sets.groupBy("user_id", "tokens").agg(F.count(F.lit(1)).alias("n_days"))
+    """A user's days as events that state a complete set; the sets by how many days state them."""
+    a = answers(spark, sf_dir).withColumn("day_id", F.col("day").cast("string"))
+    events = a.select("user_id", F.col("day_id").alias("id"), F.lit("candidate_set").alias("status"), F.lit("f").alias("model_family")).distinct()
+    edges = a.select("user_id", F.col("day_id").alias("source"), F.col("event_type").alias("target"), F.lit("supports").alias("edge_type")).distinct()
+    nobody = events.select("user_id").distinct().limit(0).withColumn("tokens", F.expr("cast(array() as array<string>)"))
+    got = graph.hypotheses(graph.event_records(events, edges, ["user_id"]), nobody, ["user_id"])
+    got = got.select("user_id", F.array_join("tokens", ",").alias("tokens"), F.size("event_ids").cast("long").alias("n_days"))
     return got.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n_days"), "tokens")).cast("long"))
 
 
@@ -415,7 +398,10 @@ def stable_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.seed_hex(F.lit("system"), F.col("c_name"), F.col("c_custkey")).alias("seed_hex"))
 
 
-@query()
+@query(f"""WITH {VOTES}, w AS (SELECT user_id, item FROM votes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, first_seen) = 1),
+ s AS (SELECT user_id, list(item ORDER BY votes DESC, item) AS s FROM votes WHERE votes >= 7 GROUP BY 1),
+ a AS (SELECT w.user_id, w.item, list_concat([w.item], list_filter(coalesce(s.s, []), lambda x: x <> w.item)) AS o FROM w LEFT JOIN s USING (user_id))
+ SELECT user_id, array_to_string(o[1:2], ',') AS objects, ((len(o) > 1)::INT + (len(o) > 2)::INT) AS n_changed FROM a""")
 def layer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two layers over users' first votes, with what each changed."""
     won = votes.plurality(user_votes(spark, sf_dir), ["user_id"]).select("user_id", F.array("item").alias("objects"))
@@ -437,3 +423,7 @@ def codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced codes of four choices for every nation."""
     choices = F.array(*[F.lit(c) for c in ("ZERO", "ONE", "MANY", "UNKNOWN")])
     return tasks.with_codebooks(table(spark, sf_dir, "nation"), choices, "books", F.col("n_name")).select("n_nationkey", F.to_json("books").alias("books"))
+
+
+# the other families register themselves in the same tables
+from . import answer_queries, evidence_queries, task_queries  # noqa: E402, F401
