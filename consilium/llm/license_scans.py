@@ -2,8 +2,10 @@
 
 A text is normalised (case, punctuation, copyright lines, equivalent
 spellings), digested whole, and hash-joined to the digests of known licence
-texts.  Lines that speak of a licence are digested the same way as texts of
-their own, so one-line notices inside a longer document are found too.
+texts.  So is a document's licence body: its lines from the first that speaks
+of a licence to its end, or else to the last that does.  Single lines that
+speak of a licence are digested the same way as texts of their own, so one-line
+notices anywhere in a longer document are found too.
 """
 
 from __future__ import annotations
@@ -56,28 +58,55 @@ def catalogue(spark: SparkSession, known: dict[str, list[str]] | None = None) ->
     return df.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+#: Parts of a document that are digested as texts of their own, the first that is known counts.
+BODIES = ("whole", "tail", "span")
+
+
+def _lined(text: Column) -> Column:
+    """struct<notices, bodies>: distinct digests of the lines that speak of a licence, and of the tail and the span that begin at the first of them."""
+
+    def of(lines: Column) -> Column:
+        spoken = F.transform(lines, lambda x: x.rlike(NOTICE))
+
+        def cut(flags: Column) -> Column:
+            first = F.array_position(flags, True).cast("int")
+            count = F.size(flags) - F.array_position(F.reverse(flags), True).cast("int") + 1 - first + 1
+            part = lambda n: digest(F.array_join(F.slice(lines, first, n), "\n"))
+            return F.array(part(F.size(flags) - first + 1), part(count))
+
+        notices = F.array_distinct(F.transform(F.filter(lines, lambda x: x.rlike(NOTICE)), digest))
+        return let(spoken, lambda f: F.struct(notices.alias("notices"), cut(f).alias("bodies")))
+
+    return F.when(text.rlike(NOTICE), let(F.split(text, "\n"), of))
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """One row a document: doc_id, text_digest, license_id, n_notices, notice_ids.
+    """One row a document: doc_id, text_digest, license_id, body_id, body, n_notices, notice_ids.
 
     ``license_id`` names the licence whose text the whole document is, or is
-    null.  ``notice_ids`` lists, sorted and joined by commas, the licences that
-    single lines name; ``n_notices`` counts those distinct ids.  Null and empty
-    texts have the digest of nothing and match no licence.  Rows that share a
-    doc_id share their notices; repeated rows stay; a null id gets none.
-    ``known`` (digest, license_id) may hold any number of rows: it is broadcast
-    only when counted to be small.
+    null.  ``body_id`` names the one that the whole document or its licence
+    body is, and ``body`` which of ``BODIES`` that was.  ``notice_ids`` lists,
+    sorted and joined by commas, the licences that single lines name;
+    ``n_notices`` counts those distinct ids.  Null and empty texts have the
+    digest of nothing and match no licence.  Null ids and repeated rows are
+    judged row by row; other columns are not read; an empty table gives no
+    rows.  ``known`` (digest, license_id) may hold any number of rows: it is
+    broadcast only when counted to be small.
     """
     spark = docs.sparkSession
     known = catalogue(spark) if known is None else known
     n_known = known.count()
     own = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("t"))
-    lines = F.when(F.col("t").rlike(NOTICE), F.array_distinct(F.transform(F.filter(F.split("t", "\n"), lambda x: x.rlike(NOTICE)), digest)))
-    slim = materialize(own.select("doc_id", digest(F.col("t")).alias("text_digest"), lines.alias("lines")), "license-digests")
-    named = slim.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode("lines").alias("digest"))
-    notices = named.join(bounded(known, n_known), "digest").groupBy("doc_id").agg(F.array_sort(F.collect_set("license_id")).alias("ids"))
+    digested = own.select("doc_id", digest(F.col("t")).alias("text_digest"), _lined(F.col("t")).alias("l"), F.monotonically_increasing_id().alias("row"))
+    slim = materialize(digested.select("row", "doc_id", "text_digest", "l.notices", "l.bodies"), "license-digests")
+    parts = slim.where("notices IS NOT NULL").select("row", F.posexplode(F.concat("bodies", "notices")).alias("at", "digest"))
+    met = parts.join(bounded(known, n_known), "digest")
+    line = F.col("at") >= len(BODIES) - 1
+    found = met.groupBy("row").agg(F.array_sort(F.collect_set(F.when(line, F.col("license_id")))).alias("ids"), F.min(F.when(~line, F.struct("at", "license_id"))).alias("b"))
     whole = bounded(known.select(F.col("digest").alias("text_digest"), "license_id"), n_known)
-    out = slim.select("doc_id", "text_digest").join(whole, "text_digest", "left").join(notices, "doc_id", "left")
-    return out.select("doc_id", "text_digest", "license_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("notice_ids"))
+    out = slim.select("row", "doc_id", "text_digest").join(whole, "text_digest", "left").join(found, "row", "left")
+    kind = F.when(F.col("license_id").isNotNull(), F.lit(BODIES[0])).otherwise(F.get(F.array(*map(F.lit, BODIES[1:])), F.col("b.at")))
+    return out.select("doc_id", "text_digest", "license_id", F.coalesce("license_id", "b.license_id").alias("body_id"), kind.alias("body"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("notice_ids"))
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,15 @@ def _license_sql() -> str:
     return f"""
 WITH known AS (SELECT sha256({_canonical('k.body')}) AS digest, min(k.id) AS license_id FROM (VALUES {texts}) k(id, body) GROUP BY 1),
 digested AS (SELECT d.doc_id, coalesce(d.text, '') AS t, sha256({_canonical("coalesce(d.text, '')")}) AS text_digest FROM documents d),
-lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM digested WHERE regexp_matches(t, {_q(NOTICE)})),
+split AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM digested WHERE regexp_matches(t, {_q(NOTICE)})),
+spoken AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], {_q(NOTICE)})) AS idx FROM split),
+bodies AS (SELECT doc_id, unnest([0, 1]) AS i, unnest([array_to_string(list_slice(l, idx[1], len(l)), chr(10)), array_to_string(list_slice(l, idx[1], idx[len(idx)]), chr(10))]) AS body FROM spoken),
+body AS (SELECT doc_id, license_id, i FROM (SELECT x.doc_id, x.i, sha256({_canonical('x.body')}) AS digest FROM bodies x) JOIN known USING (digest) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1),
+lines AS (SELECT doc_id, unnest(l) AS line FROM split),
 notices AS (SELECT l.doc_id, k.license_id FROM (SELECT doc_id, sha256({_canonical('x.line')}) AS digest FROM lines x WHERE regexp_matches(x.line, {_q(NOTICE)})) l JOIN known k USING (digest) GROUP BY ALL),
 per_doc AS (SELECT doc_id, count(*) AS n_notices, string_agg(license_id, ',' ORDER BY license_id) AS notice_ids FROM notices GROUP BY 1)
-SELECT g.doc_id, g.text_digest, k.license_id, coalesce(p.n_notices, 0)::BIGINT AS n_notices, coalesce(p.notice_ids, '') AS notice_ids
-FROM digested g LEFT JOIN known k ON k.digest = g.text_digest LEFT JOIN per_doc p ON p.doc_id = g.doc_id
+SELECT g.doc_id, g.text_digest, k.license_id, coalesce(k.license_id, b.license_id) AS body_id, CASE WHEN k.license_id IS NOT NULL THEN 'whole' WHEN b.i = 0 THEN 'tail' WHEN b.i = 1 THEN 'span' END AS body, coalesce(p.n_notices, 0)::BIGINT AS n_notices, coalesce(p.notice_ids, '') AS notice_ids
+FROM digested g LEFT JOIN known k ON k.digest = g.text_digest LEFT JOIN body b ON b.doc_id = g.doc_id LEFT JOIN per_doc p ON p.doc_id = g.doc_id
 """
 
 
