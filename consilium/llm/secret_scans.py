@@ -148,19 +148,24 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(docs' doc_id, blob, found; the new ledger rows), the latter written once to the shared folder.
-
-    A null text is an empty blob; repeated rows and copies share one blob and
-    are scanned once; null ids pass through.  Extra columns, whatever their
-    names, are not read.  An empty table gives empty results.  Passing the
-    ledger of earlier tables, with these rows appended, scans what is new.
+def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, paths: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """(docs' path columns, blob, found; the new ledger rows), the latter written once to the shared folder.
+
+    ``docs`` holds every version of every path, named by ``paths`` (say path
+    and version): a version that repeats an earlier blob, of its own or any
+    other path, is found without a scan.  A null text is an empty blob;
+    repeated rows and copies share one blob and are scanned once; null ids pass
+    through.  Extra columns, whatever their names, are not read.  An empty
+    table gives empty results.  Passing the ledger of earlier tables, with
+    these rows appended, scans what is new.
     """
-    own = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    held = [f"__k{i}" for i in range(len(paths))]
+    own = docs.select(*[docs[k].alias(h) for k, h in zip(paths, held, strict=True)], F.coalesce(docs["text"], F.lit("")).alias("text"))
     addressed = own.withColumn("blob", content_address(F.col("text")))
     fresh = materialize(scan_blobs(addressed.select("blob", "text"), ledger, rules), "secret-ledger")
     whole = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "found"))
-    return findings(addressed.select("doc_id", "blob"), whole, rules), fresh
+    met = findings(addressed.select(*held, "blob"), whole, rules)
+    return met.select(*[F.col(h).alias(k) for k, h in zip(paths, held, strict=True)], "blob", "found"), fresh
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
