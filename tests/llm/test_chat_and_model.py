@@ -100,6 +100,18 @@ def test_odd_rows_and_missing_labels(spark):
     assert quality_model.score_documents(docs.limit(0), none).count() == 0
 
 
+def test_training_rows_are_bounded_and_one_a_document(spark):
+    table = spark.range(4000).selectExpr("id AS doc_id", "array(cast(id AS double)) AS x").unionByName(spark.createDataFrame([(7, [0.5]), (None, [1.0])], "doc_id long, x array<double>"))
+    labels = spark.range(4000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality").unionByName(spark.createDataFrame([(7, 0), (8, 1), (9, None), (None, 1)], "doc_id long, quality int"))
+    every = quality_model.training_rows(table, labels).collect()
+    assert len(every) == len({r.doc_id for r in every}) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(4000))
+    by = {r.doc_id: r for r in every}
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in by) and (by[7].x, by[7].quality) == ([0.5], 1) and by[8].quality == 1
+    few = quality_model.training_rows(table, labels, 1000).collect()
+    assert 700 < len(few) <= 1000 and {r.doc_id for r in few} < set(by)
+    assert sorted(r.doc_id for r in quality_model.training_rows(table.repartition(3), labels, 1000).collect()) == sorted(r.doc_id for r in few)
+
+
 def test_tables_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, len(quality_model.FEATURES)))
