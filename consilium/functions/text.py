@@ -151,6 +151,10 @@ CLAIMS = (
 )
 
 
+# Claims that speak against an answer.
+RISKS = ("area_non_km_unit", "award_partial_scope", "border_maritime_only", "capacity_variant", "city_noncity_scope", "listing_historical", "listing_inactive")
+
+
 def claims(text: Column, relation: Column) -> Column:
     """Sorted labels of what the reasoning says outright, by relation."""
     value = F.regexp_replace(F.lower(reasoning(text)), r"(?U)\s+", " ")

@@ -37,7 +37,7 @@ def _numeric(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, objects): the median of positive values, each repeated by its support, as text."""
     valued = rows.withColumn("v", positive(F.col("value"))).where("v IS NOT NULL").withColumn("times", F.greatest(F.lit(1), F.col("support")).cast("long"))
     middle = stats.replicated_median(valued, keys, "v", "times", "m")
-    return middle.select(*keys, F.array(number_12g(F.col("m").cast("double"))).alias("objects"))
+    return middle.withColumn("text", number_12g(F.col("m").cast("double"))).select(*keys, F.array("text").alias("objects"))
 
 
 def _every_key(context: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -390,3 +390,20 @@ def routed(answers: DataFrame, by_relation: dict[str, Layer]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def component_support_rule(support: DataFrame, answers: DataFrame, keys: Sequence[str], least: int = SUPPORT_K) -> DataFrame:
+    """(keys, objects, changed): the representative of the single component with most generations, if it has ``least`` of them.
+
+    ``support(keys, representative, support)`` has a row for each component.
+    """
+    top = support.groupBy(*keys).agg(F.max("support").alias("most"), F.collect_list(F.struct("support", "representative")).alias("all"))
+    lead = F.filter("all", lambda x: (x["support"] == F.col("most")) & (x["support"] >= least))
+    won = top.select(*keys, F.when(F.size(lead) == 1, F.get(lead, F.lit(0))["representative"]).alias("__won"))
+    met = answers.join(won, list(keys), "left").withColumn("__new", F.when(F.col("__won").isNotNull(), F.array("__won")).otherwise(F.col("objects")))
+    return met.select(*keys, F.col("__new").alias("objects"), (F.col("__new") != F.col("objects")).alias("changed"))
+
+
+def scored_candidates(candidates: DataFrame, features: Callable[[DataFrame], DataFrame], coefficients: Column) -> DataFrame:
+    """``candidates`` with ``probability`` by a caller's feature function, which adds an array column ``features``."""
+    return features(candidates).withColumn("probability", logistic_score(F.col("features"), coefficients)).drop("features")

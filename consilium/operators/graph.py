@@ -189,7 +189,9 @@ def relational_graph(candidates: DataFrame, components: DataFrame, routes: DataF
     cid = lambda c: F.concat(F.lit("component:"), F.col(c).cast("string"))
     sid = F.concat(F.lit("surface:"), F.col("idx").cast("string"))
     comp = components.join(candidates, [*keys, "idx"])
-    comp_nodes = comp.groupBy(*keys, "component").agg(F.max_by("item", F.struct(text.acronym(F.col("item")).isNull(), F.least(F.length("item"), F.lit(80)), "item")).alias("representative")).select(*keys, cid("component").alias("id"), F.lit("candidate_component").alias("node_type"), "representative")
+    strength = routes.groupBy(*keys, "idx").agg(F.sum(F.size("generations")).cast("double").alias("strength"), F.count_if("selected").alias("n_selected"))
+    ranked = comp.join(strength, [*keys, "idx"], "left").withColumns({"value": F.lit(None).cast("double"), "n_selected": F.coalesce("n_selected", F.lit(0))})
+    comp_nodes = representatives(ranked, keys).select(*keys, cid("component").alias("id"), F.lit("candidate_component").alias("node_type"), "representative")
     blank = F.lit(None).cast("string").alias("representative")
     nodes = (
         candidates.select(*keys).distinct().select(*keys, F.lit("null").alias("id"), F.lit("null_hypothesis").alias("node_type"), blank)
@@ -490,3 +492,47 @@ def by_id(rows: DataFrame, keys: Sequence[str], prefix: str, index: str, value:
     """(keys, lookup): a map from ``prefix:index`` to ``value`` for each key's few rows."""
     name = F.concat(F.lit(f"{prefix}:"), F.col(index).cast("string"))
     return rows.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, F.col(value))))).alias("lookup"))
+
+
+def component_routes(members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, component, route, member_count, max_support_rate, component_support_rate, generations, samples, selected).
+
+    ``members(keys, component, route, support_rate, samples, generations,
+    selected)`` has a row for each surface's route.  Surfaces that one
+    generation names are one piece of evidence: where generations are known
+    the component's support is their union over the samples.
+    """
+    on = [*keys, "component", "route"]
+    got = members.groupBy(*on).agg(F.count(F.lit(1)).alias("member_count"), F.max("support_rate").alias("max_support_rate"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("generations")))).alias("generations"), F.max("samples").alias("samples"), F.bool_or("selected").alias("selected"))
+    n = F.size("generations")
+    rate = F.when((n > 0) & (F.col("samples") > 0), n / F.greatest("samples", F.lit(1))).otherwise(F.col("max_support_rate"))
+    return got.select(*on, "member_count", "max_support_rate", rate.alias("component_support_rate"), "generations", "samples", "selected")
+
+
+def co_occurrence_edges(events: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, source, target, edge_type, n, rate, by_family, by_route) of components that parseable events support together.
+
+    The rate is over all of a key's parseable events, also those that support nothing.
+    """
+    good = events.where(F.col("status").isin("candidate_set", "explicit_none"))
+    total = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("parseable"))
+    sets = edges.where("edge_type = 'supports'").groupBy(*keys, F.col("source").alias("id")).agg(F.array_sort(F.collect_set("target")).alias("items"))
+    left = good.join(sets, [*keys, "id"]).select(*keys, "model_family", "route", "items", F.posexplode("items").alias("i", "source"))
+    pairs = left.select(*keys, "model_family", "route", "source", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("target"))
+    cells = pairs.groupBy(*keys, "source", "target", "model_family", "route").agg(F.count(F.lit(1)).alias("n"))
+    on = [*keys, "source", "target"]
+    by = lambda c, out: cells.groupBy(*on, c).agg(F.sum("n").alias("n")).groupBy(*on).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(out))
+    met = cells.groupBy(*on).agg(F.sum("n").alias("n")).join(by("model_family", "by_family"), on).join(by("route", "by_route"), on).join(total, list(keys))
+    return met.select(*on, F.lit("co_occurs_with").alias("edge_type"), "n", (F.col("n") / F.greatest("parseable", F.lit(1))).alias("rate"), "by_family", "by_route")
+
+
+def claim_edges(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, source, target, edge_type, risk) from parseable events to what their reasoning claims."""
+    good = events.where(F.col("status").isin("candidate_set", "explicit_none"))
+    each = good.select(*keys, F.col("id").alias("source"), F.explode("claims").alias("claim"))
+    return each.select(*keys, "source", F.concat(F.lit("claim:"), "claim").alias("target"), F.lit("asserts_claim").alias("edge_type"), F.col("claim").isin(*text.RISKS).alias("risk"))
+
+
+def hypothesis_order(hyps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``hyps`` with ``place``: the incumbent first, then by tokens."""
+    return hyps.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("is_incumbent"), "tokens")) - 1)

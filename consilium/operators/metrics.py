@@ -164,3 +164,40 @@ def uniquely_correct(rows: DataFrame, keys: Sequence[str], agent: str, correct:
 def oracle_bound(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, hits): true positives of the best subset of candidates, which is the size of a maximum matching."""
     return string_hits(edges, keys)
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Scores by relation, then subject, as the scorer lists them."""
+    return pairs.orderBy("Relation", "SubjectEntity")
+
+
+def macro_f1(pred: DataFrame, gold: DataFrame, relations: DataFrame) -> dict[str | None, float]:
+    """Macro F1 by relation, and under None over all pairs, of a prediction set."""
+    return {r["Relation"]: r["f1"] for r in macro(score_pairs(pred, gold, relations)).collect()}
+
+
+def null_false_positives(candidates: DataFrame, gold: DataFrame, keys: Sequence[str], agent: str = "agent") -> DataFrame:
+    """(agent, n): keys without an answer for which the agent proposes one; ``gold(keys, n_gold)``."""
+    empty = gold.where("n_gold = 0").select(*keys)
+    return candidates.select(*keys, agent).distinct().join(empty, list(keys), "left_semi").groupBy(agent).agg(F.count(F.lit(1)).alias("n"))
+
+
+def cardinality_diagnostics(commitments: DataFrame, gold: DataFrame, keys: Sequence[str], agent: str = "agent") -> DataFrame:
+    """(agent, n, correct, unknown, accuracy, confusion map) of agents' cardinality labels against ``gold(keys, n_gold)``."""
+    truth = F.when(F.col("n_gold") == 0, "ZERO").when(F.col("n_gold") == 1, "ONE").otherwise("MANY")
+    told = F.coalesce("cardinality", F.lit("UNKNOWN"))
+    cells = commitments.join(gold, list(keys)).groupBy(agent, truth.alias("truth"), told.alias("told")).agg(F.count(F.lit(1)).alias("n"))
+    some = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    out = cells.groupBy(agent).agg(F.sum("n").alias("n"), some(F.col("truth") == F.col("told")).alias("correct"), some(F.col("told") == "UNKNOWN").alias("unknown"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("->", "truth", "told"), "n")))).alias("confusion"))
+    return out.withColumn("accuracy", F.col("correct") / F.col("n"))
+
+
+def correctness_correlations(rows: DataFrame, keys: Sequence[str], agent: str, correct: str) -> DataFrame:
+    """(left, right, n, corr) of every two agents' correctness over the keys both have; null where one is constant.
+
+    Agents are few: each key's row holds them all, and makes its pairs itself.
+    """
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(agent).alias("a"), F.col(correct).cast("double").alias("c")))).alias("r"))
+    left = packed.select("r", F.posexplode("r").alias("i", "l"))
+    pairs = left.select("l", F.explode(F.slice("r", F.col("i") + 2, F.size("r"))).alias("x")).select(F.col("l.a").alias("left"), F.col("x.a").alias("right"), F.col("l.c").alias("u"), F.col("x.c").alias("v"))
+    return correlation(pairs, "u", "v", ["left", "right"])

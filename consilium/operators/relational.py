@@ -128,3 +128,57 @@ def first_of_each(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def differing(a: DataFrame, b: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Keys on which two answer sets disagree, with both sides."""
     return a.select(*keys, F.col(column).alias("left")).join(b.select(*keys, F.col(column).alias("right")), list(keys)).where(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def keyed(rows: DataFrame, response: bool = False) -> DataFrame:
+    """(SubjectEntity, Relation) of rows, or of responses, which name them in lower case."""
+    names = ("subject", "relation") if response else ("SubjectEntity", "Relation")
+    return rows.select(F.col(names[0]).alias("SubjectEntity"), F.col(names[1]).alias("Relation"))
+
+
+def optional_join(base: DataFrame, other: DataFrame, keys: Sequence[str], column: str = "ObjectEntities") -> DataFrame:
+    """``base`` with ``column`` of ``other``, an empty list where it lacks the key."""
+    kind = other.schema[column].dataType.simpleString()
+    return base.join(other.select(*keys, column), list(keys), "left").withColumn(column, F.coalesce(column, F.expr(f"cast(array() as {kind})")))
+
+
+def restore_order(rows: DataFrame, inputs: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
+    """``rows`` in the order of ``inputs``; a key that either side lacks, or that repeats, is an error."""
+    unique_keys(rows, keys, "rows")
+    unique_keys(inputs, keys, "inputs")
+    wrong = coverage(rows, inputs, keys).limit(5).collect()
+    if wrong:
+        raise ContractError(f"coverage differs: {[tuple(r) for r in wrong]}")
+    return rows.join(inputs.select(*keys, pos), list(keys)).orderBy(pos)
+
+
+def routed_inputs(rows: DataFrame, routes: dict[str, Sequence[str]], relation: str = "Relation") -> dict[str, DataFrame]:
+    """The rows of each route's relations; a relation that no route or several have is an error."""
+    every = [r for of in routes.values() for r in of]
+    if len(every) != len(set(every)):
+        raise ContractError("a relation has several routes")
+    unknown = rows.where(~F.col(relation).isin(*every)).select(relation).distinct().limit(5).collect()
+    if unknown:
+        raise ContractError(f"relations without a route: {[r[0] for r in unknown]}")
+    return {name: rows.where(F.col(relation).isin(*of)) for name, of in routes.items()}
+
+
+def incumbent_tokens(items: DataFrame, exact: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, tokens): the sorted distinct components that an answer's items stand for.
+
+    ``items(keys, pos, key, value)``; ``exact(keys, key, component)``;
+    ``members(keys, component, value)``.  An item is its exact component, else
+    the component with the nearest member within 5 % where no other is as near,
+    else a token of its own, ``incumbent:pos:key``.
+    """
+    own = [*keys, "pos", "key"]
+    named = items.join(exact, [*keys, "key"], "left")
+    open_ = named.where("component IS NULL AND value > 0").drop("component")
+    far = F.abs(F.col("__v") - F.col("value")) / F.abs(F.col("value"))
+    met = open_.join(members.where("value > 0").select(*keys, F.col("component").alias("__c"), F.col("value").alias("__v")), list(keys)).withColumn("far", far).where(F.col("far") <= 0.05 + numbers.EPSILON)
+    near = met.groupBy(*own, "__c").agg(F.min("far").alias("far")).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("far", "__c"))).alias("n"))
+    first = F.get("n", F.lit(0))
+    alone = (F.size("n") == 1) | (first["far"] < F.get("n", F.lit(1))["far"] - numbers.EPSILON)
+    found = named.join(near.select(*own, F.when(alone, first["__c"]).alias("near")), own, "left")
+    token = F.coalesce("component", "near", F.concat_ws(":", F.lit("incumbent"), F.col("pos").cast("string"), F.col("key")))
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_set(token)).alias("tokens"))

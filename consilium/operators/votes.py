@@ -7,8 +7,9 @@ first-seen order survives any shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,15 +108,15 @@ def corroborated_list(votes: DataFrame, other: DataFrame, keys: Sequence[str], s
 
 
 def corroborated_single(votes: DataFrame, other: DataFrame, keys: Sequence[str], least: int = 5, promote: int = 2) -> DataFrame:
-    """(keys, item, display, promoted): the gated plurality item, else a second system's item that ``promote`` samples name too.
+    """(keys, item, display, promoted): the gated plurality item, else the same one where a second system names it first and ``promote`` samples do.
 
-    A promoted item shows the second system's surface.
+    ``other(keys, pos, item, display)``; a promoted item shows the second system's surface.
     """
-    won = support_gate(votes, keys, least).select(*keys, "item", "display", F.lit(False).alias("promoted"))
-    backed = votes.where(F.col("votes") >= promote).select(*keys, "item")
-    told = other.join(backed, [*keys, "item"]).groupBy(*keys).agg(F.min(F.struct("pos", "item", "display")).alias("o"))
-    moved = told.join(won.select(*keys), list(keys), "left_anti").select(*keys, F.col("o.item").alias("item"), F.col("o.display").alias("display"), F.lit(True).alias("promoted"))
-    return won.unionByName(moved)
+    top = plurality(votes, keys)
+    first = other.groupBy(*keys).agg(F.min(F.struct("pos", "item", "display")).alias("o")).select(*keys, F.col("o.item").alias("__item"), F.col("o.display").alias("__shown"))
+    met = top.join(first, list(keys), "left").withColumn("promoted", F.col("votes") < least)
+    good = ~F.col("promoted") | (F.col("__item") == F.col("item")) & (F.col("votes") >= promote)
+    return met.where(good).select(*keys, "item", F.when(F.col("promoted"), F.col("__shown")).otherwise(F.col("display")).alias("display"), "promoted")
 
 
 def evidence_summary(samples: DataFrame, keys: Sequence[str], votes: DataFrame, top: int | None = None) -> DataFrame:
@@ -149,3 +150,55 @@ def pool_coverage(pool: DataFrame, subject: str = "SubjectEntity", group: str =
     """(group, n_rows, n_subjects, fewest, most): examples of each relation and of its subjects."""
     per = pool.groupBy(group, subject).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(group).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_subjects"), F.min("n").alias("fewest"), F.max("n").alias("most"))
+
+
+def route_evidence(items: DataFrame, statuses: DataFrame, keys: Sequence[str], item: str, generation: str, pos: str, display: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each item's generations, (keys, item, display, generations), and (keys, none_generations): those that say outright there is none.
+
+    ``statuses(keys, generation, status)`` has a row for each generation.
+    """
+    found = vote_table(items, keys, item, generation, pos, display, samples=True).select(*keys, "item", "display", F.col("in_samples").alias("generations"))
+    none = statuses.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("status") == "explicit_none", F.col(generation)))).alias("none_generations"))
+    return found, none
+
+
+def ties_with_traces(rows: DataFrame, keys: Sequence[str], item: str, sample: str, pos: str, trace: str, top: int = 2) -> DataFrame:
+    """(keys, votes, tied): the first items of samples that share a key's highest vote, each with its first ``top`` traces.
+
+    A sample without an item votes for none, shown as a null item; keys with a
+    single leader are left out.  A null trace is no trace.
+    """
+    told = F.when(F.col(item) != "", F.col(item))
+    each = rows.groupBy(*keys, sample).agg(F.min(F.struct(pos, told.alias("item"), F.col(trace).alias("trace"))).alias("f")).select(*keys, sample, "f.item", "f.trace")
+    held = each.groupBy(*keys, "item").agg(F.count(F.lit(1)).alias("votes"), F.min(sample).alias("first"), F.array_sort(F.collect_list(F.when(F.col("trace").isNotNull(), F.struct(sample, "trace")))).alias("t"))
+    per = held.groupBy(*keys).agg(F.max("votes").alias("votes"), F.collect_list(F.struct("votes", "first", "item", F.transform(F.slice("t", 1, top), lambda x: x["trace"]).alias("traces"))).alias("all"))
+    lead = F.array_sort(F.transform(F.filter("all", lambda x: x["votes"] == F.col("votes")), lambda x: F.struct(x["first"], x["item"], x["traces"])))
+    tied = per.withColumn("lead", lead).where(F.size("lead") > 1)
+    return tied.select(*keys, "votes", F.transform("lead", lambda x: F.struct(x["item"].alias("item"), x["traces"].alias("traces"))).alias("tied"))
+
+
+def parsed_items(samples: DataFrame, keys: Sequence[str], parser: Callable[[Column, Column], Column], text: str = "text", relation: str = "Relation") -> DataFrame:
+    """(keys, sample, pos, item) of every sample by a caller's parser, a function from text and relation to an array of items.
+
+    The parser may be column expressions or an Arrow function, see ``python_parser``.
+    """
+    return samples.select(*keys, "sample", F.posexplode(parser(F.col(text), F.col(relation))).alias("pos", "item"))
+
+
+def python_parser(parse: Callable[[str, str], Sequence[str]]) -> Callable[[Column, Column], Column]:
+    """A plain Python parser as one for ``parsed_items``: called in Arrow batches, null texts give no items."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array, relations: pa.Array) -> pa.Array:
+        return pa.array([[] if t is None else [str(i) for i in parse(t, r)] for t, r in zip(texts.to_pylist(), relations.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+    return run
+
+
+def strict_dispatch(relation: Column, by_relation: dict[str, Column]) -> Column:
+    """Each relation's own expression; a relation without one is an error."""
+    out = None
+    for name, value in by_relation.items():
+        out = F.when(relation == name, value) if out is None else out.when(relation == name, value)
+    kind = F.raise_error(F.concat(F.lit("unknown relation "), relation))
+    return out.otherwise(kind)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import subprocess
 import zipfile
 from collections.abc import Iterator, Mapping
 from functools import reduce
@@ -94,6 +95,16 @@ def hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def inventory(root: str | Path) -> tuple[list[str], str]:
+    """The files of a folder and where the list is from: the index of its repository, or else the file system."""
+    root = Path(root)
+    if (root / ".git").exists():
+        listed = subprocess.run(["git", "-C", str(root), "ls-files", "-z"], capture_output=True, text=True)
+        if listed.returncode == 0:
+            return sorted(p for p in listed.stdout.split("\0") if p), "git"
+    return sorted(p.relative_to(root).as_posix() for p in root.rglob("*") if p.is_file()), "files"
+
+
 def zip_member(spark: SparkSession, path: str, member: str, schema: str, sha256: str | None = None, rows: int | None = None) -> DataFrame:
     """The JSON lines of one member of an archive whose hash and row count are as pinned.
 
