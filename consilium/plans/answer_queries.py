@@ -192,11 +192,10 @@ def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH once AS (SELECT user_id, event_type AS item, CAST(ts AS DATE) AS sample, min(event_id) AS pos FROM events GROUP BY ALL), v AS (SELECT user_id, item, count(*) AS votes, min(struct_pack(s := sample, p := pos)) AS f FROM once GROUP BY ALL),
- w AS (SELECT user_id, item FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, f) = 1 AND votes >= 11), o AS (SELECT user_id, event_type AS item, event_id AS pos FROM events WHERE value > 80),
- b AS (SELECT o.user_id, o.item, o.pos FROM o JOIN v ON v.user_id = o.user_id AND v.item = o.item AND v.votes >= 4 QUALIFY row_number() OVER (PARTITION BY o.user_id ORDER BY o.pos) = 1)
- SELECT user_id, item, item AS display, false AS promoted FROM w UNION ALL SELECT user_id, item, 'second:' || item, true FROM b ANTI JOIN w USING (user_id)""")
+ w AS (SELECT user_id, item, votes FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, f) = 1), o AS (SELECT user_id, event_type AS item FROM events WHERE value > 45 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)
+ SELECT user_id, w.item, CASE WHEN votes >= 11 THEN w.item ELSE 'second:' || o.item END AS display, votes < 11 AS promoted FROM w LEFT JOIN o USING (user_id) WHERE votes >= 11 OR (o.item = w.item AND votes >= 4)""")
 def corroborated_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = answers(spark, sf_dir).where("value > 80").select("user_id", F.col("event_type").alias("item"), F.col("event_id").alias("pos"), F.concat(F.lit("second:"), "event_type").alias("display"))
+    other = answers(spark, sf_dir).where("value > 45").select("user_id", F.col("event_type").alias("item"), F.col("event_id").alias("pos"), F.concat(F.lit("second:"), "event_type").alias("display"))
     return votes.corroborated_single(user_votes(spark, sf_dir), other, KEYS, 11, 4)
 
 
@@ -341,3 +340,67 @@ def mean_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS at, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6, 3) AS elapsed FROM events")
 def utc_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.utc_text(F.col("ts").cast("timestamp")).alias("at"), text.elapsed_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.col("ts").cast("timestamp")).alias("elapsed"))
+
+
+# -- parsers, ties, diagnostics ---------------------------------------------------------------------
+
+
+def _split(value: str, relation: str) -> list[str]:
+    return [p for p in value.split("+") if p != relation]
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS sample, event_type AS item, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL")
+def parsed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's Python parser over joined answers, in Arrow batches; it leaves the relation's own name out."""
+    samples = answers(spark, sf_dir).groupBy("user_id", F.col("day").alias("sample")).agg(F.array_join(F.collect_list("event_type"), "+").alias("text")).withColumn("Relation", F.lit("error"))
+    got = votes.parsed_items(samples, KEYS, votes.python_parser(_split))
+    return got.groupBy("user_id", "sample", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN round(value) WHEN 'click' THEN -1.0 WHEN 'error' THEN 0.0 ELSE 2 * value END AS routed FROM events")
+def strict_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    rules = {"view": F.round(v), "click": F.lit(-1.0), "error": F.lit(0.0), "signup": 2 * v, "purchase": 2 * v}
+    return table(spark, sf_dir, "events").select("event_id", votes.strict_dispatch(F.col("event_type"), rules).alias("routed"))
+
+
+@query("""WITH g AS (SELECT user_id, event_type AS item, string_agg(DISTINCT CAST(ts AS DATE)::VARCHAR, ',' ORDER BY CAST(ts AS DATE)::VARCHAR) AS generations FROM events GROUP BY ALL), n AS (SELECT user_id, string_agg(DISTINCT CAST(ts AS DATE)::VARCHAR, ',' ORDER BY CAST(ts AS DATE)::VARCHAR) FILTER (value > 60) AS none FROM events GROUP BY 1) SELECT user_id, item, generations, coalesce(none, '') AS none_generations FROM g JOIN n USING (user_id)""")
+def route_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = answers(spark, sf_dir)
+    statuses = a.select("user_id", "day", F.when(F.col("value") > 60, "explicit_none").otherwise("valid").alias("status"))
+    found, none = votes.route_evidence(a, statuses, KEYS, "event_type", "day", "event_id")
+    days = lambda c: F.array_join(F.transform(c, lambda d: d.cast("string")), ",")
+    return found.join(none, "user_id").select("user_id", "item", days("generations").alias("generations"), days("none_generations").alias("none_generations"))
+
+
+@query("""WITH s AS (SELECT user_id, CAST(ts AS DATE) AS d, min_by(CASE WHEN event_type <> 'error' THEN event_type ELSE '-' END, event_id) AS item, min_by('t' || event_id, event_id) AS trace FROM events GROUP BY ALL), v AS (SELECT user_id, item, count(*) AS votes, min(d) AS f, list(trace ORDER BY d)[1:2] AS t FROM s GROUP BY ALL), m AS (SELECT *, max(votes) OVER (PARTITION BY user_id) AS top FROM v)
+ SELECT user_id, votes, string_agg(item || ':' || array_to_string(t, '/'), ',' ORDER BY f) AS tied FROM m WHERE votes = top GROUP BY ALL HAVING count(*) > 1""")
+def ties_with_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answers(spark, sf_dir).withColumns({"item": F.when(F.col("event_type") != "error", F.col("event_type")), "trace": F.concat(F.lit("t"), F.col("event_id").cast("string"))})
+    got = votes.ties_with_traces(rows, KEYS, "item", "day", "event_id", "trace")
+    return got.select("user_id", "votes", F.array_join(F.transform("tied", lambda x: F.concat(F.coalesce(x["item"], F.lit("-")), F.lit(":"), F.array_join(x["traces"], "/"))), ",").alias("tied"))
+
+
+@query(f"WITH {COMMITMENTS}, g AS (SELECT user_id, (user_id * 7) % 4 AS n_gold FROM events GROUP BY ALL), j AS (SELECT agent, CASE n_gold WHEN 0 THEN 'ZERO' WHEN 1 THEN 'ONE' ELSE 'MANY' END AS truth, coalesce(cardinality, 'UNKNOWN') AS told FROM m JOIN g USING (user_id)) SELECT agent, count(*) AS n, count(*) FILTER (truth = told) AS correct, count(*) FILTER (told = 'UNKNOWN') AS unknown, round(count(*) FILTER (truth = told) / count(*), 9) AS accuracy, count(*) FILTER (truth = 'ONE' AND told = 'MANY') AS one_as_many FROM j GROUP BY 1")
+def cardinality_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("n_gold", (F.col("user_id") * 7) % 4)
+    got = metrics.cardinality_diagnostics(commitments(spark, sf_dir), gold, KEYS)
+    return got.select("agent", "n", "correct", "unknown", F.round("accuracy", 9).alias("accuracy"), F.coalesce(F.try_element_at("confusion", F.lit("ONE->MANY")), F.lit(0)).alias("one_as_many"))
+
+
+@query(f"WITH {PROPOSALS} SELECT agent, count(DISTINCT user_id) AS n FROM p WHERE (user_id * 7) % 4 = 0 AND value > 40 GROUP BY 1")
+def null_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("n_gold", (F.col("user_id") * 7) % 4)
+    return metrics.null_false_positives(proposals(spark, sf_dir).where("value > 40"), gold, KEYS)
+
+
+@query("WITH r AS (SELECT user_id, 'a' || (event_id % 3) AS a, (max(value) > 80)::INT AS c FROM events GROUP BY ALL) SELECT x.a AS \"left\", y.a AS \"right\", count(*) AS n, CASE WHEN min(x.c) = max(x.c) OR min(y.c) = max(y.c) THEN NULL ELSE round(corr(x.c, y.c), 9) END AS corr FROM r x JOIN r y ON x.user_id = y.user_id AND x.a < y.a GROUP BY ALL")
+def correctness_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("user_id", _agent().alias("agent")).agg((F.max("value") > 80).cast("int").alias("right"))
+    return metrics.correctness_correlations(rows, KEYS, "agent", "right").withColumn("corr", F.round("corr", 9))
+
+
+@query("SELECT p_partkey, abs(ln(p_retailprice / 950.0)) <= 1e-10 AS same, abs(p_retailprice - 950) / 950 <= 0.05 + 1e-12 AS of_target, p_retailprice > 0 AND abs(p_retailprice - 950) / 950 <= 0.05 AS of_right FROM part")
+def further_tolerances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price, goal = F.col("p_retailprice"), F.lit(950.0)
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.same_option(price, goal).alias("same"), numbers.within_target(price, goal).alias("of_target"), numbers.within_right(price, goal).alias("of_right"))

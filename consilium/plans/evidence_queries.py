@@ -423,3 +423,86 @@ def claim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = answers(spark, sf_dir).withColumn("agent", _agent()).groupBy("user_id", F.col("event_type").alias("key"), "agent").agg(F.count(F.lit(1)).alias("support"), F.min("event_id").alias("pos")).withColumn("item", F.concat(F.upper("key"), F.substring("agent", 2, 1)))
     got = graph.claim_order(graph.merge_candidates(facts, KEYS, ["support"]), KEYS)
     return got.select("user_id", "key", "item", F.size("proposers").cast("long").alias("n_proposers"), "total_support", F.col("idx").cast("long").alias("idx"))
+
+
+# -- component evidence ------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT user_id, substr(event_type, 1, 1) IN ('p', 's') AS c, 'a' || (event_id % 3) AS r, event_type AS t, list(DISTINCT day(ts)::INT) AS g, count(*) / 100.0 AS rate, max(value) > 60 AS sel FROM events GROUP BY ALL)
+ SELECT user_id, c AS component, r AS route, count(*) AS member_count, round(max(rate), 9)::DOUBLE AS max_support_rate, round(len(list_distinct(flatten(list(g)))) / 40.0, 9)::DOUBLE AS component_support_rate, bool_or(sel) AS selected FROM s GROUP BY ALL""")
+def component_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = answers(spark, sf_dir)
+    members = a.groupBy("user_id", F.substring("event_type", 1, 1).isin("p", "s").alias("component"), _agent().alias("route"), "event_type").agg(F.collect_set(F.dayofmonth("day")).alias("generations"), (F.count(F.lit(1)) / 100.0).alias("support_rate"), (F.max("value") > 60).alias("selected")).withColumn("samples", F.lit(40))
+    got = graph.component_routes(members, KEYS)
+    return got.select("user_id", "component", "route", "member_count", F.round("max_support_rate", 9).alias("max_support_rate"), F.round("component_support_rate", 9).alias("component_support_rate"), "selected")
+
+
+@query(f"""WITH {DAYS}, t AS (SELECT user_id, count(*) AS n FROM g WHERE status <> 'unparsed_or_no_candidate' GROUP BY 1), e AS (SELECT user_id, a, generation, unnest(c) AS c FROM g), p AS (SELECT x.user_id, x.c AS source, y.c AS target, x.a FROM e x JOIN e y ON x.user_id = y.user_id AND x.a = y.a AND x.generation = y.generation AND x.c < y.c)
+ SELECT user_id, source, target, count(*) AS n, round(count(*) / any_value(t.n), 9) AS rate, count(*) FILTER (a = 1) AS of_f1, count(DISTINCT a) AS n_routes FROM p JOIN t USING (user_id) GROUP BY ALL""")
+def co_occurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, edges = _events(spark, sf_dir)
+    got = graph.co_occurrence_edges(events.withColumn("route", F.concat(F.lit("r"), F.substring("id", 1, 1))), edges, KEYS)
+    return got.select("user_id", "source", "target", "n", F.round("rate", 9).alias("rate"), F.coalesce(F.try_element_at("by_family", F.lit("f1")), F.lit(0)).alias("of_f1"), F.size("by_route").cast("long").alias("n_routes"))
+
+
+@query("SELECT event_id::VARCHAR AS source, 'claim:' || CASE event_type WHEN 'view' THEN 'border_land' ELSE 'capacity_variant' END AS target, event_type <> 'view' AS risk FROM events WHERE event_type IN ('view', 'click') AND value > 10")
+def claim_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("string").alias("id"), F.when(F.col("value") > 10, "candidate_set").otherwise("other").alias("status"), F.when(F.col("event_type") == "view", F.array(F.lit("border_land"))).when(F.col("event_type") == "click", F.array(F.lit("capacity_variant"))).otherwise(F.expr("cast(array() as array<string>)")).alias("claims"))
+    return graph.claim_edges(e, KEYS).select("source", "target", "risk")
+
+
+@query(f"WITH {HYPOTHESES} SELECT user_id, array_to_string(tokens, ',') AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY is_incumbent DESC, tokens) - 1 AS place FROM h")
+def hypothesis_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = graph.hypothesis_order(_hypotheses(spark, sf_dir)[0], KEYS)
+    return got.select("user_id", F.array_join("tokens", ",").alias("tokens"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {WON}, s AS (SELECT user_id, event_type AS r, count(DISTINCT CAST(ts AS DATE)) AS n FROM events GROUP BY ALL), m AS (SELECT user_id, max(n) AS most FROM s GROUP BY 1), l AS (SELECT s.user_id, min(r) AS r FROM s JOIN m ON m.user_id = s.user_id AND n = most AND n >= 11 GROUP BY 1 HAVING count(*) = 1)
+ SELECT w.user_id, coalesce(l.r, w.item) AS objects, coalesce(l.r <> w.item, false) AS changed FROM w LEFT JOIN l USING (user_id)""")
+def component_support_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    support = answers(spark, sf_dir).groupBy("user_id", F.col("event_type").alias("representative")).agg(F.count_distinct("day").alias("support"))
+    return decode.component_support_rule(support, _won(spark, sf_dir), KEYS, 11).withColumn("objects", F.array_join("objects", ","))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-(0.5 - 0.02 * l_quantity))), 9) AS probability FROM lineitem")
+def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    features = lambda df: df.withColumn("features", decode.checked_features(F.lit(1.0), F.col("l_quantity")))
+    got = decode.scored_candidates(rows, features, F.array(F.lit(0.5), F.lit(-0.02)))
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", F.round("probability", 9).alias("probability"))
+
+
+# -- joins of prediction rows -------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def optional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("ObjectEntities"))
+    got = relational.optional_join(table(spark, sf_dir, "customer").select("c_custkey"), lists, ["c_custkey"])
+    return got.select("c_custkey", F.size("ObjectEntities").cast("long").alias("n_orders"))
+
+
+@query("SELECT n_name, row_number() OVER (ORDER BY n_name DESC) - 1 AS pos FROM nation")
+def restored_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = table(spark, sf_dir, "nation")
+    inputs = n.select("n_name", (F.row_number().over(Window.orderBy(F.desc("n_name"))) - 1).cast("long").alias("pos"))
+    return relational.restore_order(n.select("n_name"), inputs, ["n_name"])
+
+
+@query("SELECT CASE WHEN event_type IN ('view', 'click') THEN 'seen' ELSE 'done' END AS route, count(*) AS n FROM events GROUP BY 1")
+def routed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = relational.routed_inputs(table(spark, sf_dir, "events"), {"seen": ["view", "click"], "done": ["error", "signup", "purchase"]}, "event_type")
+    count = lambda name: parts[name].select(F.lit(name).alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    return count("seen").unionByName(count("done"))
+
+
+@query("""WITH i AS (SELECT c_nationkey AS k, c_custkey AS pos, c_name AS key, c_acctbal AS v FROM customer), m AS (SELECT s_nationkey AS k, 's' || (s_suppkey % 10) AS c, s_acctbal AS v FROM supplier WHERE s_acctbal > 0), x AS (SELECT c_nationkey AS k, c_name AS key, 'exact' AS c FROM customer WHERE c_custkey % 5 = 0),
+ f AS (SELECT i.k, i.pos, m.c, min(abs(m.v - i.v) / abs(i.v)) AS far FROM i JOIN m ON m.k = i.k AND i.v > 0 AND abs(m.v - i.v) / abs(i.v) <= 0.05 + 1e-12 GROUP BY ALL), r AS (SELECT *, lead(far) OVER w AS next, row_number() OVER w AS n FROM f WINDOW w AS (PARTITION BY k, pos ORDER BY far, c)),
+ t AS (SELECT DISTINCT i.k, coalesce(x.c, CASE WHEN r.next IS NULL OR r.far < r.next - 1e-12 THEN r.c END, 'incumbent:' || i.pos || ':' || i.key) AS token FROM i LEFT JOIN x USING (k, key) LEFT JOIN r ON r.k = i.k AND r.pos = i.pos AND n = 1) SELECT k, count(*) AS n_tokens, md5(string_agg(token, ',' ORDER BY token)) AS tokens FROM t GROUP BY 1""")
+def incumbent_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("key"), F.col("c_acctbal").alias("value"))
+    members = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.concat(F.lit("s"), (F.col("s_suppkey") % 10).cast("string")).alias("component"), F.col("s_acctbal").alias("value"))
+    got = relational.incumbent_tokens(c, c.where("pos % 5 = 0").select("k", "key", F.lit("exact").alias("component")), members, ["k"])
+    return got.select("k", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", ",")).alias("tokens"))

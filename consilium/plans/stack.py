@@ -83,7 +83,7 @@ def numeric_layer(e: Evidence) -> decode.Layer:
             F.min(F.when(F.array_contains("kinds", "baseline"), F.struct("place", "probability"))).alias("base"),
         )
         moved = best.where(F.col("best.probability") - F.col("base.probability") > F.coalesce(F.try_element_at(margin, F.col("Relation")), F.lit(0.0)))
-        return _patched(answers, moved.select(*KEYS, F.array(number_12g(F.col("best.value"))).alias("objects")))
+        return _patched(answers, moved.withColumn("text", number_12g(F.col("best.value"))).select(*KEYS, F.array("text").alias("objects")))
 
     return run
 
