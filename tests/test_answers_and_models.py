@@ -4,6 +4,7 @@ import json
 import math
 import random
 import statistics
+import subprocess
 
 import numpy as np
 import pytest
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from consilium.functions import numbers, text
 from consilium.operators import consensus, contracts, decode, graph, models, relational, stats, tasks, votes
-from consilium.plans import stack
-from consilium.schemas import LINEAR_MODEL, relation_dimension
+from consilium.plans import evaluate, stack
+from consilium.schemas import LINEAR_MODEL, PREDICTION, relation_dimension
 from consilium.sources import files
 
 KEYS = ["SubjectEntity", "Relation"]
@@ -407,3 +408,98 @@ def test_release_and_hygiene(spark):
     current = spark.createDataFrame([(0, "B", "r"), (1, "c", "r")], "place int, SubjectEntity string, Relation string")
     assert contracts.migration_violations(old, current, mapping, old.where("place = 0"), KEYS).count() == 0
     assert contracts.migration_violations(old, current.orderBy(F.desc("place")).withColumn("place", 1 - F.col("place")), mapping, old.where("place = 0"), KEYS).count() == 4
+
+
+# -- the composition of five sources ---------------------------------------------------------------------
+
+BORDERS, COMPANY, CITY, AREA, CAPACITY, AWARD = ("countryLandBordersCountry", "companyTradesAtStockExchange", "personHasCityOfDeath", "hasArea", "hasCapacity", "awardWonBy")
+
+
+def sources(spark):
+    keys = [("Peru", BORDERS), ("Acme", COMPANY), ("Lima", CITY), ("Bob", CITY), ("Lake", AREA), ("Hall", CAPACITY), ("Prize", AWARD)]
+    reference = spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], "SubjectEntity string, Relation string, pos int")
+    raw = "SubjectEntity string, Relation string, raw_samples array<string>"
+    borders = spark.createDataFrame([("Peru", BORDERS, ["Chile, Brazil"] * 3 + ["Chile"] * 5 + ["None"] * 2)], raw)
+    sampled = [
+        ("Acme", COMPANY, ["NYSE, Acme, Tokyo"] * 4 + ["LSE"] * 3 + ["Oslo"] * 3),
+        ("Lima", CITY, ["Paris"] * 6 + ["Rome"] * 4),
+        ("Bob", CITY, ["<think>x</think> Rome"] * 2 + ["Paris"] + ["None"] * 7),
+        ("Lake", AREA, ["10", "12", "11 km", "900"]),
+        ("Hall", CAPACITY, ["100", "110", "5000", "105"]),
+    ]
+    second = spark.createDataFrame([("Acme", COMPANY, ["Oslo Exchange", "LSE", "Oslo"]), ("Lima", CITY, ["Rome"]), ("Bob", CITY, ["ROME"])], PREDICTION)
+    awards = spark.createDataFrame([("Prize", AWARD, ["A", "B"])], PREDICTION)
+    return reference, borders, spark.createDataFrame(sampled, raw), second, awards, relation_dimension(spark)
+
+
+def composed(*parts, **more):
+    return {r.SubjectEntity: r.ObjectEntities for r in evaluate.relation_aware(*parts, **more).orderBy("pos").collect()}
+
+
+def test_each_relation_goes_by_its_own_rule(spark):
+    got = composed(*sources(spark))
+    assert list(got) == ["Peru", "Acme", "Lima", "Bob", "Lake", "Hall", "Prize"]
+    assert got["Peru"] == ["Chile", "Brazil"] and got["Prize"] == ["A", "B"]
+    # the subject itself is dropped; promotions follow in the second system's order
+    assert got["Acme"] == ["NYSE", "Tokyo", "LSE", "Oslo"]
+    assert got["Lima"] == ["Paris"] and got["Bob"] == ["ROME"]
+    assert got["Lake"] == ["12"] and got["Hall"] == ["105"]
+
+
+def test_composition_without_corroboration_and_with_other_numbers(spark):
+    reference, borders, sampled, second, awards, relations = sources(spark)
+    bare = composed(reference, borders, sampled, second.limit(0), awards, relations, corroborate=False, capacity_cluster=False, city_votes=7, area_quantile_=0.55)
+    assert bare["Acme"] == ["NYSE", "Tokyo"] and bare["Lima"] == [] and bare["Bob"] == []
+    assert bare["Hall"] == ["107.5"] and bare["Lake"] == ["12"]
+    with pytest.raises(relational.ContractError, match="Missing 1 required rows"):
+        evaluate.relation_aware(reference, borders, sampled, second.where("SubjectEntity <> 'Bob'"), awards, relations)
+    with pytest.raises(relational.ContractError, match="duplicate keys"):
+        evaluate.relation_aware(reference, borders, sampled.unionByName(sampled), second, awards, relations)
+    with pytest.raises(relational.ContractError, match="unknown relation"):
+        evaluate.relation_aware(reference.withColumn("Relation", F.lit("x")), borders, sampled, second, awards, relations)
+
+
+def test_parsers_and_dispatch(spark):
+    samples = spark.createDataFrame([("k", 0, "a;b", "r"), ("k", 1, None, "r"), ("k", 2, "r;c", "r")], "k string, sample int, text string, Relation string")
+    got = votes.parsed_items(samples, ["k"], votes.python_parser(lambda t, r: [x for x in t.split(";") if x != r])).collect()
+    assert sorted((r.sample, r.pos, r.item) for r in got) == [(0, 0, "a"), (0, 1, "b"), (2, 0, "c")]
+    by_column = votes.parsed_items(samples, ["k"], lambda t, r: F.split(F.coalesce(t, F.lit("")), ";")).count()
+    assert by_column == 5
+    with pytest.raises(Exception, match="unknown relation z"):
+        spark.range(1).select(votes.strict_dispatch(F.lit("z"), {"a": F.lit(1)})).collect()
+
+
+def test_order_and_routes_are_guarded(spark):
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "k string, v int")
+    inputs = spark.createDataFrame([("a", 0), ("b", 1)], "k string, pos int")
+    assert [r.k for r in relational.restore_order(rows, inputs, ["k"]).collect()] == ["a", "b"]
+    for broken in (rows.limit(1), rows.unionByName(rows), rows.unionByName(spark.createDataFrame([("c", 3)], "k string, v int"))):
+        with pytest.raises(relational.ContractError):
+            relational.restore_order(broken, inputs, ["k"])
+    with pytest.raises(relational.ContractError, match="without a route"):
+        relational.routed_inputs(rows, {"x": ["a"]}, "k")
+    with pytest.raises(relational.ContractError, match="several routes"):
+        relational.routed_inputs(rows, {"x": ["a", "b"], "y": ["b"]}, "k")
+    responses = spark.createDataFrame([("s", "r")], "subject string, relation string")
+    assert relational.keyed(responses, True).columns == KEYS
+
+
+def test_file_inventory(tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "b.txt").write_text("y")
+    assert files.inventory(tmp_path) == (["a.txt", "d/b.txt"], "files")
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    subprocess.run(["git", "-C", str(tmp_path), "add", "a.txt"], check=True)
+    assert files.inventory(tmp_path) == (["a.txt"], "git")
+
+
+def test_score_wrapper(spark):
+    gold = spark.createDataFrame([("x", COMPANY, [["a", "A1"], ["b"]]), ("y", AREA, [["10"]])], "SubjectEntity string, Relation string, ObjectEntities array<array<string>>")
+    pred = spark.createDataFrame([("x", COMPANY, ["a1"], 0), ("y", AREA, ["10.4"], 1)], PREDICTION + ", pos int")
+    relations = relation_dimension(spark)
+    from consilium.operators import metrics
+
+    got = metrics.macro_f1(pred, gold, relations)
+    assert got[COMPANY] == pytest.approx(2 / 3) and got[AREA] == 1.0 and got[None] == pytest.approx(5 / 6)
+    assert [r.Relation for r in metrics.ordered(metrics.score_pairs(pred, gold, relations)).collect()] == [COMPANY, AREA]
