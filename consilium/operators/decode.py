@@ -238,7 +238,7 @@ def switch_numeric(options: DataFrame, keys: Sequence[str], margin: Column | flo
 
 
 def capacity_options(events: DataFrame, groups: DataFrame, keys: Sequence[str], families: Sequence[str] = FAMILIES) -> DataFrame:
-    """(keys, grp, value, rates, family_fraction): each group's log-medoid and, by family, the share of all generations it holds.
+    """(keys, grp, value, members, rates, family_fraction, event_rate): each group's log-medoid and, by family and over all, the share of generations it holds.
 
     ``events(keys, id, family, value)`` has every generation, failures with a
     null value; ``groups(keys, value, grp)``.
@@ -247,8 +247,9 @@ def capacity_options(events: DataFrame, groups: DataFrame, keys: Sequence[str],
     held = events.where(F.col("value").isNotNull()).join(groups, [*keys, "value"])
     per = held.groupBy(*keys, "grp", "family").agg(F.count(F.lit(1)).alias("hits")).join(totals, [*keys, "family"]).withColumn("rate", F.col("hits") / F.col("n"))
     rates = per.groupBy(*keys, "grp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("family", "rate")))).alias("rates"), (F.count(F.lit(1)) / float(len(families))).alias("family_fraction"))
-    medoid = held.groupBy(*keys, "grp").agg(numbers.log_medoid(F.collect_list("value")).alias("value"))
-    return medoid.join(rates, [*keys, "grp"])
+    medoid = held.groupBy(*keys, "grp").agg(numbers.log_medoid(F.collect_list("value")).alias("value"), F.array_sort(F.collect_set("value")).alias("members"), F.count(F.lit(1)).alias("__hits"))
+    whole = totals.groupBy(*keys).agg(F.sum("n").alias("__all"))
+    return medoid.join(rates, [*keys, "grp"]).join(whole, list(keys)).withColumn("event_rate", F.col("__hits") / F.col("__all")).drop("__hits", "__all")
 
 
 # -- support rules and proofs ----------------------------------------------------------
@@ -355,6 +356,56 @@ def numeric_proof(challenger: Column, incumbent: Column, members: Column, famili
     return positive & coherent & (challenger["family_fraction"] + EPSILON >= MIN_FRACTION) & (challenger["family_fraction"] - incumbent["family_fraction"] + EPSILON >= MIN_ADVANTAGE) & everyone
 
 
+def prove_numbers(options: DataFrame, keys: Sequence[str], families: Sequence[str] = FAMILIES) -> DataFrame:
+    """(keys, value, changed, eligible): the best option proven against the incumbent, else the incumbent.
+
+    ``options(keys, value, is_incumbent, members, rates, family_fraction,
+    event_rate)`` has one incumbent a key; a key without one is left out.  Of
+    the proven, most families win, then the least and the mean family rate, the
+    rate over all events, nearness to the incumbent and the smaller value.
+    """
+    option = F.struct("value", "family_fraction", "rates")
+    inc = options.where("is_incumbent").select(*keys, option.alias("i"))
+    met = options.withColumn("c", option).join(inc, list(keys))
+    rate = F.transform(F.array(*map(F.lit, families)), lambda f: F.coalesce(F.try_element_at(F.col("rates"), f), F.lit(0.0)))
+    order = F.struct(
+        "family_fraction",
+        F.array_min(rate).alias("least"),
+        (numbers.total(rate) / len(families)).alias("mean"),
+        "event_rate",
+        (-F.abs(F.ln(F.col("value") / F.col("i.value")))).alias("near"),
+        (-F.col("value")).alias("small"),
+    )
+    good = met.where(~F.col("is_incumbent") & numeric_proof(F.col("c"), F.col("i"), F.col("members"), families))
+    won = good.groupBy(*keys).agg(F.max(order).alias("w"), F.count(F.lit(1)).alias("eligible"))
+    return inc.join(won, list(keys), "left").select(*keys, F.coalesce(-F.col("w.small"), F.col("i.value")).alias("value"), F.col("w").isNotNull().alias("changed"), F.coalesce("eligible", F.lit(0)).alias("eligible"))
+
+
+def edit_features(control: Column, action: Column) -> list[Column]:
+    """What an edit is, apart from any evidence: which side is empty, sizes up to five, additions, removals, overlap, and whether it keeps."""
+    added, dropped = F.size(F.array_except(action, control)), F.size(F.array_except(control, action))
+    share = lambda n: F.least(F.lit(1.0), n / 5.0)
+    return [(F.size(control) == 0).cast("double"), (F.size(action) == 0).cast("double"), share(F.size(control)), share(F.size(action)), share(added), share(dropped), numbers.jaccard(control, action), ((added == 0) & (dropped == 0)).cast("double")]
+
+
+def action_rows(answers: DataFrame, candidates: DataFrame, keys: Sequence[str], features: Callable[[DataFrame], DataFrame], mean: Column, scale: Column, coefficients: Column) -> DataFrame:
+    """(keys, tokens, is_keep, estimate) of all answers one edit away, each with a model's estimate of what it gains.
+
+    ``answers(keys, objects)`` hold tokens; ``candidates(keys, token)`` may join
+    them.  ``features`` adds an array column ``features`` to (keys, control,
+    tokens); ``ridge_score`` weighs it after an intercept.
+    """
+    offered = candidates.groupBy(*keys).agg(F.array_sort(F.collect_set("token")).alias("offered"))
+    met = answers.join(offered, list(keys), "left").withColumn("offered", F.coalesce("offered", F.expr(_EMPTY)))
+    control = F.array_sort(F.array_distinct("objects"))
+    each = met.select(*keys, control.alias("control"), F.explode(actions(F.col("objects"), F.col("offered"))).alias("tokens"))
+    scored = features(each)
+    with_one = F.concat(F.array(F.lit(1.0)), F.col("features"))
+    unit = lambda c, v: F.concat(F.array(F.lit(v)), c)
+    estimate = ridge_score(with_one, unit(mean, 0.0), unit(scale, 1.0), coefficients)
+    return scored.select(*keys, "tokens", (F.col("tokens") == F.col("control")).alias("is_keep"), estimate.alias("estimate"))
+
+
 def residual(action_rows: DataFrame, keys: Sequence[str], margin: float) -> DataFrame:
     """(keys, tokens, changed) from (keys, tokens, is_keep, estimate): the best action above the margin, else keep."""
     best = action_rows.groupBy(*keys).agg(F.max(F.when(~F.col("is_keep"), F.struct("estimate", (-F.size("tokens")).alias("neg"), "tokens"))).alias("b"), F.max(F.when(F.col("is_keep"), F.struct("tokens"))).alias("k"))

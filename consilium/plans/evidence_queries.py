@@ -506,3 +506,41 @@ def incumbent_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.concat(F.lit("s"), (F.col("s_suppkey") % 10).cast("string")).alias("component"), F.col("s_acctbal").alias("value"))
     got = relational.incumbent_tokens(c, c.where("pos % 5 = 0").select("k", "key", F.lit("exact").alias("component")), members, ["k"])
     return got.select("k", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", ",")).alias("tokens"))
+
+
+# -- numeric proofs and scored edits -------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT user_id, 'f' || (event_id % 3) AS family, event_type AS g, round(value) + 1 AS v FROM events), t AS (SELECT user_id, family, count(*) AS n FROM e GROUP BY ALL), u AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1),
+ o AS (SELECT user_id, g, max(v) AS value, max(v) <= 1.05 * min(v) AS coherent, count(*) AS hits FROM e WHERE v > 40 GROUP BY ALL),
+ r AS (SELECT o.user_id, o.g, f.family, count(e.v) / any_value(t.n) AS rate FROM o CROSS JOIN (VALUES ('f0'), ('f1'), ('f2')) f(family) LEFT JOIN t ON t.user_id = o.user_id AND t.family = f.family LEFT JOIN e ON e.user_id = o.user_id AND e.g = o.g AND e.family = f.family AND e.v > 40 GROUP BY ALL),
+ p AS (SELECT o.user_id, o.g, value, hits / any_value(u.n) AS event_rate, count(*) FILTER (rate > 0) AS families, coalesce(min(rate), 0) AS least, sum(coalesce(rate, 0)) / 3 AS mean FROM o JOIN r USING (user_id, g) JOIN u USING (user_id) GROUP BY o.user_id, o.g, value, hits),
+ i AS (SELECT user_id, 30.0 AS value FROM u), w AS (SELECT user_id, value, count(*) OVER (PARTITION BY user_id) AS eligible FROM p WHERE families = 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(least, 12) DESC, round(mean, 12) DESC, event_rate DESC, abs(ln(value / 30.0)), value) = 1)
+ SELECT i.user_id, coalesce(w.value, i.value)::DOUBLE AS value, w.value IS NOT NULL AS changed, coalesce(eligible, 0) AS eligible FROM i LEFT JOIN w USING (user_id)""")
+def prove_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type's largest value as an option, backed by families; an incumbent that none backs."""
+    e = answers(spark, sf_dir).select("user_id", "event_type", F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")).alias("family"), (F.round("value") + 1).alias("v"))
+    n = e.groupBy("user_id", "family").agg(F.count(F.lit(1)).alias("n"))
+    per = e.where("v > 40").groupBy("user_id", "event_type", "family").agg(F.count(F.lit(1)).alias("hits"), F.max("v").alias("top")).join(n, ["user_id", "family"])
+    whole = n.groupBy("user_id").agg(F.sum("n").alias("all"))
+    options = per.groupBy("user_id", "event_type").agg(F.max("top").alias("value"), F.map_from_entries(F.collect_list(F.struct("family", F.round(F.col("hits") / F.col("n"), 12)))).alias("rates"), (F.count(F.lit(1)) / 3.0).alias("family_fraction"), F.sum("hits").alias("hits"))
+    options = options.join(whole, "user_id").select("user_id", "value", F.lit(False).alias("is_incumbent"), F.array("value").alias("members"), "rates", "family_fraction", (F.col("hits") / F.col("all")).alias("event_rate"))
+    none = whole.select("user_id", F.lit(30.0).alias("value"), F.lit(True).alias("is_incumbent"), F.array(F.lit(30.0)).alias("members"), F.expr("cast(map() as map<string,double>)").alias("rates"), F.lit(0.0).alias("family_fraction"), F.lit(0.0).alias("event_rate"))
+    return decode.prove_numbers(options.unionByName(none), KEYS, FAMILY).select("user_id", "value", "changed", "eligible")
+
+
+@query(f"""WITH {WON}, c AS (SELECT DISTINCT user_id, event_type AS t FROM events WHERE value > 60), x AS (SELECT user_id, item AS k, t FROM w LEFT JOIN c USING (user_id)),
+ a AS (SELECT DISTINCT user_id, k, unnest([[k], CAST([] AS VARCHAR[])]) AS tokens FROM x UNION SELECT user_id, k, [t] FROM x WHERE t IS NOT NULL UNION SELECT user_id, k, list_sort([k, t]) FROM x WHERE t <> k),
+ f AS (SELECT user_id, k, tokens, len(list_filter(tokens, lambda y: y <> k)) AS added, (NOT list_contains(tokens, k))::INT AS dropped, len(tokens) AS n FROM a)
+ SELECT user_id, array_to_string(tokens, ',') AS tokens, tokens = [k] AS is_keep, round(0.1 + 0.5 * (added / 5.0 - 0.1) / 0.2 - 0.3 * dropped / 5.0 + 0.2 * (CASE WHEN n = 0 THEN 0 ELSE (1 - dropped) / (n + dropped) END), 9)::DOUBLE AS estimate FROM f""")
+def action_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edits of users' winners, scored by additions (standardised), removals and overlap."""
+    offered = answers(spark, sf_dir).where("value > 60").select("user_id", F.col("event_type").alias("token"))
+
+    def features(rows: DataFrame) -> DataFrame:
+        every = decode.edit_features(F.col("control"), F.col("tokens"))
+        return rows.withColumn("features", F.array(every[4], every[5], every[6]))
+
+    doubles = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    got = decode.action_rows(_won(spark, sf_dir), offered, KEYS, features, doubles(0.1, 0, 0), doubles(0.2, 1, 1), doubles(0.1, 0.5, -0.3, 0.2))
+    return got.select("user_id", F.array_join("tokens", ",").alias("tokens"), "is_keep", F.round("estimate", 9).alias("estimate"))

@@ -31,8 +31,9 @@ class Evidence:
     baseline), ``options`` those of ``switch_numeric``, ``supply`` and
     ``support`` those of the two rules; ``context`` has ``kind`` for the last.
     ``hypotheses`` carry proof metrics, ``records`` their events; ``invalid``
-    names keys whose evidence is broken.  ``numeric`` has (keys, incumbent,
-    challengers array<struct<value, family_fraction, rates, members>>).
+    names keys whose evidence is broken.  ``numeric`` has the options of
+    ``prove_numbers`` for the relations of ``NUMERIC_PROOF``, which no set
+    proof touches.
     """
 
     scored: DataFrame | None = None
@@ -45,6 +46,7 @@ class Evidence:
     hypotheses: DataFrame | None = None
     records: DataFrame | None = None
     invalid: DataFrame | None = None
+    numeric: DataFrame | None = None
     objects_of_tokens: Callable[[DataFrame], DataFrame] | None = None
     cardinality_margin: float = decode.CARDINALITY_MARGIN
     numeric_margins: Mapping[str, float] = field(default_factory=lambda: dict(decode.NUMERIC_MARGINS))
@@ -111,14 +113,25 @@ def support_layer(e: Evidence) -> decode.Layer:
 
 
 def proof_layer(e: Evidence) -> decode.Layer:
-    """Proven sets in place of incumbents; the caller's ``objects_of_tokens`` turns tokens (keys, tokens) into objects."""
+    """Proven sets, and proven single numbers of ``NUMERIC_PROOF``, in place of incumbents.
+
+    The caller's ``objects_of_tokens`` turns tokens (keys, tokens) into objects.
+    Keys with broken evidence keep what they have.
+    """
 
     def run(answers: DataFrame) -> DataFrame:
-        if e.hypotheses is None or e.records is None:
-            return answers
-        invalid = e.hypotheses.select(*KEYS).limit(0) if e.invalid is None else e.invalid
-        won = decode.proof_stage(e.hypotheses, e.records, invalid, KEYS, e.arm, e.identity).where("changed")
-        return _patched(answers, won if e.objects_of_tokens is None else e.objects_of_tokens(won), "tokens" if e.objects_of_tokens is None else "objects")
+        out, scalar = answers, F.col("Relation").isin(*NUMERIC_PROOF)
+        if e.hypotheses is not None and e.records is not None:
+            invalid = e.hypotheses.select(*KEYS).limit(0) if e.invalid is None else e.invalid
+            won = decode.proof_stage(e.hypotheses.where(~scalar), e.records.where(~scalar), invalid, KEYS, e.arm, e.identity).where("changed")
+            out = _patched(out, won if e.objects_of_tokens is None else e.objects_of_tokens(won), "tokens" if e.objects_of_tokens is None else "objects")
+        if e.numeric is not None:
+            options = e.numeric.where(scalar)
+            if e.invalid is not None:
+                options = options.join(e.invalid.select(*KEYS), list(KEYS), "left_anti")
+            proven = decode.prove_numbers(options, KEYS).where("changed").withColumn("text", number_12g("value"))
+            out = _patched(out, proven.select(*KEYS, F.array("text").alias("objects")))
+        return out
 
     return run
 
