@@ -333,6 +333,26 @@ def test_the_stack_runs_its_layers_in_order(spark):
     assert still.objects == ["5"]
 
 
+def test_a_number_needs_all_families_and_the_best_of_them_wins(spark):
+    fams = ("qwen_recall", "gemma_independent", "ministral_independent")
+    option = "SubjectEntity string, Relation string, value double, is_incumbent boolean, members array<double>, rates map<string,double>, family_fraction double, event_rate double"
+    rates = lambda *v: {f: float(x) for f, x in zip(fams, v) if x}
+    key = ("h", "hasCapacity")
+    inc = (*key, 100.0, True, [100.0], rates(0.2, 0, 0), 1 / 3, 0.1)
+    weak = (*key, 200.0, False, [200.0, 205.0], rates(0.3, 0.1, 0.2), 1.0, 0.2)
+    best = (*key, 300.0, False, [300.0], rates(0.3, 0.2, 0.2), 1.0, 0.2)
+    loose = (*key, 400.0, False, [400.0, 500.0], rates(0.9, 0.9, 0.9), 1.0, 0.9)
+    two = (*key, 500.0, False, [500.0], rates(0.9, 0.9, 0), 2 / 3, 0.6)
+    run = lambda *rows: decode.prove_numbers(spark.createDataFrame(list(rows), option), KEYS).collect()
+    assert [(r.value, r.changed, r.eligible) for r in run(inc, weak, best, loose, two)] == [(300.0, True, 2)]
+    assert [(r.value, r.changed, r.eligible) for r in run(inc, loose, two)] == [(100.0, False, 0)]
+    assert run(weak, best) == []
+    answers = spark.createDataFrame([(*key, ["100"])], "SubjectEntity string, Relation string, objects array<string>")
+    frame = spark.createDataFrame([inc, best], option)
+    assert stack.frozen_stack(answers, stack.Evidence(numeric=frame)).first().objects == ["300"]
+    assert stack.frozen_stack(answers, stack.Evidence(numeric=frame, invalid=answers.select(*KEYS))).first().objects == ["100"]
+
+
 def test_a_stage_says_what_it_wrote(spark, tmp_path):
     rows = spark.range(20).withColumn("x", F.col("id") % 3)
     notes = []
