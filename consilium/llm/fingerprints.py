@@ -1,8 +1,8 @@
 """Document fingerprints by winnowing.
 
 A text becomes tokens (words; very long words in stretches), each hashed once.
-A cyclic polynomial rolls over them: the hash of a run is its tokens' hashes,
-rotated by their place and combined by exclusive or, so longer runs come from
+A polynomial over bits rolls over them: the hash of a run is its tokens' hashes,
+shifted by their place and combined by exclusive or, so longer runs come from
 overlapping shorter ones without hashing a token again.  Of every ``WINDOW``
 neighbouring hashes of runs of ``GRAM`` tokens the least is kept, the rightmost
 on ties, with its position.  Any two texts that share ``GRAM + WINDOW - 1``
@@ -27,28 +27,26 @@ _LOW, _POS = 28, 1 << 27
 _LOWEST = -(2**63)
 
 
-def turned(x: Column, by: int) -> Column:
-    """The 64 bits of ``x`` rotated left by ``by``."""
-    return x if by % 64 == 0 else F.shiftleft(x, by % 64).bitwiseOR(F.shiftrightunsigned(x, 64 - by % 64))
-
-
 def rolled(tokens: Column, gram: int) -> Column:
-    """Cyclic polynomials of all runs of ``gram`` of ``tokens``, hashes of which there are as many at least.
+    """Polynomials of all runs of ``gram`` (32 at most) of ``tokens``, hashes of which there are as many at least.
 
-    A run of w + v tokens is the run of its first w, rotated by v, combined
-    with the run of its last v; runs double until their sizes add up to ``gram``.
+    The tokens' hashes are coefficients, a shift by one multiplies by x, and
+    powers from 64 on drop out.  A run of w + v tokens is the run of its first
+    w, shifted by v, combined with the run of its last v; runs double until
+    their sizes add up to ``gram``.
     """
+    if not 1 <= gram <= 32:
+        raise ValueError(f"gram out of range: {gram}")
 
     def joined(a: Column, wide: int, b: Column, narrow: int) -> Column:
-        # every run of ``wide`` that has one of ``narrow`` behind it
-        tail = F.slice(b, wide + 1, F.size(b))
-        return F.zip_with(F.slice(a, 1, F.size(tail)), tail, lambda x, y: turned(x, narrow).bitwiseXOR(y))
+        # runs that reach beyond the end are null, and are cut off at last
+        return F.transform(a, lambda x, i: F.shiftleft(x, narrow).bitwiseXOR(F.get(b, i + wide)))
 
     def grown(runs: Column, width: int, done: Column | None, size: int, left: int) -> Column:
         if left & width:
             both = runs if done is None else joined(done, size, runs, width)
             if left == width:
-                return both
+                return F.slice(both, 1, F.size(both) - gram + 1)
             return let(F.struct(both.alias("d"), runs.alias("r")), lambda s: grown(s["r"], width, s["d"], size + width, left - width))
         return let(joined(runs, width, runs, width), lambda q: grown(q, 2 * width, done, size, left))
 
@@ -79,9 +77,10 @@ def winnowed(hashes: Column, window: int = WINDOW) -> Column:
         return F.transform(h, lambda x, i: F.shiftrightunsigned(x, _LOW) * _POS + (F.lit(_POS - 1).cast("long") - i))
 
     def doubled(p: Column, width: int) -> Column:
+        # windows that reach beyond the end are cut off at last
         if width == window:
-            return p
-        return let(F.zip_with(F.slice(p, 1, F.size(p) - width), F.slice(p, width + 1, F.size(p)), lambda a, b: F.least(a, b)), lambda q: doubled(q, width * 2))
+            return F.slice(p, 1, F.size(p) - window + 1)
+        return let(F.transform(p, lambda x, i: F.least(x, F.get(p, i + width))), lambda q: doubled(q, width * 2))
 
     def chosen(h: Column) -> Column:
         minima = F.when(F.size(h) <= window, F.array(F.array_min(packed(h)))).otherwise(let(packed(h), lambda p: doubled(p, 1)))

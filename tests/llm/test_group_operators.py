@@ -46,7 +46,7 @@ def brute_fingerprint(text, gram=5, window=16):
         for i in range(len(tokens) - gram + 1):
             run = 0
             for t in tokens[i : i + gram]:
-                run = ((run << 1 | run >> 63) & (1 << 64) - 1) ^ brute_hash(t.encode())
+                run = (run << 1 & (1 << 64) - 1) ^ brute_hash(t.encode())
             hashes.append(upper(run.to_bytes(8, "little")))
     at = set()
     for k in range(max(1, len(hashes) - window + 1) if hashes else 0):
