@@ -99,23 +99,45 @@ def equivalences(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select(*keys, "left", "right", "rule", conf[F.col("rule")].alias("confidence"), ((F.col("rule") == "explicit_acronym") & (F.coalesce("n_expansions", F.lit(0)) != 1)).alias("blocked"))
 
 
-def string_components(candidates: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, idx, component): the least idx reachable over unblocked equivalences, by least labels and jumps.
-
-    Labels travel inside a key only; each round halves what is left of a chain.
+def connected(links: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``links(u, v)``, u != v: nodes of one connected component share a root.
+
+    A round points every node to the least of itself and its neighbours, by a
+    hash that differs from round to round, follows pointers to their ends and
+    keeps the links between different ends.  A good share of the nodes of any
+    graph, chains and stars among them, lose their standing in each round, so
+    rounds are logarithmic.  Every step is written to the shared folder.
     """
-    links = edges.where("NOT blocked").select(*keys, F.col("left").alias("u"), F.col("right").alias("v"))
-    # written once: a lost executor must not make every round read the links anew
-    links = checkpointed(links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = candidates.select(*keys, "idx", F.col("idx").alias("component"))
-    while True:
-        near = links.join(label.select(*keys, F.col("idx").alias("v"), "component"), [*keys, "v"]).groupBy(*keys, F.col("u").alias("idx")).agg(F.min("component").alias("near"))
-        least = label.join(near, [*keys, "idx"], "left").withColumn("least", F.least("component", F.coalesce("near", "component")))
-        jump = least.join(label.select(*keys, F.col("idx").alias("least"), F.col("component").alias("further")), [*keys, "least"])
-        step = checkpointed(jump.select(*keys, "idx", F.col("component").alias("was"), F.least("least", "further").alias("component")))
-        label = step.drop("was")
-        if not step.where("component < was").limit(1).count():
-            return label
+    edges = checkpointed(links.select("u", "v").union(links.select("v", "u")).distinct())
+    trees: list[DataFrame] = []
+    while edges.limit(1).count():
+        order = lambda c, k=len(trees): F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("turn"), F.col(c).alias("node"))
+        tree = checkpointed(edges.groupBy("u").agg(F.min(order("v")).alias("near")).select(F.col("u").alias("node"), F.least("near", order("u"))["node"].alias("parent")))
+        moved = 1
+        while moved:
+            above = tree.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+            step = checkpointed(tree.join(above, "parent").select("node", "parent", "above"))
+            moved, tree = step.where("above <> parent").limit(1).count(), step.select("node", F.col("above").alias("parent"))
+        trees.append(tree)
+        for side in ("u", "v"):
+            edges = edges.join(tree.toDF(side, f"r{side}"), side)
+        edges = checkpointed(edges.where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+    if not trees:
+        return edges.toDF("node", "root")
+    # from the last round back, so that no join is larger than its round
+    roots = trees.pop().toDF("node", "root")
+    for tree in reversed(trees):
+        roots = tree.join(roots.toDF("parent", "root"), "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
+    return roots
+
+
+def string_components(candidates: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, idx, component): the least idx of each candidate's component over unblocked equivalences."""
+    at = lambda idx: F.struct(*[F.col(k).alias(k) for k in keys], F.col(idx).cast(candidates.schema["idx"].dataType).alias("idx"))
+    roots = connected(edges.where("NOT blocked").where(F.col("left") != F.col("right")).select(at("left").alias("u"), at("right").alias("v")))
+    least = roots.groupBy("root").agg(F.min("node.idx").alias("component"))
+    named = roots.join(least, "root").select("node.*", "component")
+    return candidates.select(*keys, "idx").join(named, [*keys, "idx"], "left").select(*keys, "idx", F.coalesce("component", "idx").alias("component"))
 
 
 def numeric_components(candidates: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
