@@ -1,6 +1,7 @@
 """Manifests, frozen bundles, bound responses, snapshots and partitioned sinks."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,16 @@ def test_summaries_of_empty_and_single_keys(spark):
     assert sorted((r.idx, r.component) for r in graph.string_components(one, links, ["k"]).collect()) == [(0, 0), (1, 1)]
     lookup = graph.by_id(one.withColumn("v", F.concat(F.lit("c"), F.col("idx").cast("string"))), ["k"], "candidate", "idx", "v").first().lookup
     assert lookup == {"candidate:0": "c0", "candidate:1": "c1"}
+
+
+def test_components_of_chains_stars_and_keys(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(10_000), 600)
+    chain, star = ids[:300], ids[300:500]
+    links = [("a", x, y) for x, y in zip(chain, chain[1:])] + [("a", star[0], x) for x in star[1:]] + [("b", ids[0], ids[450]), ("b", ids[450], ids[450])]
+    nodes = [(k, i) for k in "ab" for i in ids]
+    got = graph.string_components(spark.createDataFrame(nodes, "k string, idx int"), spark.createDataFrame([(*x, False) for x in links] + [("a", chain[0], star[0], True)], "k string, left int, right int, blocked boolean"), ["k"])
+    want = {("a", i): min(chain) if i in chain else min(star) if i in star else i for i in ids} | {("b", i): i for i in ids}
+    want[("b", ids[0])] = want[("b", ids[450])] = min(ids[0], ids[450])
+    found = {(r.k, r.idx): r.component for r in got.collect()}
+    assert found == want and got.count() == len(nodes)
