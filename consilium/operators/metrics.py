@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+from collections import deque
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,14 +88,71 @@ def alias_edges(preds: DataFrame, golds: DataFrame, keys: Sequence[str]) -> Data
     return ids.join(golds, [*keys, "form"]).select(*keys, "pred", "gold").distinct()
 
 
+def _first_fits(preds: Sequence[float | None], golds: Sequence[float | None], tolerance: float) -> int:
+    """How many predictions, in order, find a free gold value within the tolerance, each taking the first in gold order.
+
+    The gold values that fit are a stretch of the sorted ones, and all negative
+    ones; a tree of least free positions finds the first of a stretch, so the
+    work grows as n log n (tolerances of half and more look at every value).
+    """
+    # zero never matches, and neither do values that are not finite
+    positions: dict[float, list[int]] = {}
+    for i, g in enumerate(golds):
+        if g is not None and math.isfinite(g) and g != 0:
+            positions.setdefault(g, []).append(i)
+    values = sorted(positions)
+    queues = [deque(positions[v]) for v in values]
+    size, none = len(values), len(golds)
+    least = [none] * size + [q[0] for q in queues]
+    for node in range(size - 1, 0, -1):
+        least[node] = min(least[2 * node], least[2 * node + 1])
+    negative = bisect.bisect_left(values, 0.0)
+
+    def first(start: int, stop: int) -> int:
+        found, start, stop = none, start + size, stop + size
+        while start < stop:
+            if start % 2:
+                found, start = min(found, least[start]), start + 1
+            if stop % 2:
+                stop -= 1
+                found = min(found, least[stop])
+            start, stop = start // 2, stop // 2
+        return found
+
+    hits = 0
+    for p in preds:
+        if p is None or p != p:
+            continue
+        fits = lambda g, p=p: abs(p - g) / g <= tolerance
+        if 0 <= tolerance < 0.5:
+            # beyond half or twice the prediction nothing fits, and nearer the difference is exact: the test changes once on either side
+            middle = max(negative, bisect.bisect_left(values, p))
+            start = bisect.bisect_left(values, True, negative, middle, key=fits)
+            stop = bisect.bisect_left(values, True, middle, size, key=lambda g: not fits(g))
+            at = min(first(0, negative), first(start, stop))
+        else:
+            at = min((q[0] for g, q in zip(values, queues, strict=True) if q and fits(g)), default=none)
+        if at == none:
+            continue
+        hits += 1
+        place = bisect.bisect_left(values, golds[at])
+        queues[place].popleft()
+        node = place + size
+        least[node] = queues[place][0] if queues[place] else none
+        while node > 1:
+            node //= 2
+            least[node] = min(least[2 * node], least[2 * node + 1])
+    return hits
+
+
 def numeric_hits(preds: Column, golds: Column, tolerance: float = 0.05) -> Column:
-    """One-to-one first-fit matches in prediction order, then gold order, within the tolerance of the gold value."""
+    """One-to-one first-fit matches in prediction order, then gold order, within the tolerance of the gold value; null of a null array."""
 
-    def step(used: Column, p: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(0), F.size(golds) - 1), lambda i: ~F.array_contains(used, i) & numbers.within_gold(p, F.get(golds, i), tolerance))
-        return F.when(F.size(free) > 0, F.concat(used, F.slice(free, 1, 1))).otherwise(used)
+    @F.arrow_udf("int")
+    def hits(preds: pa.Array, golds: pa.Array) -> pa.Array:
+        return pa.array([None if p is None or g is None else _first_fits(p, g, tolerance) for p, g in zip(preds.to_pylist(), golds.to_pylist(), strict=True)], pa.int32())
 
-    return F.when((F.size(golds) == 0) | (F.size(preds) == 0), F.lit(0)).otherwise(F.aggregate(preds, F.expr("cast(array() as array<int>)"), step, F.size))
+    return hits(preds, golds)
 
 
 def score_pairs(pred: DataFrame, gold: DataFrame, relations: DataFrame, tolerance: float = 0.05) -> DataFrame:
@@ -114,7 +175,8 @@ def score_pairs(pred: DataFrame, gold: DataFrame, relations: DataFrame, toleranc
     joined = base.join(counts, keys, "left").join(hits, keys, "left")
     values = F.filter(F.transform(F.coalesce("firsts", F.expr("cast(array() as array<struct<at:int,item:string>>)")), lambda x: numbers.parse_number(x["item"])), lambda v: v.isNotNull())
     targets = F.filter(F.transform("gold", lambda a: numbers.parse_number(F.try_element_at(a, F.lit(1)))), lambda v: v.isNotNull())
-    tp = F.when(F.col("kind") == "numeric", numeric_hits(values, targets, tolerance)).otherwise(F.coalesce("hits", F.lit(0))).cast("long")
+    numeric = F.col("kind") == "numeric"
+    tp = F.when(numeric, numeric_hits(F.when(numeric, values), F.when(numeric, targets), tolerance)).otherwise(F.coalesce("hits", F.lit(0))).cast("long")
     out = joined.select(*keys, tp.alias("tp"), F.coalesce("total_pred", F.lit(0)).alias("total_pred"), F.size("gold").cast("long").alias("total_gold"))
     return out.select(*keys, *scores(F.col("total_pred"), F.col("total_gold"), F.col("tp")), "tp", "total_pred", "total_gold")
 

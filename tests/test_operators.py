@@ -114,6 +114,35 @@ def test_matching_equals_brute_force(spark):
     assert {r.k: r.hits for r in got} == want
 
 
+def first_fits(preds, golds, tolerance):
+    used = set()
+    for p in preds:
+        fit = [i for i, g in enumerate(golds) if i not in used and p is not None and g and abs(p - g) / g <= tolerance]
+        used.update(fit[:1])
+    return len(used)
+
+
+def test_numeric_matches_take_the_first_that_fits(spark):
+    rng = random.Random(5)
+    odd = [0.0, -0.0, None, -3.0, -200.0, 1e308, -1e308, 5e-324, float("inf"), float("-inf"), float("nan")]
+    near = [100.0, 100 / 1.05, 100 / 0.95, 105.0, 95.0]
+    some = lambda: [rng.choice(odd) if rng.random() < 0.1 else rng.choice([round(rng.uniform(90, 110), 1), float(rng.randint(1, 25)), rng.choice(near)]) for _ in range(rng.randint(0, 25))]
+    rows = [(k, some(), some()) for k in range(300)] + [(300, None, [1.0])]
+    frame = spark.createDataFrame(rows, "k int, p array<double>, g array<double>")
+    for tolerance in (0.05, 0.0, 0.6):
+        got = {r.k: r.n for r in frame.select("k", metrics.numeric_hits(F.col("p"), F.col("g"), tolerance).alias("n")).collect()}
+        assert got == {k: None if p is None else first_fits(p, g, tolerance) for k, p, g in rows}
+
+
+def test_numeric_matches_of_long_lists(spark, relations):
+    n = 20_000
+    one = spark.range(1).select(F.lit("s").alias("SubjectEntity"), F.lit("hasArea").alias("Relation"), F.sequence(F.lit(1), F.lit(n)).alias("i"))
+    gold = one.select(*KEYS, F.transform("i", lambda i: F.array(F.when(i % 2 == 0, "101").otherwise("500"))).alias("ObjectEntities"))
+    told = one.select(*KEYS, F.transform("i", lambda i: (100 + i / 10_000).cast("string")).alias("ObjectEntities"), F.lit(1).alias("pos"))
+    got = metrics.score_pairs(told, gold, relations).first()
+    assert (got.tp, got.total_pred, got.total_gold) == (n // 2, n, n)
+
+
 def test_constant_sides_have_no_correlation(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("b", 1.0, 1.0), ("b", 1.0, 2.0)], "g string, x double, y double")
     assert {r.g: r["corr"] for r in metrics.correlation(df, "x", "y", ["g"]).collect()} == {"a": pytest.approx(1.0), "b": None}
