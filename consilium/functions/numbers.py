@@ -110,23 +110,26 @@ def median(values: Column) -> Column:
 
 
 def densest_cluster(values: Column, width: float) -> Column:
-    """struct<value, size, center>: the median of the relative neighbourhood with most members.
+    """struct<value, size, center>: the median of the relative neighbourhood with most members; null without finite values above 0, which alone count.
 
-    Ties go to the smaller sum of log distances, then to the smaller centre, so
-    the order of arrival does not matter.
+    Ties go to the smaller sum of log distances (to nine digits), then to the
+    smaller centre, so the order of arrival does not matter.
     """
 
-    def around(c: Column) -> Column:
-        near = F.filter(values, lambda v: F.abs(v - c) / F.greatest(F.abs(c), F.lit(EPSILON)) <= width)
+    def among(values: Column) -> Column:
+        def around(c: Column) -> Column:
+            near = F.filter(values, lambda v: F.abs(v - c) / F.greatest(F.abs(c), F.lit(EPSILON)) <= width)
 
-        def key(members: Column) -> Column:
-            far = F.aggregate(F.array_sort(members), F.lit(0.0), lambda acc, v: acc + F.abs(F.ln(v / c)))
-            return F.struct(F.size(members).alias("size"), (-far).alias("near"), (-c).alias("order"), members.alias("members"))
+            def key(members: Column) -> Column:
+                far = F.aggregate(F.array_sort(members), F.lit(0.0), lambda acc, v: acc + F.abs(F.ln(v / c)))
+                return F.struct(F.size(members).alias("size"), (-F.round(far, 9)).alias("near"), (-c).alias("order"), members.alias("members"))
 
-        return let(near, key)
+            return let(near, key)
 
-    best = F.array_max(F.transform(values, around))
-    return F.when(F.size(values) > 0, let(best, lambda b: F.struct(median(b["members"]).alias("value"), b["size"].alias("size"), (-b["order"]).alias("center"))))
+        best = F.array_max(F.transform(values, around))
+        return F.when(F.size(values) > 0, let(best, lambda b: F.struct(median(b["members"]).alias("value"), b["size"].alias("size"), (-b["order"]).alias("center"))))
+
+    return let(F.filter(values, lambda v: positive(v).isNotNull()), among)
 
 
 def anchored_groups(values: Column, tolerance: float = 0.05) -> Column:

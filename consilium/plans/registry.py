@@ -161,8 +161,8 @@ def densest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM (SELECT *, CAST(ts AS DATE) AS day FROM events) a JOIN (SELECT *, CAST(ts AS DATE) AS day FROM events) b ON a.user_id = b.user_id AND a.day = b.day AND abs(b.value - a.value) / a.value <= 0.3 GROUP BY ALL)
  SELECT user_id, day, value, size FROM c QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY size DESC, spread, c) = 1""")
 def small_densest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same cluster inside one row's handful of samples."""
-    got = answers(spark, sf_dir).groupBy("user_id", "day").agg(numbers.densest_cluster(F.collect_list("value"), 0.3).alias("c"))
+    """The same cluster inside one row's handful of samples; a day without a value above 0 has none."""
+    got = answers(spark, sf_dir).groupBy("user_id", "day").agg(numbers.densest_cluster(F.collect_list("value"), 0.3).alias("c")).where("c IS NOT NULL")
     return got.select("user_id", "day", F.col("c.value").alias("value"), F.col("c.size").cast("long").alias("size"))
 
 

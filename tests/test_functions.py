@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from consilium.functions import numbers, parse, text
+from consilium.plans.registry import QUERIES
 
 
 def one(spark, column, **values):
@@ -143,6 +144,22 @@ def test_densest_cluster_in_any_order(spark):
     assert array(spark, lambda v: numbers.densest_cluster(v, 0.1), [900, 900, 100, 100]).value == 100
 
 
+def test_densest_cluster_of_odd_values(spark):
+    cluster = lambda *v: array(spark, lambda x: numbers.densest_cluster(x, 0.3), v)
+    assert tuple(cluster(0, 20, 21, 0, 0)) == (20.5, 2, 20.0)
+    assert tuple(cluster(-5, -5, float("nan"), float("inf"), 7)) == (7.0, 1, 7.0)
+    assert cluster(0, 0) is None and cluster() is None
+    # two pairs as far apart but for the last digits of their logarithms
+    for low, high in ((10, 12), (11, 13), (49, 50), (3, 3.7)):
+        assert all(cluster(low, high, low * k, high * k).center == low for k in (3, 7, 10, 1.9))
+
+
+def test_days_without_a_value_above_zero_have_no_cluster(spark, tmp_path):
+    spark.sql("SELECT col1 AS event_id, timestamp_ntz '2024-01-01 10:00:00' AS ts, col2 AS user_id, 'view' AS event_type, cast(col3 AS double) AS value FROM VALUES (1L, 1L, 0), (2L, 1L, 8), (3L, 2L, 0), (4L, 3L, 5)").write.parquet(f"file://{tmp_path}/events.parquet")
+    got = QUERIES["small_densest_cluster"](spark, f"file://{tmp_path}").orderBy("user_id").collect()
+    assert [(r.user_id, r.value, r.size) for r in got] == [(1, 8.0, 1), (3, 5.0, 1)]
+
+
 def test_anchored_groups_do_not_chain(spark):
     assert array(spark, numbers.anchored_groups, [108, 100, 104, 103, 106]) == [[100, 103, 104], [106, 108]]
     assert array(spark, numbers.median, [3, 1, 2, 10]) == statistics.median([3, 1, 2, 10])
