@@ -361,8 +361,9 @@ def prove_numbers(options: DataFrame, keys: Sequence[str], families: Sequence[st
 
     ``options(keys, value, is_incumbent, members, rates, family_fraction,
     event_rate)`` has one incumbent a key; a key without one is left out.  Of
-    the proven, most families win, then the least and the mean family rate, the
-    rate over all events, nearness to the incumbent and the smaller value.
+    the proven, most families win, then the least and the mean family rate (to
+    twelve digits, so that the order of summing does not matter), the rate over
+    all events, nearness to the incumbent and the smaller value.
     """
     option = F.struct("value", "family_fraction", "rates")
     inc = options.where("is_incumbent").select(*keys, option.alias("i"))
@@ -370,8 +371,8 @@ def prove_numbers(options: DataFrame, keys: Sequence[str], families: Sequence[st
     rate = F.transform(F.array(*map(F.lit, families)), lambda f: F.coalesce(F.try_element_at(F.col("rates"), f), F.lit(0.0)))
     order = F.struct(
         "family_fraction",
-        F.array_min(rate).alias("least"),
-        (numbers.total(rate) / len(families)).alias("mean"),
+        F.round(F.array_min(rate), 12).alias("least"),
+        F.round(numbers.total(rate) / len(families), 12).alias("mean"),
         "event_rate",
         (-F.abs(F.ln(F.col("value") / F.col("i.value")))).alias("near"),
         (-F.col("value")).alias("small"),

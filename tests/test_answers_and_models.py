@@ -355,6 +355,20 @@ def test_a_number_needs_all_families_and_the_best_of_them_wins(spark):
     assert stack.frozen_stack(answers, stack.Evidence(numeric=frame, invalid=answers.select(*KEYS))).first().objects == ["100"]
 
 
+def test_equal_mean_rates_leave_the_choice_to_the_rate_of_all_events(spark):
+    option = "k int, value double, is_incumbent boolean, members array<double>, rates map<string,double>, family_fraction double, event_rate double"
+    rows, want = [], {}
+    orders = list(itertools.permutations([1 / 10, 2 / 10, 6 / 10]))
+    # the mean of 1/4, 5/12 and 1/10, of which 1/10 is the least, is that of 1/3, 1/3 and 1/10
+    pairs = [*itertools.permutations(orders, 2), ((1 / 4, 5 / 12, 1 / 10), (1 / 3, 1 / 3, 1 / 10)), ((1 / 3, 1 / 3, 1 / 10), (5 / 12, 1 / 4, 1 / 10))]
+    for k, (a, b) in enumerate(pairs):
+        made = lambda v, r, e, k=k: (k, v, False, [v], dict(zip("xyz", r, strict=True)), 1.0, e)
+        rows += [(k, 30.0, True, [30.0], {}, 0.0, 0.0), made(50.0, a, 0.2), made(60.0, b, 0.3)]
+        want[k] = (60.0, True, 2)
+    got = decode.prove_numbers(spark.createDataFrame(rows, option), ["k"], "xyz").collect()
+    assert {r.k: (r.value, r.changed, r.eligible) for r in got} == want
+
+
 def with_events(spark, path, rows):
     """A folder with the events (event_id, user_id, event_type, value), each in a partition of its own and the last first."""
     frame = spark.createDataFrame(rows[::-1], "event_id long, user_id long, event_type string, value double").repartition(len(rows), "event_id")
